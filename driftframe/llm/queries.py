@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hilbert, simhash
+from . import decontaminate, hilbert, mixing, simhash
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digest(table(spark, sf_dir, "documents"))
 
@@ -25,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": mixing.ORACLE_SQL}
