@@ -65,18 +65,24 @@ def shard_sizes(n: Column, k: int) -> tuple[Column, Column]:
     return F.floor(n / k).cast("long"), (n % k).cast("long")
 
 
-def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:
+PLACED = ("size", "text_crc32", "hilbert", "law", "shard", "slot", "grown_shard")
+
+
+def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", carry: bool = False) -> DataFrame:
     """(id, size, text_crc32, hilbert, shard, slot) of every row; law: counts at most one apart.
 
     Runs of the order (hilbert, text_crc32, id) are cut so that shards differ by one row at most;
     slot is the place in the shard. Equal texts have equal sizes and checksums, so copies of one
     source and language lie next to each other. Null texts count as size 8 with checksum of the
     empty text; null sources, languages and ids sort first; repeated rows are placed each (which
-    of equal rows comes first makes no difference). An empty table gives no rows.
+    of equal rows comes first makes no difference). An empty table gives no rows. With `carry`
+    the other columns of docs come along, except those that have one of these names.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.col("text")
+    rest = [c for c in docs.columns if carry and c != id_col and c not in PLACED]
     slim = docs.select(
+        F.struct(F.lit(0).alias("__none"), *rest).alias("__doc"),
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -91,15 +97,15 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id") -> Data
     shard = F.when(F.col("rank") < cut, F.floor(F.col("rank") / (low + 1))).otherwise(more + F.floor((F.col("rank") - cut) / F.greatest(low, F.lit(1))))
     begin = F.col("shard") * low + F.least(F.col("shard"), more)
     placed = ranked.crossJoin(F.broadcast(total)).withColumn("shard", shard.cast("int"))  # one row
-    return placed.withColumn("slot", (F.col("rank") - begin).cast("long")).select(F.col("id").alias(id_col), "size", "text_crc32", "hilbert", "shard", "slot")
+    return placed.withColumn("slot", (F.col("rank") - begin).cast("long")).select(F.col("id").alias(id_col), *[F.col("__doc")[c].alias(c) for c in rest], "size", "text_crc32", "hilbert", "shard", "slot")
 
 
-def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The placement with its law named."""
-    return place(docs, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+def digest(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
+    """The placement with its law named; rows are dealt out by count, so no other number of shards is prepared."""
+    placed = place(docs, shards, carry=carry)
+    return placed.select(*[c for c in placed.columns if c not in PLACED], "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """docs as Parquet, one folder per shard, rows in curve order inside each file."""
-    at = place(docs, shards).select("doc_id", "hilbert", "shard", "slot")
-    docs.join(at, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    place(docs, shards, carry=True).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
