@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,9 +39,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back."""
         path = f"{self.top}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Have the driver notice finished jobs, so that executors delete their shuffle files now rather than later."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")

@@ -45,7 +45,7 @@ POS = np.uint64((1 << 24) - 1)
 ODD = 0x9E3779B97F4A7C15
 
 SLIM = "key long, uid long, base long, lo int, hi int"
-PIECES = "core1 long, core2 long, s1 long, s2 long, left binary, right binary, uid long, base long"
+PIECES = "core long, s long, left binary, right binary, uid long, base long"
 
 
 def anchored(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,19 +113,18 @@ def _emit_slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(6)]
         for row in batch.to_pylist():
             data = row["text"].encode("utf-8", "surrogatepass")
             for p in row["places"]:
                 b, lo, hi = p["base"], p["lo"], p["hi"]
                 core, left, right = data[b : b + CORE], data[b - hi : b], data[b + CORE : b + CORE + STARTS - 1 - lo]
-                c = xxhash.xxh3_128_intdigest(core)
-                s = xxhash.xxh3_128_intdigest(b"%d:" % hi + left + core + right)
-                for o, v in zip(out, (c >> 64, c & (1 << 64) - 1, s >> 64, s & (1 << 64) - 1, left, right, row["uid"], b)):
+                c, s = xxhash.xxh3_64_intdigest(core), xxhash.xxh64_intdigest(b"%d:" % hi + left + core + right)
+                for o, v in zip(out, (c, s, left, right, row["uid"], b)):
                     o.append(v)
         if out[0]:
-            arrays = [_signed(o) for o in out[:4]] + [pa.array(o, pa.binary()) for o in out[4:6]] + [pa.array(o, pa.int64()) for o in out[6:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["core1", "core2", "s1", "s2", "left", "right", "uid", "base"])
+            arrays = [_signed(o) for o in out[:2]] + [pa.array(o, pa.binary()) for o in out[2:4]] + [pa.array(o, pa.int64()) for o in out[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["core", "s", "left", "right", "uid", "base"])
 
 
 def merge_order(block: np.ndarray, sym: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +179,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by core; whole groups are merged, at least MERGE pieces at a time."""
 
     def masks(t: pa.Table) -> pa.RecordBatch:
-        c = np.stack([t["core1"].to_numpy(), t["core2"].to_numpy()])
-        block = np.cumsum(np.concatenate([[0], (c[:, 1:] != c[:, :-1]).any(axis=0)]))
-        m = repeated_starts(block, t["left"].to_pylist(), t["right"].to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(t["s1"].to_numpy()), pa.array(t["s2"].to_numpy()), pa.array(m.view(np.int64))], names=["s1", "s2", "mask"])
+        c = t["core"].to_numpy()
+        same = np.concatenate([[False], c[1:] == c[:-1]])
+        several = same | np.concatenate([same[1:], [False]])
+        t, c = t.filter(pa.array(several)), c[several]
+        m = np.zeros(0, np.uint64)
+        if len(c):
+            block = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]]))
+            m = repeated_starts(block, t["left"].to_pylist(), t["right"].to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(t["s"].to_numpy()), pa.array(m.view(np.int64))], names=["core", "s", "mask"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -192,8 +196,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size >= MERGE:
             t = pa.Table.from_batches(held)
-            c1, c2 = t["core1"].to_numpy(), t["core2"].to_numpy()
-            other = np.flatnonzero((c1 != c1[-1]) | (c2 != c2[-1]))
+            c = t["core"].to_numpy()
+            other = np.flatnonzero(c != c[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield masks(t.slice(0, cut))
@@ -203,7 +207,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _narrow(step: int):
-    """Pieces' starts in runs of `step`: (s1, s2, k1, k2, x): digest of the run's own core, first start."""
+    """Pieces' starts in runs of `step`: (core, s, k1, k2, x): digest of the run's own core, first start."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,44 +219,50 @@ def _narrow(step: int):
                     top = min(x + step - 1, STARTS - 1)
                     if top < lo or x > hi or not row["live"] >> x & ((1 << step) - 1):
                         continue
-                    k = xxhash.xxh3_128_intdigest(b"%d,%d,%d:" % (row["core1"], row["core2"], x) + left[hi - x :] + b"|" + right[: STARTS - 1 - top])
-                    for o, v in zip(out, (row["s1"] % (1 << 64), row["s2"] % (1 << 64), k >> 64, k & (1 << 64) - 1, x)):
+                    k = xxhash.xxh3_128_intdigest(b"%d,%d:" % (row["core"], x) + left[hi - x :] + b"|" + right[: STARTS - 1 - top])
+                    for o, v in zip(out, (row["core"] % (1 << 64), row["s"] % (1 << 64), k >> 64, k & (1 << 64) - 1, x)):
                         o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([_signed(o) for o in out[:4]] + [pa.array(out[4], pa.int32())], names=["s1", "s2", "k1", "k2", "x"])
+                yield pa.RecordBatch.from_arrays([_signed(o) for o in out[:4]] + [pa.array(out[4], pa.int32())], names=["core", "s", "k1", "k2", "x"])
 
     return emit
 
 
 def _narrowed(strings: DataFrame, step: int) -> DataFrame:
-    """(s1, s2, live): for pieces with a mask `live`, the starts in runs of `step` that some other piece has too."""
-    rows = strings.select("core1", "core2", "s1", "s2", "left", "right", "live").mapInArrow(_narrow(step), "s1 long, s2 long, k1 long, k2 long, x int")
+    """(core, s, live): for pieces with a mask `live`, the starts in runs of `step` that some other piece has too."""
+    rows = strings.select("core", "s", "left", "right", "live").mapInArrow(_narrow(step), "core long, s long, k1 long, k2 long, x int")
     shared = rows.groupBy("k1", "k2").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     bits = F.expr(f"shiftleft({(1 << step) - 1}L, x)")
-    return rows.join(shared, ["k1", "k2"]).groupBy("s1", "s2").agg(F.bit_or(bits).alias("live"))
+    return rows.join(shared, ["k1", "k2"]).groupBy("core", "s").agg(F.bit_or(bits).alias("live"))
 
 
 def repeated_pieces(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
-    """(uid, base, mask): starts base - x, x a bit of mask, whose window occurs elsewhere. docs: (uid, text)."""
+    """(uid, base, mask): starts base - x, x a bit of mask, whose window occurs elsewhere. docs: (uid, text).
+
+    A core is known by 64 bits of hash, a piece by 64 more; equal windows also agree in their 63
+    bytes beside the core, which are compared.
+    """
     slim = scratch.keep(docs.select("uid", "text").mapInArrow(_emit_slim, SLIM), "slim")
     again = slim.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key")
     places = slim.join(again, "key").groupBy("uid").agg(F.collect_list(F.struct("base", "lo", "hi")).alias("places"))  # at most a text's
-    pieces = scratch.keep(docs.select("uid", "text").join(places, "uid").mapInArrow(_emit_pieces, PIECES), "pieces")
+    places = scratch.keep(places, "places")
     scratch.drop("slim")
-    strings = scratch.keep(pieces.groupBy("core1", "core2", "s1", "s2", "left", "right").agg(F.count("*").alias("n")), "strings")
-    sizes = strings.groupBy("core1", "core2").agg(F.count("*").alias("size"))
-    strings = scratch.keep(strings.join(sizes, ["core1", "core2"]), "sized")
-    scratch.drop("strings")
-    copies = strings.where("n > 1").select("s1", "s2", F.lit(-1).cast("long").alias("mask"))
-    some = strings.where((F.col("size") > 1) & (F.col("size") <= group)).select("core1", "core2", "s1", "s2", "left", "right")
-    merged = some.repartition("core1", "core2").sortWithinPartitions("core1", "core2").mapInArrow(_merge, "s1 long, s2 long, mask long")
-    many = strings.where(F.col("size") > group).withColumn("live", F.lit(-1).cast("long"))
-    runs = _narrowed(many, 8)
-    many = many.drop("live").join(runs, ["s1", "s2"])
+    pieces = scratch.keep(docs.select("uid", "text").join(places, "uid").mapInArrow(_emit_pieces, PIECES), "pieces")
+    scratch.drop("places")
+    strings = scratch.keep(pieces.groupBy("core", "s", "left", "right").agg(F.count("*").alias("n")), "strings")
+    large = scratch.keep(strings.groupBy("core").agg(F.count("*").alias("size")).where(F.col("size") > group).select("core"), "large")
+    copies = strings.where("n > 1").select("core", "s", F.lit(-1).cast("long").alias("mask"))
+    some = strings.join(large, "core", "left_anti").select("core", "s", "left", "right")
+    merged = some.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, "core long, s long, mask long")
+    many = strings.join(large, "core").withColumn("live", F.lit(-1).cast("long"))
+    many = many.drop("live").join(scratch.keep(_narrowed(many, 8), "runs"), ["core", "s"])
     single = _narrowed(many, 1).withColumnRenamed("live", "mask")
-    masks = copies.union(merged).union(single).groupBy("s1", "s2").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
+    masks = copies.union(merged).union(single).groupBy("core", "s").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
+    masks = scratch.keep(masks, "masks")
+    scratch.drop("strings")
     valid = F.expr(f"shiftleft(-1L, {STARTS - 1} - length(right)) & shiftrightunsigned(-1L, {STARTS - 1} - length(left))")
-    return pieces.join(masks, ["s1", "s2"]).select("uid", "base", F.col("mask").bitwiseAND(valid).alias("mask"))
+    own = pieces.select("core", "s", "uid", "base", valid.alias("valid"))
+    return own.join(masks, ["core", "s"]).select("uid", "base", F.col("mask").bitwiseAND(F.col("valid")).alias("mask"))
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))])
@@ -295,5 +305,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id()), "rows")
     found = repeated_pieces(rows, scratch, group).groupBy("uid").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
+    found = scratch.keep(found, "found")
+    scratch.drop("pieces")
     done = rows.join(found, "uid", "left").select("id", _clean_udf("text", "bases", "masks").alias("r"))
     return done.select(F.col("id").alias(id_col), "r.*")
