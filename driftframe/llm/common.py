@@ -43,6 +43,11 @@ class Scratch:
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def small(self, df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+        """df kept; marked for broadcast if it has at most `rows` (narrow) rows, else joined by a shuffle."""
+        kept = self.keep(df, name)
+        return F.broadcast(kept) if kept.count() <= rows else kept
+
     def release(self) -> None:
         """Have the driver notice finished jobs, so that executors delete their shuffle files now rather than later."""
         gc.collect()

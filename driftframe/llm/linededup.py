@@ -27,26 +27,40 @@ def _position(id_col: Column, line_no: Column) -> Column:
     return (F.coalesce(id_col, F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no).cast("decimal(38,0)")
 
 
-def _chunked(lines: DataFrame) -> DataFrame:
-    """lines (pos, line, n) by shorter length c and chunk j, with the start and size of what surrounds it."""
-    by = lines.select("*", F.explode(F.array("n", F.col("n") - 1)).alias("c"))
-    by = by.withColumn("g", F.ceil(F.col("c") / F.greatest(F.lit(2), F.ceil(F.cbrt("c") / 2))).cast("int"))
-    by = by.withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / F.col("g")).cast("int") - 1)))
-    return by.withColumn("before", F.col("g") * F.col("j")).withColumn("after", F.greatest(F.col("c") - F.col("g") * (F.col("j") + 1), F.lit(0)))
+def _around(c: Column, j: Column) -> tuple[Column, Column]:
+    """Characters before and after chunk j of a line cut to c characters."""
+    g = _chunk_size(c)
+    return g * j, F.greatest(c - g * (j + 1), F.lit(0))
+
+
+def _chunk_size(c: Column) -> Column:
+    return F.ceil(c / F.greatest(F.lit(2), F.ceil(F.cbrt(c) / 2))).cast("int")
+
+
+NONE = "array<struct<v:bigint,tag:int,whole:boolean>>"
 
 
 def earlier_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pos, partner): lines of the distinct (pos, line) that have an earlier one within one edit, with the earliest found."""
+    """(pos, partner): lines of the distinct (line_id, pos, line) that have an earlier one within one edit, with the earliest found."""
     lines = lines.withColumn("n", F.char_length("line"))
-    key = F.xxhash64("c", "j", F.substr("line", F.lit(1), F.col("before")), F.substr("line", F.col("n") - F.col("after") + 1, F.col("after")))
-    keyed = scratch.keep(_chunked(lines).select("pos", "c", "j", "g", "before", "after", key.alias("key")), "keyed")
+    by = lines.select("line_id", "line", "n", F.explode(F.array("n", F.col("n") - 1)).alias("c"))
+    by = by.withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / _chunk_size(F.col("c"))).cast("int") - 1)))
+    before, after = _around(F.col("c"), F.col("j"))
+    key = F.xxhash64("c", "j", F.substr("line", F.lit(1), before), F.substr("line", F.col("n") - after + 1, after))
+    keyed = scratch.keep(by.select("line_id", "c", "j", key.alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    chunk = F.substr("line", F.col("before") + 1, F.col("n") - F.col("before") - F.col("after"))
-    part = keyed.join(shared, "key").join(lines, "pos").select("key", "pos", "c", "n", chunk.alias("x"))
+    shared = scratch.small(shared, "shared")
+    keyed = scratch.keep(keyed.join(shared, "key"), "sharing")
+    scratch.drop("keyed")
+    # only lines that share a key are looked at from here on
+    named = scratch.small(keyed.select("line_id").distinct(), "named")
+    lines = scratch.keep(lines.join(named, "line_id", "left_semi"), "candidates")
+    chunk = F.substr("line", before + 1, F.col("n") - before - after)
+    part = keyed.join(lines, "line_id").select("key", "pos", "c", "n", chunk.alias("x"))
     size = F.char_length("x")
     cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.concat(F.substr("x", F.lit(1), i - 1), F.substr("x", i + 1))).alias("v"), F.when(F.col("n") == F.col("c"), i).otherwise(0).alias("tag"), F.lit(False).alias("whole")))
-    cut = F.when(size > 0, F.when(F.col("n") > F.col("c"), F.array_distinct(cut)).otherwise(cut)).otherwise(F.array().cast("array<struct<v:bigint,tag:int,whole:boolean>>"))
-    whole = F.when(F.col("n") == F.col("c"), F.array(F.struct(F.xxhash64("x").alias("v"), F.lit(0).alias("tag"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<v:bigint,tag:int,whole:boolean>>"))
+    cut = F.when(size > 0, F.when(F.col("n") > F.col("c"), F.array_distinct(cut)).otherwise(cut)).otherwise(F.array().cast(NONE))
+    whole = F.when(F.col("n") == F.col("c"), F.array(F.struct(F.xxhash64("x").alias("v"), F.lit(0).alias("tag"), F.lit(True).alias("whole")))).otherwise(F.array().cast(NONE))
     variants = scratch.keep(part.select("key", "pos", F.explode(F.concat(cut, whole)).alias("w")).select("key", "pos", "w.*"), "variants")
     met = variants.groupBy("key", "v", "tag").agg(F.min(F.when(F.col("whole"), F.col("pos"))).alias("one"), F.min(F.when(~F.col("whole"), F.col("pos"))).alias("other"), F.count("*").alias("k")).where("k > 1").drop("k")
     # tag > 0: any two differ by a substitution; tag 0: the whole line and those one longer
@@ -72,13 +86,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.split(F.col(text_col), SEPARATOR).alias("lines"))
     lines = slim.select("id", F.posexplode("lines").alias("at", "raw")).select("id", "at", F.trim("raw").alias("line"))
     long = lines.where(F.char_length("line") >= least)
-    classes = scratch.keep(long.groupBy("line").agg(F.min(_position(F.col("id"), F.col("at"))).alias("pos")), "classes")
+    classes = long.groupBy("line").agg(F.min(_position(F.col("id"), F.col("at"))).alias("pos"))
+    classes = scratch.keep(classes.withColumn("line_id", F.monotonically_increasing_id()), "classes")
     kept = classes.select("pos").join(earlier_lines(classes, scratch).select("pos"), "pos", "left_anti")
     base = F.lit(1 << 32).cast("decimal(11,0)")
     at = F.pmod("pos", base).cast("int")
     named = kept.select(((F.col("pos") - at) / base).cast("long").alias("of"), at.alias("at"))
     short = lines.where(F.char_length("line") < least).select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("of"), "at")
-    stay = named.union(short).groupBy("of").agg(F.array_sort(F.collect_set("at")).alias("stay"))  # at most a document's lines
+    stay = scratch.keep(named.union(short).groupBy("of").agg(F.array_sort(F.collect_set("at")).alias("stay")), "stay")  # at most a document's lines
+    scratch.drop("classes")
     out = slim.withColumn("of", F.coalesce("id", F.lit((1 << 63) - 1))).join(stay, "of", "left")
     held = F.filter(F.coalesce("stay", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
     out = out.withColumn("held", F.when(F.col("lines").isNotNull(), held))
