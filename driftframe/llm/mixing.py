@@ -100,7 +100,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0
     scratch = Scratch(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "pieces")]
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
-    slim = docs.select(*names, word_count(F.col("text")).alias("size"), key.alias("__key"))
+    slim = docs.select(*names, word_count(F.col("text")).alias("size"), key.alias("__key"), F.xxhash64("text").alias("__tie"))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
     sources = targets(sources).withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     sources = scratch.keep(sources, "sources")
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0
     placed = slim.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__run", runs)
     order = W.partitionBy("at").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)
     begin = placed.groupBy("at", "__run").agg(F.sum("size").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(order), F.lit(0))).drop("__sum")
-    inside = W.partitionBy("at", "__run").orderBy("__key", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("at", "__run").orderBy("__key", "size", "__tie").rowsBetween(W.unboundedPreceding, 0)
     line = placed.join(begin, ["at", "__run"]).withColumn("__begin", F.col("__before") + F.sum("size").over(inside) - F.col("size"))
     pieces = f"""
     flatten(transform(array(0L, 1L), p -> transform(array(named_struct('lo', p * source_size + __begin, 'hi', least(p * source_size + __begin + size, words))), r ->
