@@ -20,6 +20,8 @@ HIDDEN, SEGMENT, TRAIN_SEGMENT = 8, 128, 64
 #: Labelled documents of each language that are learned from, at most.
 SAMPLE = 200
 STEPS, BATCH, RATE = 400, 256, 0.02
+#: Label values whose counts are broadcast; with more they are joined by a shuffle.
+LABELS = 1000
 #: Segments that are run together.
 BLOCK = 4096
 #: A document whose best language is less probable than this is rejected.
@@ -179,6 +181,8 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
     """At most `most` rows of each value of `label`, by a hash of the id; groups are thinned before they are ranked."""
     counts = docs.groupBy(label).agg(F.count("*").alias("__n"))
+    if len(counts.limit(LABELS + 1).collect()) <= LABELS:
+        counts = F.broadcast(counts)
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     thin = docs.join(counts, label).withColumn("__u", u).where(F.col("__u") * F.col("__n") <= 2.0 * most)
     return thin.withColumn("__at", F.row_number().over(W.partitionBy(label).orderBy("__u", "doc_id"))).where(F.col("__at") <= most).drop("__at", "__u", "__n")
