@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = lines.where(F.char_length("line") < least).select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("of"), "at")
     stay = scratch.keep(named.union(short).groupBy("of").agg(F.array_sort(F.collect_set("at")).alias("stay")), "stay")  # at most a document's lines
     scratch.drop("classes")
-    out = slim.withColumn("of", F.coalesce("id", F.lit((1 << 63) - 1))).join(stay, "of", "left")
+    out = slim.withColumn("of", F.coalesce("id", F.lit((1 << 63) - 1))).join(stay.hint("merge"), "of", "left")  # as long as documents: never broadcast
     held = F.filter(F.coalesce("stay", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
     out = out.withColumn("held", F.when(F.col("lines").isNotNull(), held))
     return out.select(F.col("id").alias(id_col), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("n_kept"), F.array_join(F.transform("held", lambda i: F.col("lines")[i]), SEPARATOR).alias("kept"))
