@@ -37,3 +37,42 @@ def permutation_entropy(df: DataFrame, x: str, keys: list[str] = SEGMENT, time:
     n = s.groupBy(*keys, code.alias("code")).agg(F.count("*").alias("n"))
     n = n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
     return n.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("permutation_entropy"))
+
+
+def moment_features(df: DataFrame, x: str, keys: list[str] = SEGMENT) -> DataFrame:
+    """average, variance, cov, skewness, kurtosis, ngaussalpha; 0 for all-zero signals."""
+    zero = F.max(F.abs(F.col(x))) == 0
+    of = lambda c, n: F.when(zero, 0.0).otherwise(c).alias(n)
+    fourth, second = F.avg(F.pow(F.col(x), F.lit(4))), F.avg(F.col(x) * F.col(x))
+    return df.groupBy(*keys).agg(of(F.avg(x), "average"), of(F.var_pop(x), "variance"), of(F.stddev_pop(x) / F.nullif(F.avg(x), F.lit(0.0)), "cov"), of(F.skewness(x), "skewness"), of(F.kurtosis(x), "kurtosis"), of(fourth / F.nullif(3 * second * second, F.lit(0.0)) - 1, "ngaussalpha"))
+
+
+def references(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Long form (.., ref, value) of several distance columns, so that all are aggregated in one pass."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("ref"), F.col(c).cast("double").alias("value")) for r, c in columns.items()])
+    return df.withColumn("__e", F.explode(pairs)).select(*[c for c in df.columns if c not in ("ref", "value")], "__e.ref", "__e.value")
+
+
+def sample_entropy(df: DataFrame, x: str, m: int = 2, r: float = 0.2, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """-ln(A / B): pairs of m-words within r deviations whose next values agree too; null without such pairs. Words meet only inside their track."""
+    p = W.partitionBy(*keys)
+    s = df.select(*keys, F.row_number().over(p.orderBy(time)).alias("__i"), (F.stddev_pop(x).over(p) * r).alias("__tol"), *[F.lead(x, k).over(p.orderBy(time)).alias(f"__v{k}") if k else F.col(x).alias("__v0") for k in range(m + 1)]).where(f"__v{m} is not null")
+    pairs = s.alias("a").join(s.select(*keys, F.col("__i").alias("__j"), *[F.col(f"__v{k}").alias(f"__w{k}") for k in range(m + 1)]), keys).where("__i < __j")
+    near = [F.abs(F.col(f"__v{k}") - F.col(f"__w{k}")) < F.col("__tol") for k in range(m + 1)]
+    both = near[0]
+    for e in near[1:m]:
+        both = both & e
+    n = pairs.groupBy(*keys).agg(F.count_if(both).alias("b"), F.count_if(both & near[m]).alias("a"))
+    return n.select(*keys, F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))).alias("sample_entropy"))
+
+
+def increment_entropy(df: DataFrame, x: str, m: int = 3, levels: int = 4, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """Shannon entropy (ln) of m-words of signed increments, sizes cut to `levels` steps of their deviation."""
+    w, p = W.partitionBy(*keys).orderBy(time), W.partitionBy(*keys)
+    s = df.select(*keys, time, (F.col(x) - F.lag(x).over(w)).alias("__v")).where("__v is not null")
+    s = s.withColumn("__s", F.stddev_pop("__v").over(p))
+    size = F.when(F.col("__s") > 0, F.least(F.lit(levels), F.floor(F.abs(F.col("__v")) * levels / F.col("__s")).cast("int"))).otherwise(0)
+    s = s.withColumn("__q", (F.signum("__v") * size).cast("int"))
+    s = s.select(*keys, *[F.lag("__q", k).over(w).alias(f"__q{k}") for k in range(1, m)], F.col("__q").alias("__q0")).where(f"__q{m - 1} is not null")
+    n = s.groupBy(*keys, *[f"__q{k}" for k in range(m)]).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(p))
+    return n.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("increment_entropy"))

@@ -98,3 +98,35 @@ def average_z(df: DataFrame, group: str, x: str, reference) -> DataFrame:
     """Mean of (x - mean of the reference group) / its population deviation, per group."""
     ref = df.where(F.col(group) == reference).agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"))
     return df.join(F.broadcast(ref)).groupBy(group).agg(F.avg((F.col(x) - F.col("__m")) / F.col("__s")).alias("avg_z"))  # one row
+
+
+def ln_factorial(n: Column) -> Column:
+    """ln n!: the sum of logarithms below 20, Stirling's series with three corrections from there."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(20), n)).cast("int")), F.lit(0.0), lambda s, k: s + F.ln(k.cast("double")))
+    large = (x + 0.5) * F.ln(F.greatest(x, F.lit(1.0))) - x + 0.5 * F.ln(F.lit(2.0) * F.pi()) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(x < 20, small).otherwise(large)
+
+
+def hypergeometric_tails(df: DataFrame, n: str, k: str, draws: str, hits: str) -> DataFrame:
+    """df with p_over = P(X >= hits) and p_under = P(X <= hits) of `draws` from n with k marked; terms are spread over rows."""
+    c = F.col
+    low, high = F.greatest(F.lit(0), c(draws) + c(k) - c(n)).cast("long"), F.least(c(draws), c(k)).cast("long")
+    choose = lambda a, b: ln_factorial(a) - ln_factorial(b) - ln_factorial(a - b)
+    s = df.withColumn("__x", F.explode(F.sequence(low, high)))
+    s = s.withColumn("__p", F.exp(choose(c(k), c("__x")) + choose(c(n) - c(k), c(draws) - c("__x")) - choose(c(n), c(draws))))
+    return s.groupBy(*df.columns).agg(F.sum(F.when(c("__x") >= c(hits), c("__p")).otherwise(0.0)).alias("p_over"), F.sum(F.when(c("__x") <= c(hits), c("__p")).otherwise(0.0)).alias("p_under"))
+
+
+def enrichment(df: DataFrame, group: str, cls: str) -> DataFrame:
+    """Enrichment and depletion of each class in each group: the exact limit of shuffling the classes."""
+    hits = df.groupBy(group, cls).agg(F.count("*").alias("hits"))
+    out = hits.withColumn("n", F.sum("hits").over(W.partitionBy())).withColumn("k", F.sum("hits").over(W.partitionBy(cls))).withColumn("draws", F.sum("hits").over(W.partitionBy(group)))
+    return hypergeometric_tails(out, "n", "k", "draws", "hits")
+
+
+def two_level_curve(df: DataFrame, condition: str, unit: str, x: str, y: str, start: float, step: float, end: float, least: int) -> DataFrame:
+    """Means of each unit in its bins (with at least `least` rows), then mean and deviation over the units."""
+    b = df.where((F.col(x) >= start) & (F.col(x) < end)).withColumn("bin", (start + F.floor((F.col(x) - start) / step) * step).cast("double"))
+    per = b.groupBy(condition, unit, "bin").agg(F.avg(y).alias("__m"), F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return per.groupBy(condition, "bin").agg(F.avg("__m").alias("mean"), F.stddev_pop("__m").alias("std"), F.count("*").alias("units"))

@@ -94,3 +94,50 @@ def reduce_labels(df: DataFrame, column: str, keys: list[str] = SEGMENT, time: s
 def sample_tracks(df: DataFrame, label: str, n: int, key: Column, seed: int = 0) -> DataFrame:
     """n rows of each label by a hash of the key: the same at every run."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(label).orderBy(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), key))).where(F.col("__r") <= n).drop("__r")
+
+
+def keep_moving(df: DataFrame, coords: list[str], keys: list[str] = TRACK, time: str = "Time") -> DataFrame:
+    """Tracks with at least one interior angle over 0; a step without length makes the angle 0, as does a straight way back."""
+    w = in_order(keys, time)
+    s = steps(df, coords, keys, time)
+    dot = sum((-F.col(f"d_{c}") * F.lead(f"d_{c}").over(w) for c in coords[1:]), -F.col(f"d_{coords[0]}") * F.lead(f"d_{coords[0]}").over(w))
+    s = s.withColumn("__dot", dot).withColumn("__size", F.col("step") * F.lead("step").over(w))
+    bent = (F.col("__size") > 0) & (F.col("__dot") / F.nullif("__size", F.lit(0.0)) < 1 - 1e-12)
+    return s.withColumn("__moves", F.coalesce(F.bool_or(bent).over(W.partitionBy(*keys)), F.lit(False))).where("__moves").drop("__dot", "__size", "__moves", "step", *[f"d_{c}" for c in coords])
+
+
+def difference(df: DataFrame, feature: str, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """diff_<feature>: change from the frame before; null in the first."""
+    return df.withColumn(f"diff_{feature}", F.col(feature) - F.lag(feature).over(in_order(keys, time)))
+
+
+def as_series(df: DataFrame, feature: str, length: int | None = None, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """One array per track in order of time; with `length`, of that many places by frame number, null where no frame is."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(feature).alias("v"))))  # a track's frames
+    if length is None:
+        return df.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias(feature))
+    held = df.groupBy(*keys).agg(F.map_from_entries(pairs).alias("__m"))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.try_element_at("__m", i)).alias(feature))
+
+
+def frame_numbers(df: DataFrame, index: str, duration: int) -> DataFrame:
+    """One row per frame of each track number: index * duration and on."""
+    return df.withColumn("frame", F.explode(F.sequence(F.col(index) * duration, F.col(index) * duration + duration - 1)))
+
+
+def resample(df: DataFrame, coords: list[str], step: float, keys: list[str] = TRACK, time: str = "Time", bend: float = 2.01) -> DataFrame:
+    """Positions at min(time), + step, + 2 step, ... up to the last frame.
+
+    Grid point g between two frames lies at share a of the way, plus a (1 - a) d / bend on the axis
+    that moves most (the first of ties). Each stretch makes its own grid points, so nothing is joined.
+    """
+    w, c = in_order(keys, time), F.col
+    s = df.select(*keys, c(time).alias("__t"), F.coalesce(F.lead(time).over(w), c(time)).alias("__u"), F.min(time).over(W.partitionBy(*keys)).alias("__o"), *coords, *[F.coalesce(F.lead(x).over(w) - c(x), F.lit(0.0)).alias(f"__d{x}") for x in coords])
+    low = F.when(c("__t") == c("__o"), F.lit(0)).otherwise(F.floor((c("__t") - c("__o")) / step) + 1).cast("long")
+    high = F.floor((c("__u") - c("__o")) / step).cast("long")
+    s = s.withColumn("__lo", low).withColumn("__hi", high).where("__lo <= __hi").withColumn("n", F.explode(F.sequence("__lo", "__hi")))
+    s = s.withColumn(time, c("__o") + c("n") * step).withColumn("__a", F.when(c("__u") > c("__t"), (c(time) - c("__t")) / (c("__u") - c("__t"))).otherwise(0.0))
+    top = F.greatest(*[F.abs(c(f"__d{x}")) for x in coords]) if len(coords) > 1 else F.abs(c(f"__d{coords[0]}"))
+    first = F.array_position(F.array(*[F.abs(c(f"__d{x}")) for x in coords]), top)
+    at = [(c(x) + c("__a") * c(f"__d{x}") + F.when(first == k + 1, c("__a") * (1 - c("__a")) * c(f"__d{x}") / bend).otherwise(0.0)).alias(x) for k, x in enumerate(coords)]
+    return s.select(*keys, "n", time, *at)

@@ -54,7 +54,8 @@ def nearest_in_frame(points: DataFrame, targets: DataFrame, frame: list[str], ti
     around = F.sequence(F.lit(-reach), F.lit(reach))
     spread = targets.select(*frame, *[F.col(c).alias(f"t{c}") for c in "xyz"])
     for c in "xyz":
-        spread = spread.withColumn(f"k{c}", F.explode(F.transform(around, lambda o, c=c: F.floor(F.col(f"t{c}") / tile) + o)))
+        here = t(f"t{c}")
+        spread = spread.withColumn(f"k{c}", F.explode(F.transform(around, lambda o: here + o)))  # noqa: B023
     p = points.withColumn("kx", t("x")).withColumn("ky", t("y")).withColumn("kz", t("z"))
     d = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "yz"), (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))))
     near = p.join(spread, [*frame, "kx", "ky", "kz"]).groupBy(*frame, "id").agg(F.min(d).alias("distance"))

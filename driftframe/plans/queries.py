@@ -320,3 +320,6 @@ def _(s, d):
     zero = F.lit(0.0)
     t = scalar.project_on_line([zero, zero], [F.lit(3.0), F.lit(4.0)], [F.col("l_quantity"), F.col("l_tax")], True)
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", t.alias("t"))
+
+
+from . import features  # noqa: E402, F401  (registers its queries)

@@ -7,7 +7,7 @@ import pytest
 from driftframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events conversations embeddings".split()
 
 
 @pytest.fixture(scope="module")
