@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .stats import hypergeometric_tails
+
 
 def normalise(counts: DataFrame, total: float = 10_000.0) -> DataFrame:
     """value = ln(1 + count * total / sum of the cell)."""
@@ -57,3 +59,30 @@ def markers(values: DataFrame, cells: DataFrame) -> DataFrame:
     z = (w - F.col("n1") * (F.col("n") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * (F.col("n") - F.col("n1")) * (F.col("n") + 1) / 12)
     fold = F.log2((F.expm1(F.col("s") / F.col("n1")) + 1e-9) / (F.expm1((F.col("all_log") - F.col("s")) / (F.col("n") - F.col("n1"))) + 1e-9))
     return g.select("gene", "cluster", z.alias("z"), fold.alias("logfc"))
+
+
+def over_representation(lists: DataFrame, sets: DataFrame, genes: int) -> DataFrame:
+    """Hits and P(X >= hits) of each list in each set that shares a gene, out of `genes`; lists: (list_name, gene)."""
+    n = lambda d, k, c: d.groupBy(k).agg(F.count("*").alias(c))
+    lists, sets = lists.select("list_name", "gene").distinct(), sets.select("set_name", "gene").distinct()
+    hits = lists.join(sets, "gene").groupBy("list_name", "set_name").agg(F.count("*").alias("hits"))
+    all_ = hits.join(n(lists, "list_name", "draws"), "list_name").join(n(sets, "set_name", "k"), "set_name").withColumn("n", F.lit(genes).cast("long"))
+    return hypergeometric_tails(all_, "n", "k", "draws", "hits").select("list_name", "set_name", "hits", F.col("p_over").alias("p"))
+
+
+def linked_sets(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, component): the least id reachable over (one, two). Least labels spread and are halved by pointer jumps; each round is checkpointed where a folder is set."""
+    both = edges.select(F.col("one").alias("a"), F.col("two").alias("b")).unionByName(edges.select(F.col("two").alias("a"), F.col("one").alias("b")))
+    cut = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
+    both = both.checkpoint() if cut else both.persist()
+    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    for _ in range(rounds):
+        near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        new = label.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("old"))
+        up = label.select(F.col("id").alias("c"), F.col("component").alias("up"))
+        new = new.join(up, "c").select("id", F.least("c", "up").alias("component"), "old")
+        new = new.checkpoint() if cut else new.persist()
+        if new.where("component <> old").isEmpty():
+            return new.select("id", "component")
+        label = new.select("id", "component")
+    raise ValueError(f"labels still change after {rounds} rounds")

@@ -60,3 +60,36 @@ def nearest_in_frame(points: DataFrame, targets: DataFrame, frame: list[str], ti
     d = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "yz"), (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))))
     near = p.join(spread, [*frame, "kx", "ky", "kz"]).groupBy(*frame, "id").agg(F.min(d).alias("distance"))
     return points.join(near, [*frame, "id"], "left").withColumn("distance", F.when(F.col("distance") <= reach * tile, F.col("distance")))
+
+
+def box_sum(df: DataFrame, value: str, sizes: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """Sum of the values in the box of odd `sizes` (z, y, x) around each voxel that a box reaches: axis by axis, so each value is copied once per place along one axis."""
+    out = df.groupBy(*keys, "z", "y", "x").agg(F.sum(value).alias("sum"))
+    for axis, n in zip("zyx", sizes):
+        moved = F.explode(F.sequence(F.col(axis) - n // 2, F.col(axis) + n // 2))
+        out = out.withColumn(axis, moved).groupBy(*keys, "z", "y", "x").agg(F.sum("sum").alias("sum"))
+    return out
+
+
+def scale(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(v - min) / max of the stack; the two numbers per stack are counted first and joined."""
+    m = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return df.join(m, keys).withColumn("scaled", (F.col(value) - F.col("__lo")) / F.nullif("__hi", F.lit(0.0))).drop("__lo", "__hi")
+
+
+def fill_slices(df: DataFrame, value: str, extra: int, keys: list[str]) -> DataFrame:
+    """`extra` slices between neighbouring ones (z, one voxel each), on a straight line; z becomes z * (extra + 1)."""
+    w = W.partitionBy(*keys, "y", "x").orderBy("z")
+    s = df.withColumn("__n", F.lead(value).over(w)).withColumn("__z", F.lead("z").over(w))
+    s = s.withColumn("__k", F.explode(F.when(F.col("__z") == F.col("z") + 1, F.sequence(F.lit(0), F.lit(extra))).otherwise(F.array(F.lit(0)))))
+    step = F.col("__k") / (extra + 1)
+    return s.select(*keys, (F.col("z") * (extra + 1) + F.col("__k")).alias("z"), "y", "x", (F.col(value) + step * F.coalesce(F.col("__n") - F.col(value), F.lit(0.0))).alias(value))
+
+
+def clean_objects(df: DataFrame, label: str, least: int, shape: tuple[int, int, int]) -> DataFrame:
+    """Voxels of objects with at least `least` voxels that do not touch the border, labels renumbered from 1 in order."""
+    inside = [e for c, n in zip("zyx", shape) for e in (F.min(c) > 0, F.max(c) < n - 1)]
+    keep = df.groupBy(label).agg(F.count("*").alias("__n"), F.bool_and(F.lit(True)).alias("__t"), *[e.alias(f"__b{k}") for k, e in enumerate(inside)])
+    keep = keep.where(F.col("__n") >= least).where(" and ".join(f"__b{k}" for k in range(len(inside))))
+    names = keep.select(label, F.row_number().over(W.orderBy(label)).alias("new_label"))  # a row per object
+    return df.join(names, label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import expression, joins, maps, motility, ranking, signals, stats, tracks, voxels
+from ..operators import alignment, expression, joins, learning, maps, motility, ranking, signals, stats, tracks, voxels
 from .queries import BY, COUNTS, FRAMES, KEY, VOXELS, XYZ, _r, cells, counts, frames, query, read, segments
 
 W_PT = f"WINDOW w AS (PARTITION BY {BY} ORDER BY pt)"
@@ -271,3 +271,95 @@ def _(s, d):
     c = counts(s, d)
     n = c.select("cell_id").distinct().count()
     return expression.variable_genes(expression.normalise(c), n, 100).select("gene", F.round("normalised", 5).alias("normalised"))
+
+
+@query("v1_box_sum", VOXELS + """, b AS (SELECT t, z, y, x, sum(value) AS s FROM v GROUP BY 1, 2, 3, 4), o AS (SELECT unnest([-1, 0, 1]) AS o)
+SELECT cast(t AS bigint) AS t, cast(z + a.o AS bigint) AS z, y + b1.o AS y, x + c.o AS x, round(sum(s), 6) + 0.0::double AS sum FROM b, o a, o b1, o c GROUP BY 1, 2, 3, 4""")
+def _(s, d):
+    return voxels.box_sum(cells(s, d), "value", (3, 3, 3), ["t"])
+
+
+@query("v3_scaled", VOXELS + "SELECT cast(t AS bigint) AS t, cast(z AS bigint) AS z, y, x, round(avg((value - lo) / hi), 6) + 0.0::double AS scaled FROM v JOIN (SELECT t, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1) m USING (t) GROUP BY 1, 2, 3, 4")
+def _(s, d):
+    return voxels.scale(cells(s, d), "value", ["t"]).groupBy("t", "z", "y", "x").agg(F.avg("scaled").alias("scaled"))
+
+
+@query("v4_filled_slices", VOXELS + """, b AS (SELECT t, z, y, x, avg(value) AS v FROM v GROUP BY 1, 2, 3, 4)
+SELECT cast(t AS bigint) AS t, cast(z * 3 AS bigint) AS z, y, x, round(v, 6) + 0.0::double AS value FROM b
+UNION ALL SELECT cast(a.t AS bigint), cast(a.z * 3 + k AS bigint), a.y, a.x, round(a.v * (3 - k) / 3 + c.v * k / 3, 6) + 0.0::double FROM b a JOIN b c ON a.t = c.t AND a.y = c.y AND a.x = c.x AND c.z = a.z + 1, (SELECT unnest([1, 2]) AS k)""")
+def _(s, d):
+    one = cells(s, d).groupBy("t", "z", "y", "x").agg(F.avg("value").alias("value"))
+    return voxels.fill_slices(one, "value", 2, ["t"])
+
+
+@query("v5_clean_objects", """WITH v AS (SELECT l_orderkey AS label, l_linenumber AS z, l_suppkey % 32 AS y, l_partkey % 32 AS x FROM lineitem),
+k AS (SELECT label, row_number() OVER (ORDER BY label) AS new_label FROM v GROUP BY label HAVING count(*) >= 3 AND min(z) > 0 AND max(z) < 7 AND min(y) > 0 AND max(y) < 31 AND min(x) > 0 AND max(x) < 31)
+SELECT label, new_label, count(*) AS n FROM v JOIN k USING (label) GROUP BY 1, 2""")
+def _(s, d):
+    v = read(s, d, "lineitem").select(F.col("l_orderkey").alias("label"), F.col("l_linenumber").alias("z"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_partkey") % 32).alias("x"))
+    return voxels.clean_objects(v, "label", 3, (8, 32, 32)).groupBy("label", "new_label").agg(F.count("*").alias("n"))
+
+
+@query("e2_clipped", "SELECT c_custkey, round(greatest(-1.5::double, least(1.5::double, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ())), 6) + 0.0::double AS c_acctbal FROM customer")
+def _(s, d):
+    return learning.standardise(read(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], False, 1.5)
+
+
+def _sinkhorn(rounds: int) -> str:
+    c = "greatest((a.s_acctbal / 1000 - b.n_nationkey) * (a.s_acctbal / 1000 - b.n_nationkey), CASE WHEN a.s_nationkey % 5 <> b.n_regionkey THEN 100.0 ELSE 0.0 END)"
+    sql = f"WITH k AS (SELECT s_suppkey AS i, n_nationkey AS j, exp(-{c} / 50.0::double) AS k FROM supplier a, nation b), n AS (SELECT count(DISTINCT i) AS n, count(DISTINCT j) AS m FROM k), v0 AS (SELECT DISTINCT j, 1.0::double AS v FROM k)"
+    for r in range(rounds):
+        sql += f", u{r + 1} AS (SELECT i, 1 / (max(n) * sum(k * v)) AS u FROM k JOIN v{r} USING (j), n GROUP BY 1), v{r + 1} AS (SELECT j, 1 / (max(m) * sum(k * u)) AS v FROM k JOIN u{r + 1} USING (i), n GROUP BY 1)"
+    return sql + f", w AS (SELECT i, j, k * u * v AS mass FROM k JOIN u{rounds} USING (i) JOIN v{rounds} USING (j)) "
+
+
+def _plan(s, d):
+    a = read(s, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 1000).alias("score"), (F.col("s_nationkey") % 5).alias("label"))
+    b = read(s, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_nationkey").cast("double").alias("score"), F.col("n_regionkey").alias("label"))
+    return learning.transport(joins.label_cost(a, b), 50.0, 3)
+
+
+@query("x4_transport", _sinkhorn(3) + "SELECT i, cast(j AS bigint) AS j, round(mass, 6) + 0.0::double AS mass FROM w")
+def _(s, d):
+    return _plan(s, d)
+
+
+@query("x5_barycentric", _sinkhorn(3) + "SELECT cast(j AS bigint) AS j, 'acctbal' AS dim, round(sum(mass * s_acctbal) / sum(mass), 4) + 0.0::double AS value FROM w JOIN supplier ON s_suppkey = i GROUP BY 1")
+def _(s, d):
+    at = read(s, d, "supplier").select(F.col("s_suppkey").alias("i"), F.lit("acctbal").alias("dim"), F.col("s_acctbal").alias("value"))
+    return learning.barycentric(_plan(s, d), at).select("j", "dim", F.round("value", 4).alias("value"))
+
+
+@query("r8_over_representation", """WITH l AS (SELECT DISTINCT l_returnflag || l_linenumber AS list_name, l_partkey AS gene FROM lineitem WHERE l_quantity >= 49), q AS (SELECT DISTINCT l_suppkey AS set_name, l_partkey AS gene FROM lineitem WHERE l_quantity < 3),
+h AS (SELECT list_name, set_name, count(*) AS hits FROM l JOIN q USING (gene) GROUP BY 1, 2), m AS (SELECT list_name, count(*) AS m FROM l GROUP BY 1), k AS (SELECT set_name, count(*) AS k FROM q GROUP BY 1), t AS (SELECT count(*) AS n FROM part),
+x AS (SELECT *, unnest(range(hits, least(m, k) + 1)) AS x FROM h JOIN m USING (list_name) JOIN k USING (set_name), t)
+SELECT list_name, set_name, hits, round(sum(exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(m - x + 1) - lgamma(n - k - m + x + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1))), 6) + 0.0::double AS p FROM x GROUP BY 1, 2, 3""")
+def _(s, d):
+    i = read(s, d, "lineitem")
+    lists = i.where("l_quantity >= 49").select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("list_name"), F.col("l_partkey").alias("gene"))
+    sets = i.where("l_quantity < 3").select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene"))
+    return expression.over_representation(lists, sets, read(s, d, "part").count())
+
+
+@query("r9_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.03),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.id)
+SELECT id, min(c) AS component FROM r GROUP BY 1""")
+def _(s, d):
+    e = read(s, d, "lineitem").where("l_quantity >= 50 and l_discount < 0.03").select(F.col("l_suppkey").alias("one"), (F.col("l_partkey") + 1000000).alias("two")).distinct()
+    return expression.linked_sets(e)
+
+
+def _shape(s, d):
+    i = read(s, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return i.groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in i.columns[1:]])
+
+
+#: Without SQL: learned or fitted results, tested by their invariants.
+FITTED = {
+    "a1_registered": lambda s, d: alignment.register(segments(s, d), XYZ),
+    "a2_reflected": lambda s, d: alignment.register(segments(s, d), XYZ, reflect=True),
+    "a9_random_walks": lambda s, d: alignment.random_walks(segments(s, d), ["x", "y"]),
+    "a10_random_walks_3d": lambda s, d: alignment.random_walks(segments(s, d), XYZ, max_noise=100.0, share=3),
+    "e3_components": lambda s, d: learning.components(_shape(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+    "e4_clusters": lambda s, d: learning.clusters(read(s, d, "embeddings"), "embedding").select("vec_id", "cluster"),
+}
