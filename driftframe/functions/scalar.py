@@ -51,3 +51,24 @@ def project_on_line(start: list[Column], end: list[Column], target: list[Column]
     dot = lambda a, b: sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])
     t = dot([p - s for s, p in zip(start, target)], d) / F.nullif(dot(d, d), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) if segment else t
+
+
+def day_and_group(name: Column) -> tuple[Column, Column]:
+    """Day (the letter after the second `-`, then its number without leading zeros) and the one-letter group after it."""
+    part = F.split_part(name, F.lit("-"), F.lit(3))
+    day = F.regexp_extract(part, "^[A-Za-z][0-9]+", 0)
+    return F.regexp_replace(day, "^([A-Za-z])0+(?=[0-9])", "$1"), F.substr(part, F.length(day) + 1, F.lit(1))
+
+
+def frame_interval(name: Column) -> Column:
+    """Seconds between frames by the recording's name."""
+    return F.when(F.contains(F.lower(name), F.lit("int15s")), 15).otherwise(30)
+
+
+def to_voxel(x: Column, size: float, count: int) -> Column:
+    """Index of the voxel at x: rounded half to even, clipped to the stack."""
+    return F.least(F.lit(count - 1), F.greatest(F.lit(0), F.bround(x / size).cast("int")))
+
+
+def significance(z: Column, p: Column, z_limit: float, p_limit: float) -> Column:
+    return F.when((F.abs(z) < z_limit) | (p < p_limit), "NoChange").otherwise("Change")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -76,3 +78,32 @@ def increment_entropy(df: DataFrame, x: str, m: int = 3, levels: int = 4, keys:
     s = s.select(*keys, *[F.lag("__q", k).over(w).alias(f"__q{k}") for k in range(1, m)], F.col("__q").alias("__q0")).where(f"__q{m - 1} is not null")
     n = s.groupBy(*keys, *[f"__q{k}" for k in range(m)]).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(p))
     return n.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("increment_entropy"))
+
+
+def _entropies(v: np.ndarray, m: int, r: float) -> tuple[float, float]:
+    """Approximate entropy (words of m within r deviations, self included) and attention entropy (gaps between peaks and valleys)."""
+    tol = r * v.std()
+
+    def phi(k: int) -> float:
+        words = np.lib.stride_tricks.sliding_window_view(v, k)
+        near = np.abs(words[:, None] - words[None]).max(axis=2) <= tol
+        return float(np.log(near.mean(axis=1)).mean())
+
+    d = np.sign(np.diff(v))
+    up, down = (np.flatnonzero((s * d[:-1] > 0) & (s * d[1:] < 0)) + 1 for s in (1, -1))
+    gaps = [np.diff(up), np.diff(down)] + [b[i[ok]] - a[ok] for a, b in ((up, down), (down, up)) for i in [np.searchsorted(b, a)] for ok in [i < len(b)]]
+    shares = [np.unique(g, return_counts=True)[1] / len(g) for g in gaps if len(g)]
+    return phi(m) - phi(m + 1), sum(float(-(p * np.log(p)).sum()) for p in shares) / 4
+
+
+def entropies(df: DataFrame, x: str, m: int = 3, r: float = 0.2, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """approximate_entropy and attention_entropy of each track; both null for constant or short series or with missing values."""
+    series = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("v"))  # a track's frames
+
+    @F.pandas_udf("approximate_entropy double, attention_entropy double")
+    def of(v: pd.Series) -> pd.DataFrame:
+        ok = lambda a: len(a) > m + 1 and np.isfinite(a).all() and a.std() > 0
+        return pd.DataFrame([_entropies(a, m, r) if ok(a) else (None, None) for a in (np.asarray(s, float) for s in v)], columns=["approximate_entropy", "attention_entropy"], dtype=float)
+
+    out = series.select(*keys, of("v").alias("e"))
+    return out.select(*keys, *[F.nanvl(F.col(f"e.{c}"), F.lit(None)).alias(c) for c in ("approximate_entropy", "attention_entropy")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import alignment, expression, joins, learning, maps, motility, ranking, signals, stats, tracks, voxels
 from .queries import BY, COUNTS, FRAMES, KEY, VOXELS, XYZ, _r, cells, counts, frames, query, read, segments
 
@@ -349,6 +350,41 @@ def _(s, d):
     return expression.linked_sets(e)
 
 
+@query("p1_recoded", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
+def _(s, d):
+    return read(s, d, "orders").select("o_orderkey", scalar.recode(F.col("o_orderstatus"), {"F": "filled", "O": "open"}).alias("status"))
+
+
+@query("p4_day_and_group", """WITH n AS (SELECT c_custkey, 'x-y-D' || lpad(cast(c_custkey % 30 AS varchar), 2, '0') || chr(cast(65 + c_custkey % 3 AS int)) || '-int' || CASE WHEN c_custkey % 2 = 0 THEN '15S' ELSE '30s' END AS n FROM customer)
+SELECT c_custkey, 'D' || (c_custkey % 30) AS day, chr(cast(65 + c_custkey % 3 AS int)) AS exp_group, CASE WHEN c_custkey % 2 = 0 THEN 15 ELSE 30 END AS frame_interval FROM n""")
+def _(s, d):
+    k = F.col("c_custkey")
+    n = F.concat(F.lit("x-y-D"), F.lpad((k % 30).cast("string"), 2, "0"), F.char(65 + k % 3), F.lit("-int"), F.when(k % 2 == 0, "15S").otherwise("30s"))
+    day, group = scalar.day_and_group(n)
+    return read(s, d, "customer").select("c_custkey", day.alias("day"), group.alias("exp_group"), scalar.frame_interval(n).alias("frame_interval"))
+
+
+@query("p14_first_parts", "SELECT p_partkey, array_to_string(string_split(p_type, ' ')[1:2], '+') AS parts FROM part")
+def _(s, d):
+    return read(s, d, "part").select("p_partkey", F.array_join(scalar.first_parts(F.col("p_type"), 2, " "), "+").alias("parts"))
+
+
+@query("p18_significance", "SELECT c_custkey, CASE WHEN abs(c_acctbal / 5000) < 0.5 OR c_nationkey / 25.0 < 0.05 THEN 'NoChange' ELSE 'Change' END AS flag FROM customer")
+def _(s, d):
+    return read(s, d, "customer").select("c_custkey", scalar.significance(F.col("c_acctbal") / 5000, F.col("c_nationkey") / 25.0, 0.5, 0.05).alias("flag"))
+
+
+@query("p20_nice_step", """SELECT o_orderkey, v AS step FROM (SELECT o_orderkey, c * power(10, floor(log10(o_totalprice))) AS v, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(c * power(10, floor(log10(o_totalprice))) - o_totalprice), c) AS r
+FROM orders, (SELECT unnest([1, 2, 2.5, 5, 10])::double AS c) WHERE o_totalprice > 0) WHERE r = 1""")
+def _(s, d):
+    return read(s, d, "orders").where("o_totalprice > 0").select("o_orderkey", scalar.nice_step(F.col("o_totalprice")).alias("step"))
+
+
+@query("f5_voxel_index", "SELECT event_id, cast(least(31, greatest(0, round_even(value / 4, 0))) AS bigint) AS i FROM events")
+def _(s, d):
+    return read(s, d, "events").select("event_id", scalar.to_voxel(F.col("value"), 4.0, 32).alias("i"))
+
+
 def _shape(s, d):
     i = read(s, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return i.groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in i.columns[1:]])
@@ -360,6 +396,7 @@ FITTED = {
     "a2_reflected": lambda s, d: alignment.register(segments(s, d), XYZ, reflect=True),
     "a9_random_walks": lambda s, d: alignment.random_walks(segments(s, d), ["x", "y"]),
     "a10_random_walks_3d": lambda s, d: alignment.random_walks(segments(s, d), XYZ, max_noise=100.0, share=3),
+    "g8_entropies": lambda s, d: signals.entropies(segments(s, d), "x"),
     "e3_components": lambda s, d: learning.components(_shape(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "e4_clusters": lambda s, d: learning.clusters(read(s, d, "embeddings"), "embedding").select("vec_id", "cluster"),
 }

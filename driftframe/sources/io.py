@@ -27,7 +27,7 @@ def widen(long: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, gene) of a tab-separated file: name, address, genes."""
     parts = F.split("value", "\t")
-    return spark.read.text(path).select(parts[0].alias("set_name"), F.explode(F.slice(parts, 3, 100_000)).alias("gene")).where("gene <> ''")
+    return spark.read.text(path).select(parts[0].alias("set_name"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.lit(0), F.size(parts) - 2))).alias("gene")).where("gene <> ''")
 
 
 def write(df: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftframe.operators import alignment, learning
+from driftframe.operators import alignment, learning, signals
+from driftframe.sources import io
 from driftframe.plans.features import FITTED
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,30 @@ def test_components_hold_the_variance(spark):
 @pytest.mark.parametrize("name", sorted(FITTED))
 def test_fitted_queries_return_rows(spark, name):
     assert FITTED[name](spark, SF).count() > 0
+
+
+def test_entropies_against_loops(spark):
+    v = np.random.default_rng(2).normal(size=15)
+    df = spark.createDataFrame([("T", k, 0, t, float(x)) for k, s in (("a", v), ("flat", np.ones(15))) for t, x in enumerate(s)], "Type string, Label string, seg int, pt int, v double")
+    got = signals.entropies(df, "v", 2).toPandas().set_index("Label")
+
+    def phi(m):
+        w = [v[i : i + m] for i in range(len(v) - m + 1)]
+        return np.mean([np.log(np.mean([max(abs(a - b)) <= 0.2 * v.std() for b in w])) for a in w])
+
+    assert abs(got.loc["a", "approximate_entropy"] - (phi(2) - phi(3))) < 1e-9
+    assert got.loc["flat"].filter(like="entropy").isna().all()
+
+
+def test_gene_sets(spark, tmp_path):
+    (tmp_path / "a.gmt").write_text("S1\tu\tg1\tg2\nS2\tu\tg3\nS3\tu\n")
+    assert sorted(map(tuple, io.read_gene_sets(spark, str(tmp_path / "a.gmt")).collect())) == [("S1", "g1"), ("S1", "g2"), ("S2", "g3")]
+
+
+def test_measures_are_joined_by_key(spark, tmp_path):
+    head = "a\nb\nc\nValue,Unit,Category,TrackID,Time,ID\n"
+    (tmp_path / "v_Volume.csv").write_text(head + "2.5,um,x,7,1,1\n3.5,um,x,8,1,2\n")
+    (tmp_path / "v_Overlapped=T.csv").write_text(head + "0.25,um,x,8,1,9\n")
+    long = io.read_measures(spark, str(tmp_path))
+    got = io.widen(long, ["TrackID", "Time"], ["Volume", "Overlapped=T"]).orderBy("TrackID").collect()
+    assert [tuple(r) for r in got] == [(7, 1, 2.5, 0.0), (8, 1, 3.5, 0.25)]
