@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordering import value_parts
+
 
 def top_by_size(df: DataFrame, group: str, score: str, tie: str, n: int) -> DataFrame:
     """n rows of each group by absolute score, ties by `tie`; tasks keep n per group before the shuffle."""
@@ -21,10 +23,11 @@ def extremes(df: DataFrame, score: str, tie: str, n: int) -> DataFrame:
 def split_at_gap(df: DataFrame, x: str) -> DataFrame:
     """df with `outlier`: the smaller side of the widest gap between sorted values (first of ties).
 
-    Values are dealt out by range; gaps inside a part and between the ends of neighbouring parts are
+    Values are dealt out by quantile; gaps inside a part and between the ends of neighbouring parts are
     all the gaps there are, so no task sees the whole column.
     """
-    parts = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v")).distinct().repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    values = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v"))
+    parts = values.distinct().withColumn("part", value_parts(values, "v"))
     inner = parts.withColumn("before", F.lag("v").over(W.partitionBy("part").orderBy("v"))).select("v", "before")
     ends = parts.groupBy("part").agg(F.min("v").alias("v"), F.max("v").alias("top"))
     outer = ends.select("v", F.lag("top").over(W.orderBy("part")).alias("before"))  # a row per part

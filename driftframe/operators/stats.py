@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .ordering import running_before, value_parts
+
 
 def shares(df: DataFrame, condition: str, cluster: str) -> DataFrame:
     """Percent of each cluster within its condition, 0 for pairs that do not occur, and its percent across conditions."""
@@ -37,29 +43,54 @@ def cohen_d(df: DataFrame, group: str, x: str, one, two) -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, x: str, within: list[str] | None = None) -> DataFrame:
-    """df with mid_rank and ties of x, overall or within groups: values are counted first, so ties cost one row."""
+    """df with mid_rank and ties of x, overall or within groups: values are counted first, so ties cost one row, and ranked in parts."""
     within = within or []
-    values = df.where(F.col(x).isNotNull()).groupBy(*within, x).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(W.partitionBy(*within).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(values.withColumn("mid_rank", before + (F.col("ties") + 1) / 2), [*within, x])
+    df = df.where(F.col(x).isNotNull())
+    values = df.groupBy(*within, x).agg(F.count("*").alias("ties"))
+    values = running_before(values, x, "ties", value_parts(df, x), within)
+    return df.join(values.select(*within, x, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("mid_rank")), [*within, x])
 
 
 def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
-    """Per pair of groups: Mann-Whitney U of the first, rank-sum z without corrections."""
+    """Per pair of groups: Mann-Whitney U of the first, rank-sum z without corrections. Equal values of a group are counted before they meet the pairs."""
     g = df.select(F.col(group).alias("g"), F.col(x).alias("x")).where("g is not null and x is not null")
+    part = value_parts(g, "x")
+    g = g.groupBy("g", "x").agg(F.count("*").alias("n"))
     names = g.select("g").distinct()
     pairs = names.select(F.col("g").alias("one")).join(names.select(F.col("g").alias("two")), F.col("one") < F.col("two"))  # groups, not rows
-    member = g.join(F.broadcast(pairs), (F.col("g") == F.col("one")) | (F.col("g") == F.col("two")))
-    r = mid_ranks(member, "x", ["one", "two"])
-    first = F.col("g") == F.col("one")
-    s = r.groupBy("one", "two").agg(F.sum(F.when(first, F.col("mid_rank"))).alias("w"), F.count(F.when(first, 1)).alias("n1"), F.count(F.when(~first, 1)).alias("n2"))
-    return s.select("one", "two", (F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), ((F.col("w") - F.col("n1") * (F.col("n1") + F.col("n2") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)).alias("z"))
+    sides = pairs.withColumn("g", F.explode(F.array("one", "two")))
+    v = g.join(sides, "g").groupBy("one", "two", "x").agg(F.sum(F.when(F.col("g") == F.col("one"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("ties"))
+    r = running_before(v, "x", "ties", part, ["one", "two"])
+    s = r.groupBy("one", "two").agg(F.sum(F.col("a") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("w"), F.sum("a").alias("n1"), F.sum(F.col("ties") - F.col("a")).alias("n2"))
+    u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2
+    z = (F.col("w") - F.col("n1") * (F.col("n1") + F.col("n2") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
+    return s.select("one", "two", u.alias("u"), z.alias("z"))
+
+
+@F.pandas_udf(T.DoubleType())
+def two_sided_p(z: pd.Series) -> pd.Series:
+    """P(|Z| >= |z|) of the normal distribution; a row per test. Null or not a number stays so."""
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+
+
+def welch_tests(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Per pair of groups: Welch's t (first less second) and its degrees of freedom, from one pass of moments; null where both deviate by 0."""
+    m = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(x).alias("m"), (F.var_samp(x) / F.count(x)).alias("v"), F.count(x).alias("n"))
+    side = lambda k, name: m.select(F.col(group).alias(name), *[F.col(c).alias(f"{c}{k}") for c in "mvn"])
+    v = F.col("v1") + F.col("v2")
+    t = (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(v), F.lit(0.0))
+    dof = v * v / F.nullif(F.col("v1") * F.col("v1") / (F.col("n1") - 1) + F.col("v2") * F.col("v2") / (F.col("n2") - 1), F.lit(0.0))
+    return side(1, "one").join(side(2, "two"), F.col("one") < F.col("two")).select("one", "two", t.alias("t"), dof.alias("dof"))  # groups, not rows
 
 
 def kruskal_wallis(df: DataFrame, group: str, x: str) -> DataFrame:
-    """H with the correction for ties."""
-    r = mid_ranks(df.select(group, x), x)
-    by = r.groupBy(group).agg(F.sum("mid_rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1.0).alias("t"))
+    """H with the correction for ties; equal values of a group are counted first."""
+    df = df.select(F.col(group).alias("g"), F.col(x).alias("x")).where("x is not null")
+    part = value_parts(df, "x")
+    own = df.groupBy("g", "x").agg(F.count("*").alias("k"))
+    values = running_before(own.groupBy("x").agg(F.sum("k").alias("ties")), "x", "ties", part)
+    r = own.join(values, "x")
+    by = r.groupBy("g").agg(F.sum(F.col("k") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("r"), F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("ties") * F.col("ties") - 1.0)).alias("t"))
     n = F.sum("n").cast("double")
     return by.agg(((12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)) / (1 - F.sum("t") / (n * n * n - n))).alias("h"))
 
@@ -74,11 +105,19 @@ def anova(df: DataFrame, group: str, x: str) -> DataFrame:
 
 def adjust(df: DataFrame, p: str, order: list[str], method: str = "bh") -> DataFrame:
     """adjusted: Bonferroni (at most 1), or Benjamini-Hochberg step-up without a cap. One row per test."""
-    n = F.count("*").over(W.partitionBy())
     if method == "bonferroni":
-        return df.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * n))
-    df = df.withColumn("__q", F.col(p) * n / F.row_number().over(W.orderBy(p, *order)))
-    return df.withColumn("adjusted", F.min("__q").over(W.orderBy(F.desc(p), *[F.desc(c) for c in order]))).drop("__q")
+        n = df.agg(F.count("*").alias("__n"))
+        return df.join(F.broadcast(n)).withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")  # one row
+    s = df.withColumn("__part", value_parts(df, p))
+    s = s.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(p, *order)))
+    sums = s.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per part, as below
+    off = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.join(sums.select("__part", off.alias("__off"), F.sum("__n").over(W.partitionBy()).alias("__all")), "__part")
+    s = s.withColumn("__q", F.col(p) * F.col("__all") / (F.col("__off") + F.col("__at")))
+    later = F.min("__low").over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1))
+    lows = s.groupBy("__part").agg(F.min("__q").alias("__low")).select("__part", later.alias("__later"))
+    own = F.min("__q").over(W.partitionBy("__part").orderBy(F.desc("__at")))
+    return s.withColumn("__own", own).join(lows, "__part").withColumn("adjusted", F.least("__own", "__later")).drop("__part", "__at", "__off", "__all", "__q", "__own", "__later")
 
 
 def transitions(df: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:

@@ -286,13 +286,13 @@ def _(s, d):
     return expression.normalise(counts(s, d)).groupBy("gene").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("cells"))
 
 
-@query("r5_markers", COUNTS + """, k AS (SELECT s_suppkey AS cell_id, s_nationkey % 3 AS cluster FROM supplier), g AS (SELECT DISTINCT gene FROM c WHERE gene LIKE '%7'),
+@query("r5_markers", COUNTS + """, k AS (SELECT s_suppkey AS cell_id, s_nationkey % 3 AS cluster FROM supplier), g AS (SELECT DISTINCT gene FROM c),
 f AS (SELECT g.gene, k.cluster, coalesce(v.value, 0) AS value FROM g CROSS JOIN k LEFT JOIN v ON v.gene = g.gene AND v.cell_id = k.cell_id),
 r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY gene, round(value, 9)) - 1) / 2.0::double AS r, count(*) OVER (PARTITION BY gene) AS n FROM f),
 w AS (SELECT gene, cluster, sum(r) AS w, cast(count(*) AS double) AS n1, cast(max(n) AS double) AS n FROM r GROUP BY 1, 2)
 SELECT gene, cast(cluster AS bigint) AS cluster, round((w - n1 * (n + 1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12), 5) + 0.0::double AS z FROM w""")
 def _(s, d):
-    v = expression.normalise(counts(s, d)).withColumn("value", F.round("value", 9)).where(F.col("gene").endswith("7"))
+    v = expression.normalise(counts(s, d)).withColumn("value", F.round("value", 9))
     k = read(s, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_nationkey") % 3).alias("cluster"))
     return expression.markers(v, k).select("gene", "cluster", F.round("z", 5).alias("z"))
 
