@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordering import running_before, value_parts
 from .stats import hypergeometric_tails
 
 
@@ -86,3 +87,33 @@ def linked_sets(edges: DataFrame, rounds: int = 50) -> DataFrame:
             return new.select("id", "component")
         label = new.select("id", "component")
     raise ValueError(f"labels still change after {rounds} rounds")
+
+
+def set_scores(values: DataFrame, cells: int, sets: DataFrame, bins: int = 25, controls: int = 50, seed: int = 0) -> DataFrame:
+    """(set_name, cell_id, score): mean of the set's genes less the mean of control genes; cells that hold none of either (score 0) are left out.
+
+    Genes are ranked by mean over all cells (absent pairs are zeros) and cut into `bins` runs. Of
+    each run the `controls` genes first by a hash are drawn; those of the runs that a set touches,
+    without its own genes, are its controls. Only genes with a count are known; a part without genes counts 0.
+    """
+    means = values.groupBy("gene").agg(F.round(F.sum("value") / cells, 8).alias("mean"))
+    levels = running_before(means.groupBy("mean").agg(F.count("*").alias("n")), "mean", "n", value_parts(means, "mean"))
+    size = F.greatest(F.lit(1), F.round(F.count("*") / (bins - 1), 0)).cast("long")
+    ranked = means.join(levels.select("mean", "before"), "mean").join(F.broadcast(means.agg(size.alias("size"))))  # one row
+    ranked = ranked.select("gene", F.floor((F.col("before") + 1) / F.col("size")).alias("bin"))
+    drawn = ranked.withColumn("r", F.row_number().over(W.partitionBy("bin").orderBy(F.md5(F.concat_ws(":", "gene", F.lit(str(seed)))), "gene"))).where(F.col("r") <= controls).select("gene", "bin")
+    own = sets.select("set_name", "gene").distinct().join(ranked, "gene")
+    other = own.select("set_name", "bin").distinct().join(drawn, "bin").join(own.select("set_name", "gene"), ["set_name", "gene"], "left_anti")
+    part = own.select("set_name", "gene", F.lit(True).alias("own")).unionByName(other.select("set_name", "gene", F.lit(False).alias("own")))
+    counts = part.groupBy("set_name").agg(F.count_if("own").alias("k"), F.count_if(~F.col("own")).alias("c"))
+    s = part.join(values.select("gene", "cell_id", "value"), "gene").groupBy("set_name", "cell_id").agg(F.sum(F.when(F.col("own"), F.col("value")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("value")).otherwise(0.0)).alias("b"))
+    score = F.col("a") / F.col("k") - F.coalesce(F.col("b") / F.nullif("c", F.lit(0)), F.lit(0.0))
+    return s.join(counts, "set_name").select("set_name", "cell_id", score.alias("score"))
+
+
+def distinctive(df: DataFrame, gene: str, cluster: str, fold: str, p: str, level: float = 0.05) -> DataFrame:
+    """df with `distinctive`: fold change times -log10 p over 1 + the other clusters where the gene is significant; a missing fold is 0, p 1; p = 0 gives 0."""
+    q = F.coalesce(F.col(p), F.lit(1.0))
+    sig = F.when(q < level, 1).otherwise(0)
+    others = F.sum(sig).over(W.partitionBy(gene)) - sig
+    return df.withColumn("distinctive", F.when(q > 0, F.coalesce(F.col(fold), F.lit(0.0)) * -F.log10(q) / (1 + others)).otherwise(0.0))

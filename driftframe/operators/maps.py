@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scalar import nice_step
+
 
 def grid_index(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """ix, iy: nearest node of a bins x bins grid from floor(min) - 1 to ceil(max) + 1, the lower one on ties."""
@@ -46,3 +48,21 @@ def density(df: DataFrame, x: str, y: str, nodes: int) -> DataFrame:
     p = p.withColumn("dx", F.expr(f"lx + ix * (hx - lx) / {nodes - 1}") - F.col("__x")).withColumn("dy", F.expr(f"ly + iy * (hy - ly) / {nodes - 1}") - F.col("__y"))
     g = p.groupBy("ix", "iy").agg(F.sum(F.exp(F.expr("-(vy * dx * dx - 2 * vc * dx * dy + vx * dy * dy) / (2 * det)"))).alias("g"))
     return g.select("ix", "iy", (F.col("g") / F.sum("g").over(W.partitionBy())).alias("density"))
+
+
+def automatic_range(df: DataFrame, condition: str, x: str, y: str, fewest: int = 3, most: int = 10, least: int = 2) -> DataFrame:
+    """One row (first, last, step, bins): start of the first and last bin of the longest run of bins in which every condition has `least` values of y.
+
+    Steps are the nice ones near the range over most .. fewest; runs shorter than `fewest` do not
+    count; ties go to the wider run, then the finer step, then the lower run. No row if there is none.
+    """
+    d = df.select(F.col(condition).alias("g"), F.col(x).cast("double").alias("v"), F.col(y).cast("double").alias("w")).where("g is not null and abs(v) < double('infinity') and abs(w) < double('infinity')")
+    lim = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_distinct("g").alias("groups")).withColumn("tried", F.explode(F.sequence(F.lit(most), F.lit(fewest), F.lit(-1))))
+    lim = lim.withColumn("step", nice_step((F.col("hi") - F.col("lo")) / F.col("tried"))).where("step is not null").groupBy("lo", "hi", "groups", "step").agg(F.max("tried").alias("tried"))
+    lim = lim.withColumn("start", F.floor(F.col("lo") / F.col("step")) * F.col("step")).withColumn("end", F.ceil(F.col("hi") / F.col("step")) * F.col("step"))
+    at = d.join(F.broadcast(lim)).withColumn("i", F.floor((F.col("v") - F.col("start")) / F.col("step"))).where("start + i * step < end")  # a row per candidate
+    full = at.groupBy("tried", "step", "start", "groups", "i", "g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    full = full.groupBy("tried", "step", "start", "groups", "i").agg(F.count("*").alias("k")).where("k = groups")
+    run = full.withColumn("r", F.col("i") - F.row_number().over(W.partitionBy("tried").orderBy("i"))).groupBy("tried", "step", "start", "r").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count("*").alias("bins"))
+    best = run.where(F.col("bins") >= fewest).orderBy(F.desc("bins"), F.desc(F.col("step") * F.col("bins")), F.desc("tried"), "a").limit(1)
+    return best.select((F.col("start") + F.col("a") * F.col("step")).alias("first"), (F.col("start") + F.col("b") * F.col("step")).alias("last"), "step", "bins")

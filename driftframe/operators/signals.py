@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,3 +110,40 @@ def entropies(df: DataFrame, x: str, m: int = 3, r: float = 0.2, keys: list[str]
 
     out = series.select(*keys, of("v").alias("e"))
     return out.select(*keys, *[F.nanvl(F.col(f"e.{c}"), F.lit(None)).alias(c) for c in ("approximate_entropy", "attention_entropy")])
+
+
+def bubble_entropy(df: DataFrame, x: str, m: int = 3, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """Growth of the collision entropy of swaps that sort words of m and m + 1 values, over ln((m + 1) / (m - 1)); null without m + 1 values."""
+    w = W.partitionBy(*keys).orderBy(time)
+    s = df.where(F.col(x).isNotNull()).select(*keys, *[F.lag(x, m - k).over(w).alias(f"__v{k}") if k < m else F.col(x).alias(f"__v{k}") for k in range(m + 1)])
+    swaps = lambda lo: sum((F.when(F.col(f"__v{i}") > F.col(f"__v{j}"), 1).otherwise(0) for i in range(lo, m + 1) for j in range(i + 1, m + 1)), F.lit(0))
+    words = F.array(F.struct(F.lit(m).alias("k"), swaps(1).alias("s"), F.col("__v1").isNotNull().alias("ok")), F.struct(F.lit(m + 1).alias("k"), swaps(0).alias("s"), F.col("__v0").isNotNull().alias("ok")))
+    n = s.select(*keys, F.inline(words)).where("ok").groupBy(*keys, "k", "s").agg(F.count("*").alias("n"))
+    n = n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys, "k")))
+    h = lambda k: -F.ln(F.sum(F.when(F.col("k") == k, F.col("p") * F.col("p"))))
+    return n.groupBy(*keys).agg(((h(m + 1) - h(m)) / math.log((m + 1) / (m - 1))).alias("bubble_entropy"))
+
+
+def cosine_entropy(df: DataFrame, x: str, m: int = 3, r: float = 0.1, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """Entropy (ln) of the share of pairs of m-words with an angle below r half turns; 0 if none or all. Words meet only inside their track."""
+    p = W.partitionBy(*keys)
+    s = df.where(F.col(x).isNotNull()).select(*keys, F.row_number().over(p.orderBy(time)).alias("__i"), *[(F.lead(x, k).over(p.orderBy(time)) if k else F.col(x)).cast("double").alias(f"__v{k}") for k in range(m)]).where(f"__v{m - 1} is not null")
+    dot = lambda a, b: sum((F.col(f"{a}{k}") * F.col(f"{b}{k}") for k in range(1, m)), F.col(f"{a}0") * F.col(f"{b}0"))
+    s = s.withColumn("__size", F.sqrt(dot("__v", "__v")))
+    pairs = s.join(s.select(*keys, F.col("__i").alias("__j"), F.col("__size").alias("__other"), *[F.col(f"__v{k}").alias(f"__w{k}") for k in range(m)]), keys).where("__i < __j")
+    cos = dot("__v", "__w") / F.nullif(F.col("__size") * F.col("__other"), F.lit(0.0))
+    share = F.count_if(F.coalesce(cos, F.lit(-2.0)) > math.cos(math.pi * r)) / F.count("*")
+    n = pairs.groupBy(*keys).agg(share.alias("b"))
+    b = F.col("b")
+    return n.select(*keys, F.when((b > 0) & (b < 1), -b * F.ln(b) - (1 - b) * F.ln(1 - b)).otherwise(0.0).alias("cosine_entropy"))
+
+
+def dispersion_entropy(df: DataFrame, x: str, m: int = 3, c: int = 3, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """Shannon entropy (ln) of m-words of classes: values cut at the c-quantiles of the normal distribution with the track's mean and population deviation; null where that is 0."""
+    p = W.partitionBy(*keys)
+    cuts = [NormalDist().inv_cdf(k / c) for k in range(1, c)]
+    s = df.where(F.col(x).isNotNull()).select(*keys, time, ((F.col(x) - F.avg(x).over(p)) / F.nullif(F.stddev_pop(x).over(p), F.lit(0.0))).alias("__z"))
+    s = s.where("__z is not null").withColumn("__c", sum((F.when(F.col("__z") >= k, 1).otherwise(0) for k in cuts), F.lit(0)))
+    s = s.select(*keys, *[F.lead("__c", k).over(p.orderBy(time)).alias(f"__c{k}") if k else F.col("__c").alias("__c0") for k in range(m)]).where(f"__c{m - 1} is not null")
+    n = s.groupBy(*keys, *[f"__c{k}" for k in range(m)]).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(p))
+    return n.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("dispersion_entropy"))

@@ -141,3 +141,28 @@ def resample(df: DataFrame, coords: list[str], step: float, keys: list[str] = TR
     first = F.array_position(F.array(*[F.abs(c(f"__d{x}")) for x in coords]), top)
     at = [(c(x) + c("__a") * c(f"__d{x}") + F.when(first == k + 1, c("__a") * (1 - c("__a")) * c(f"__d{x}") / bend).otherwise(0.0)).alias(x) for k, x in enumerate(coords)]
     return s.select(*keys, "n", time, *at)
+
+
+def fit_interval(df: DataFrame, coords: list[str], interval: int, wanted: int, keys: list[str] = TRACK, time: str = "Time", bend: float = 2.01) -> DataFrame:
+    """Positions at wanted, 2 wanted, ... of steps that last `interval`: (keys, n, time, coords, kept).
+
+    A step gives one position at most; where steps are longer than wanted, the n-th position lies on
+    the line through the n-th step. A position on a frame is kept as it is (`kept`); others are
+    moved by d / bend on the axis that moves most (the first of ties).
+    """
+    w, c = in_order(keys, time), F.col
+    s = df.select(*keys, c(time), *coords, (F.row_number().over(w) - 1).alias("__i"), *[(c(x) - F.lag(x).over(w)).alias(f"__d{x}") for x in coords], (c(time) - F.lag(time).over(w)).alias("__dt"))
+    n = c("__i") if wanted <= interval else F.floor(c("__i") * interval / wanted).cast("int")
+    s = s.withColumn("n", n).where((c("__i") > 0) & (c("n") > 0) & (c("n") * wanted > (c("__i") - 1) * interval if wanted > interval else F.lit(True)))
+    left = (c("n") * wanted - c("__i") * interval) / interval  # from the end of the step, in steps
+    kept = c("n") * wanted == c("__i") * interval
+    sizes = [F.abs(c(f"__d{x}")) for x in coords]
+    first = F.array_position(F.array(*sizes), F.array_max(F.array(*sizes)))
+    at = [(c(x) + left * c(f"__d{x}") + F.when((first == k + 1) & ~kept, c(f"__d{x}") / bend).otherwise(0.0)).alias(x) for k, x in enumerate(coords)]
+    return s.select(*keys, "n", (c(time) + left * c("__dt")).alias(time), *at, kept.alias("kept"))
+
+
+def with_fitted(df: DataFrame, coords: list[str], interval: int, wanted: int, keys: list[str] = TRACK, time: str = "Time", bend: float = 2.01) -> DataFrame:
+    """The frames (keys, time, coords) together with the positions of `fit_interval` that are no frames."""
+    own = df.select(*keys, F.col(time).cast("double").alias(time), *coords)
+    return own.unionByName(fit_interval(df, coords, interval, wanted, keys, time, bend).where("not kept").select(*own.columns))

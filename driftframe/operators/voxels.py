@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -93,3 +95,42 @@ def clean_objects(df: DataFrame, label: str, least: int, shape: tuple[int, int,
     keep = keep.where(F.col("__n") >= least).where(" and ".join(f"__b{k}" for k in range(len(inside))))
     names = keep.select(label, F.row_number().over(W.orderBy(label)).alias("new_label"))  # a row per object
     return df.join(names, label)
+
+
+def smooth(df: DataFrame, value: str, axes: dict[str, tuple[float, int]], keys: list[str], reach: float = 4.0) -> DataFrame:
+    """Gaussian mean along each axis {name: (sigma, length)}, up to `reach` sigmas, mirrored at both ends; absent voxels are 0.
+
+    Axis by axis: a voxel's value is spread with weights over the places along one axis and summed
+    there, so no neighbourhood is brought together.
+    """
+    names = list(axes)
+    out = df.groupBy(*keys, *names).agg(F.sum(F.col(value).cast("double")).alias("smooth"))
+    for axis, (sigma, n) in axes.items():
+        r = int(reach * sigma + 0.5)
+        w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+        spread = F.posexplode(F.array(*[F.lit(v / sum(w)) for v in w])).alias("__k", "__w")
+        at = F.pmod(F.col(axis) + F.col("__k") - r, F.lit(2 * n))
+        out = out.select(*keys, *names, "smooth", spread).withColumn(axis, F.when(at < n, at).otherwise(2 * n - 1 - at))
+        out = out.groupBy(*keys, *names).agg(F.sum(F.col("smooth") * F.col("__w")).alias("smooth"))
+    return out
+
+
+def crops(df: DataFrame, centres: DataFrame, value: str, size: tuple[int, int, int], shape: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """(keys, label, dz, dy, dx, value): the voxels in the box around each centre (keys, label, z, y, x), places counted from its corner.
+
+    Centres whose box reaches a border are left out. Boxes and voxels meet in tiles as large as a
+    box: a box lies in at most two tiles along each axis.
+    """
+    half = [n // 2 for n in size]
+    c = centres.select(*keys, "label", *[F.bround(F.col(a).cast("double")).cast("int").alias(f"__{a}") for a in "zyx"])
+    for a, h, n in zip("zyx", half, shape):
+        c = c.where((F.col(f"__{a}") - h > 0) & (F.col(f"__{a}") + h < n))
+    for a, h in zip("zyx", half):
+        low = F.col(f"__{a}") - h
+        c = c.withColumn(f"__t{a}", F.explode(F.sequence(F.floor(low / (2 * h)), F.floor((low + 2 * h - 1) / (2 * h)))))
+    tiled = df.select(*keys, "z", "y", "x", value, *[F.floor(F.col(a) / (2 * h)).alias(f"__t{a}") for a, h in zip("zyx", half)])
+    met = tiled.join(c, [*keys, "__tz", "__ty", "__tx"])
+    place = {a: F.col(a) - F.col(f"__{a}") + h for a, h in zip("zyx", half)}
+    for (a, e), h in zip(place.items(), half):
+        met = met.where((e >= 0) & (e < 2 * h))
+    return met.select(*keys, "label", *[e.cast("int").alias(f"d{a}") for a, e in place.items()], value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import scalar
 from ..operators import alignment, expression, joins, learning, maps, motility, ranking, signals, stats, tracks, voxels
@@ -385,6 +386,109 @@ def _(s, d):
     return read(s, d, "events").select("event_id", scalar.to_voxel(F.col("value"), 4.0, 32).alias("i"))
 
 
+@query("t13_fitted", FRAMES + f"""SELECT {T}, cast(n AS bigint) AS n, {_r('"Time" + l * (case when dx is null then null else 1 end)', 'at')},
+{_r("x + l * dx + CASE WHEN l <> 0 AND abs(dx) >= abs(dy) THEN dx / 2.01 ELSE 0 END", 'x')}, {_r("y + l * dy + CASE WHEN l <> 0 AND abs(dx) < abs(dy) THEN dy / 2.01 ELSE 0 END", 'y')}, l = 0 AS kept FROM (
+SELECT {T}, "Time", x, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, n, (n * 3 - i * 2) / 2.0::double AS l, i FROM (SELECT *, "Time" - 1 AS i, ("Time" - 1) * 2 // 3 AS n FROM f0) WINDOW w AS (PARTITION BY {T} ORDER BY "Time"))
+WHERE n > 0 AND n * 3 > (i - 1) * 2""")
+def _(s, d):
+    out = tracks.fit_interval(frames(s, d), ["x", "y"], 2, 3)
+    return out.select(*tracks.TRACK, "n", F.col("Time").alias("at"), "x", "y", "kept")
+
+
+@query("t13_with_fitted", FRAMES + f"""SELECT {T}, count(*) AS frames, count(*) + (count(*) - 1) * 2 // 3 - (count(*) - 1) // 3 AS n FROM f0 GROUP BY {T}""")
+def _(s, d):
+    f = frames(s, d)
+    n = tracks.with_fitted(f, ["x", "y"], 2, 3).groupBy(*tracks.TRACK).agg(F.count("*").alias("n"))
+    return f.groupBy(*tracks.TRACK).agg(F.count("*").alias("frames")).join(n, tracks.TRACK)
+
+
+@query("g8_bubble_entropy", FRAMES + f"""SELECT {KEY}, {_r("(h4 - h3) / ln(2)", 'bubble_entropy')} FROM (SELECT {BY}, -ln(sum(p * p) FILTER (WHERE k = 3)) AS h3, -ln(sum(p * p) FILTER (WHERE k = 4)) AS h4 FROM (
+  SELECT {BY}, k, n / sum(n) OVER (PARTITION BY {BY}, k) AS p FROM (
+    SELECT {BY}, 3 AS k, (b > c)::int + (b > e)::int + (c > e)::int AS q, count(*) AS n FROM w WHERE b IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT {BY}, 4, (a > b)::int + (a > c)::int + (a > e)::int + (b > c)::int + (b > e)::int + (c > e)::int AS q, count(*) FROM w WHERE a IS NOT NULL GROUP BY ALL)) GROUP BY {BY})""".replace("FROM w ", f"FROM (SELECT {BY}, lag(x, 3) OVER w AS a, lag(x, 2) OVER w AS b, lag(x) OVER w AS c, x AS e FROM s {W_PT}) "))
+def _(s, d):
+    return signals.bubble_entropy(segments(s, d), "x")
+
+
+@query("g8_cosine_entropy", FRAMES + f"""SELECT {KEY}, {_r("CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END", 'cosine_entropy')} FROM (SELECT {BY}, avg((acos(greatest(-1, least(1, (a0 * b0 + a1 * b1 + a2 * b2) / sqrt((a0 * a0 + a1 * a1 + a2 * a2) * (b0 * b0 + b1 * b1 + b2 * b2))))) / pi() < 0.1)::int) AS p FROM (
+  SELECT u.*, v.a0 AS b0, v.a1 AS b1, v.a2 AS b2 FROM q u JOIN q v ON u."Type" = v."Type" AND u."Label" = v."Label" AND u.seg = v.seg AND u.pt < v.pt) GROUP BY {BY})""".replace("q u", "(Q) u").replace("q v", "(Q) v").replace("(Q)", f"(SELECT * FROM (SELECT {BY}, pt, x - 50 AS a0, lead(x) OVER w - 50 AS a1, lead(x, 2) OVER w - 50 AS a2 FROM s {W_PT}) WHERE a2 IS NOT NULL)"))
+def _(s, d):
+    return signals.cosine_entropy(segments(s, d).withColumn("v", F.col("x") - 50), "v")
+
+
+@query("g9_dispersion_entropy", FRAMES + f"""SELECT {KEY}, {_r("-sum(p * ln(p))", 'dispersion_entropy')} FROM (SELECT {BY}, n / sum(n) OVER (PARTITION BY {BY}) AS p FROM (SELECT {BY}, c, count(*) AS n FROM (
+  SELECT {BY}, c * 100 + lead(c) OVER w * 10 + lead(c, 2) OVER w AS c FROM (SELECT {BY}, pt, (z >= -0.4307272992954575)::int + (z >= 0.4307272992954575)::int AS c FROM (
+    SELECT {BY}, pt, (x - avg(x) OVER (PARTITION BY {BY})) / nullif(stddev_pop(x) OVER (PARTITION BY {BY}), 0) AS z FROM s) WHERE z IS NOT NULL) {W_PT}) WHERE c IS NOT NULL GROUP BY ALL)) GROUP BY {BY}""")
+def _(s, d):
+    return signals.dispersion_entropy(segments(s, d), "x")
+
+
+@query("c8_welch", """WITH m AS (SELECT c_mktsegment AS g, avg(c_acctbal) AS m, var_samp(c_acctbal) / count(*) AS v, count(*) AS n FROM customer GROUP BY 1)
+SELECT a.g AS one, b.g AS two, round((a.m - b.m) / sqrt(a.v + b.v), 6) + 0.0::double AS t, round((a.v + b.v) * (a.v + b.v) / (a.v * a.v / (a.n - 1) + b.v * b.v / (b.n - 1)), 4) + 0.0::double AS dof FROM m a JOIN m b ON a.g < b.g""")
+def _(s, d):
+    out = stats.welch_tests(read(s, d, "customer"), "c_mktsegment", "c_acctbal")
+    return out.select("one", "two", "t", F.round("dof", 4).alias("dof"))
+
+
+@query("c17_automatic_range", """WITH d AS (SELECT o_orderstatus AS g, o_totalprice::double AS v FROM orders), l AS (SELECT min(v) AS lo, max(v) AS hi, count(DISTINCT g) AS groups FROM d),
+c AS (SELECT tried, lo, hi, groups, arg_min(u * power(10, floor(log10((hi - lo) / tried))), (abs(u * power(10, floor(log10((hi - lo) / tried))) - (hi - lo) / tried), u)) AS step FROM l, (SELECT unnest(range(3, 11)) AS tried), (SELECT unnest([1, 2, 2.5, 5, 10])::double AS u) GROUP BY ALL),
+e AS (SELECT max(tried) AS tried, groups, step, floor(lo / step) * step AS a, ceil(hi / step) * step AS b FROM c GROUP BY groups, step, lo, hi),
+n AS (SELECT tried, step, a, i FROM (SELECT tried, step, a, groups, floor((v - a) / step) AS i, g, count(*) AS n FROM d, e WHERE a + floor((v - a) / step) * step < b GROUP BY ALL) WHERE n >= 2 GROUP BY tried, step, a, groups, i HAVING count(*) = groups),
+r AS (SELECT tried, step, a, min(i) AS f, max(i) AS t, count(*) AS bins FROM (SELECT *, i - row_number() OVER (PARTITION BY tried ORDER BY i) AS r FROM n) GROUP BY tried, step, a, r)
+SELECT round(a + f * step, 6) AS "first", round(a + t * step, 6) AS "last", step, bins FROM r WHERE bins >= 3 ORDER BY bins DESC, bins * step DESC, tried DESC, f LIMIT 1""")
+def _(s, d):
+    return maps.automatic_range(read(s, d, "orders"), "o_orderstatus", "o_totalprice", "o_totalprice")
+
+
+@query("r3_set_scores", COUNTS + """, g AS (SELECT gene, round(sum(value) / (SELECT count(*) FROM supplier), 8) AS mean FROM v GROUP BY 1),
+k AS (SELECT gene, floor(rank() OVER (ORDER BY mean) / (SELECT greatest(1, round(count(*) / 24.0)) FROM g)) AS bin FROM g),
+w AS (SELECT gene, bin FROM k QUALIFY row_number() OVER (PARTITION BY bin ORDER BY md5(gene || ':0'), gene) <= 50),
+o AS (SELECT DISTINCT p_brand AS set_name, k.gene, k.bin FROM part JOIN k ON k.gene = 'g' || p_partkey),
+a AS (SELECT set_name, gene, 1 AS own FROM o UNION ALL SELECT set_name, w.gene, 0 FROM (SELECT DISTINCT set_name, bin FROM o) b JOIN w ON w.bin = b.bin WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.set_name = b.set_name AND o.gene = w.gene)),
+n AS (SELECT set_name, sum(own) AS k, sum(1 - own) AS c FROM a GROUP BY 1)
+SELECT a.set_name, cell_id, round(sum(own * value) / max(k) - coalesce(sum((1 - own) * value) / nullif(max(c), 0), 0), 6) + 0.0::double AS score FROM a JOIN v ON v.gene = a.gene JOIN n ON n.set_name = a.set_name GROUP BY 1, 2""")
+def _(s, d):
+    sets = read(s, d, "part").select(F.col("p_brand").alias("set_name"), F.concat(F.lit("g"), "p_partkey").alias("gene"))
+    return expression.set_scores(expression.normalise(counts(s, d)), read(s, d, "supplier").count(), sets)
+
+
+@query("r6_distinctive", """WITH m AS (SELECT l_partkey AS gene, l_returnflag AS cluster, avg(l_tax) - 0.04 AS fold, avg(l_discount) AS p FROM lineitem GROUP BY 1, 2)
+SELECT gene, cluster, round(CASE WHEN p > 0 THEN fold * -log10(p) / (1 + sum((p < 0.05)::int) OVER (PARTITION BY gene) - (p < 0.05)::int) ELSE 0 END, 6) + 0.0::double AS distinctive FROM m""")
+def _(s, d):
+    m = read(s, d, "lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_returnflag").alias("cluster")).agg((F.avg("l_tax") - 0.04).alias("fold"), F.avg("l_discount").alias("p"))
+    return expression.distinctive(m, "gene", "cluster", "fold", "p").select("gene", "cluster", "distinctive")
+
+
+_MIRROR = "CASE WHEN ({c} + k) % {d} + CASE WHEN {c} + k < 0 THEN {d} ELSE 0 END < {n} THEN ({c} + k) % {d} + CASE WHEN {c} + k < 0 THEN {d} ELSE 0 END ELSE {d} - 1 - (({c} + k) % {d} + CASE WHEN {c} + k < 0 THEN {d} ELSE 0 END) END AS {c}"
+
+
+@query("v1_smooth", VOXELS + f""", k AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+a AS (SELECT t, {_MIRROR.format(c="y", n=32, d=64)}, x, sum(value * w) AS value FROM v, k GROUP BY ALL)
+SELECT cast(t AS bigint) AS t, y, x, round(value, 6) + 0.0::double AS smooth FROM (SELECT t, y, {_MIRROR.format(c="x", n=32, d=64)}, sum(value * w) AS value FROM a, k GROUP BY ALL)""")
+def _(s, d):
+    out = voxels.smooth(cells(s, d), "value", {"y": (1.0, 32), "x": (1.0, 32)}, ["t"])
+    return out.select("t", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "smooth")
+
+
+@query("v8_crops", VOXELS + """, c AS (SELECT c_custkey AS label, c_custkey % 4 AS t, 4 AS z, c_nationkey AS y, c_custkey % 32 AS x FROM customer)
+SELECT cast(v.t AS bigint) AS t, label, cast(v.z - c.z + 2 AS bigint) AS dz, cast(v.y - c.y + 3 AS bigint) AS dy, cast(v.x - c.x + 4 AS bigint) AS dx, count(*) AS n, round(sum(value), 4) + 0.0::double AS total FROM v JOIN c ON v.t = c.t
+  AND v.z - c.z BETWEEN -2 AND 1 AND v.y - c.y BETWEEN -3 AND 2 AND v.x - c.x BETWEEN -4 AND 3 WHERE c.y - 3 > 0 AND c.y + 3 < 32 AND c.x - 4 > 0 AND c.x + 4 < 32 GROUP BY ALL""")
+def _(s, d):
+    k = F.col("c_custkey")
+    centres = read(s, d, "customer").select(k.alias("label"), (k % 4).alias("t"), F.lit(4).alias("z"), F.col("c_nationkey").alias("y"), (k % 32).alias("x"))
+    out = voxels.crops(cells(s, d), centres, "value", (4, 6, 8), (8, 32, 32), ["t"])
+    return out.groupBy("t", "label", "dz", "dy", "dx").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _shape_tracks(s, d):
+    """Standardised shape columns as a path through their first two components."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    out = learning.components(read(s, d, "lineitem"), names, k=2).withColumn("pt", F.row_number().over(order))
+    path = out.select(F.col("l_suppkey"), "pt", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))
+    return motility.basic_motility(path, ["pc1", "pc2"], keys=["l_suppkey"])
+
+
 def _shape(s, d):
     i = read(s, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return i.groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in i.columns[1:]])
@@ -396,6 +500,8 @@ FITTED = {
     "a2_reflected": lambda s, d: alignment.register(segments(s, d), XYZ, reflect=True),
     "a9_random_walks": lambda s, d: alignment.random_walks(segments(s, d), ["x", "y"]),
     "a10_random_walks_3d": lambda s, d: alignment.random_walks(segments(s, d), XYZ, max_noise=100.0, share=3),
+    "m12_shape_motility": _shape_tracks,
+    "c8_rank_p": lambda s, d: stats.rank_tests(read(s, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("p", stats.two_sided_p("z")),
     "g8_entropies": lambda s, d: signals.entropies(segments(s, d), "x"),
     "e3_components": lambda s, d: learning.components(_shape(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "e4_clusters": lambda s, d: learning.clusters(read(s, d, "embeddings"), "embedding").select("vec_id", "cluster"),

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftframe.operators import alignment, learning, signals
+from driftframe.operators import alignment, learning, signals, stats
 from driftframe.sources import io
 from driftframe.plans.features import FITTED
 
@@ -76,3 +76,30 @@ def test_measures_are_joined_by_key(spark, tmp_path):
     long = io.read_measures(spark, str(tmp_path))
     got = io.widen(long, ["TrackID", "Time"], ["Volume", "Overlapped=T"]).orderBy("TrackID").collect()
     assert [tuple(r) for r in got] == [(7, 1, 2.5, 0.0), (8, 1, 3.5, 0.25)]
+
+
+def test_normal_p_and_shape_tracks(spark):
+    rows = FITTED["c8_rank_p"](spark, SF).collect()
+    assert len(rows) == 10
+    for r in rows:
+        x = np.linspace(abs(r.z), 12, 200_001)
+        assert abs(r.p - 2 * np.trapezoid(np.exp(-x * x / 2), x) / np.sqrt(2 * np.pi)) < 1e-6
+    paths = FITTED["m12_shape_motility"](spark, SF).toPandas()
+    assert len(paths) == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert (paths.net_distance <= paths.total_distance + 1e-9).all()
+
+
+def test_ranks_in_parts_match_a_sort(spark):
+    rng = np.random.default_rng(3)
+    v = pd.DataFrame({"id": range(3000), "g": rng.choice(list("aab"), 3000), "x": np.where(rng.random(3000) < 0.4, 0.0, rng.integers(0, 300, 3000) / 7)})
+    df = spark.createDataFrame(v)
+    for within in ([], ["g"]):
+        got = stats.mid_ranks(df, "x", within).toPandas().sort_values("id")["mid_rank"].to_numpy()
+        want = (v.groupby(within)["x"] if within else v["x"]).rank().to_numpy()
+        np.testing.assert_allclose(got, want)
+    p = v.assign(p=np.where(v.x > 40, np.nan, v.x / 50))[["id", "p"]].dropna()
+    got = stats.adjust(spark.createDataFrame(p), "p", ["id"]).toPandas().sort_values(["p", "id"])
+    q = got.p.to_numpy() * len(got) / np.arange(1, len(got) + 1)
+    np.testing.assert_allclose(got.adjusted, np.minimum.accumulate(q[::-1])[::-1])
+    assert stats.mid_ranks(df.where("false"), "x").count() == 0
+    assert stats.adjust(spark.createDataFrame(p).where("false"), "p", ["id"]).count() == 0
