@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingles
 from .common import Scratch, components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -118,11 +119,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays.
-
-    All columns stay. Rows of equal id count as one document, of which one row stays; rows without
-    an id stay.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs without near-duplicates: of each group of texts linked by five-word shingles, one row stays (see shingles)."""
+    return shingles.keep_first(docs, id_col, text_col)

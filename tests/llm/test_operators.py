@@ -58,6 +58,38 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() == 1
 
 
+def test_five_word_copies(spark, none):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edited(text, n):
+        w = text.split()
+        for at in rng.sample(range(len(w)), n):
+            w[at] = rng.choice(words)
+        return " ".join(w)
+
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(12)]
+    texts += [edited(t, n) for t in texts[:6] for n in (1, 2, 3, 4, 5, 6, 20)]
+    texts += [edited(texts[7], 1 + i % 4) for i in range(60)]  # more than one hub settles
+    for _ in range(12):  # a chain: each step one word, its ends far apart
+        texts.append(edited(texts[-1] if _ else texts[8], 2))
+    texts += [None, "", "a b", "A  b", "a b c"]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
+
+    sets = [grams(t) for t in texts]
+    link = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    first = np.arange(len(texts))
+    for _ in texts:
+        first = np.where(link, first, len(texts)).min(axis=1)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(first.tolist()))
+    assert simhash.keep_first(none).count() == 0
+
+
 def test_golay_keys():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 1 << 23, 500)
