@@ -90,6 +90,18 @@ def test_five_word_copies(spark, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_rows_of_equal_or_no_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, a)]
+    want = [(None, c), (1, a), (1, b)]
+    for docs in (rows, rows[::-1]):
+        got = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    upper = [(1, a.upper()), (1, a)]  # one shingle set, one id: the same text stays whatever the order
+    kept = {simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).first().text for docs in (upper, upper[::-1])}
+    assert len(kept) == 1
+
+
 def test_golay_keys():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 1 << 23, 500)
