@@ -5,8 +5,9 @@ bounded size and are refined by joining each node's neighbours (forward and reve
 other until few entries change. Edges at the threshold tie nodes into groups; a node whose list is
 saturated with such edges has its list enlarged to its whole group: links inside a group are
 counted exactly, in blocks. Members within half the threshold's angle of their group's centre are
-all linked to each other, so only the rest is compared. Recall is audited on a bounded sample
-against all rows; more starting buckets are added while it is too low.
+all linked to each other, so only the rest is compared. Audited against all rows is the share of
+sampled nodes with every link, apart for nodes without a group and those in small and large ones;
+more starting buckets are added while any share is too low, and in the end it is an error.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql.window import Window as W
 from .common import Scratch, components
 
 THRESHOLD = 0.98
-#: Entries of a neighbour list, and the similarity below which an entry leads nowhere.
-K, FLOOR = 8, 0.5
-TABLES, BUCKET, BLOCK = 8, 64, 64
-ROUNDS, AUDITED, LEAST_RECALL = 4, 256, 0.95
+#: Entries of a neighbour list.
+K = 8
+BUCKET, BLOCK = 64, 64
+#: The chance that a pair at the threshold shares no starting bucket of a seed.
+MISSED = 0.001
+ROUNDS, SEEDS, AUDITED, LEAST_RECALL = 4, 6, 256, 0.95
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -75,7 +78,7 @@ def _edges(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "sim"])
 
 
-def _local_join(keys: list[str], k: int, floor: float):
+def _local_join(keys: list[str], k: int):
     """All members of a bounded group against each other: each one's k most similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,7 @@ def _local_join(keys: list[str], k: int, floor: float):
             s[node[:, None] == node[None, :]] = -2
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             sim = np.take_along_axis(s, top, axis=1)
-            i, j = np.nonzero(sim >= floor)
+            i, j = np.nonzero(sim > -2)
             if len(i):
                 out.append((node[i], node[top[i, j]], sim[i, j]))
                 n += len(i)
@@ -121,16 +124,24 @@ def _signatures(bits: int, tables: int, seed: int):
     return udf
 
 
-def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch) -> DataFrame:
-    """Edges from random-hyperplane buckets, large ones cut at random into parts of about BUCKET."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, n / 512))), 0, 24))
-    keyed = nodes.select("node", "block", F.posexplode(_signatures(bits, TABLES, seed)("v")).alias("t", "key"))
-    keyed = scratch.keep(keyed, f"keyed{seed}")
+def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch, threshold: float) -> DataFrame:
+    """Edges from random-hyperplane buckets of about BUCKET; fuller ones are split by up to 12 further planes, then at random.
+
+    n: nodes of the largest block. There are as many tables as keep a pair at the threshold apart with chance MISSED.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(1, n / BUCKET))), 0, 24))
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    tables = 8 if agree >= 1 else max(8, int(np.ceil(np.log(MISSED) / np.log(1 - agree))))
+    keyed = nodes.select("node", "block", F.posexplode(_signatures(bits + 12, tables, seed)("v")).alias("t", "full"))
+    keyed = scratch.keep(keyed.withColumn("key", F.col("full").bitwiseAND((1 << bits) - 1)), f"keyed{seed}")
     sizes = keyed.groupBy("block", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.join(sizes, ["block", "t", "key"]).withColumn("key", F.expr("full & (shiftleft(1L, {0} + greatest(0, least(12, cast(ceil(log2(n / {1})) as int)))) - 1)".format(bits, BUCKET)))
+    keyed = scratch.keep(keyed.select("node", "block", "t", "key", F.col("n").alias("wide")), f"split{seed}")
+    sizes = keyed.groupBy("block", "t", "key", "wide").agg(F.count("*").alias("n")).where("n > 1")
     part = F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.ceil(F.col("n") / BUCKET))
-    parts = keyed.join(sizes, ["block", "t", "key"]).select("node", F.xxhash64("block", "t", "key", part).alias("g"))
+    parts = keyed.join(sizes, ["block", "t", "key", "wide"]).select("node", F.xxhash64("block", "t", "key", "wide", part).alias("g"))
     dealt = parts.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(_local_join(["g"], K, FLOOR), EDGE)
+    return dealt.mapInArrow(_local_join(["g"], K), EDGE)
 
 
 def _lists(edges: DataFrame, k: int = K) -> DataFrame:
@@ -148,7 +159,7 @@ def _descend(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str) ->
             break
         around = now.select(F.col("a").alias("g"), F.col("b").alias("node")).union(_lists(now).select(F.col("a").alias("g"), F.col("b").alias("node"))).distinct()
         dealt = around.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g")
-        found = dealt.mapInArrow(_local_join(["g"], K, FLOOR), EDGE)
+        found = dealt.mapInArrow(_local_join(["g"], K), EDGE)
         nxt = scratch.keep(_lists(now.union(found)), f"{name}_{i}")
         fresh = nxt.join(now, ["a", "b"], "left_anti").count()
         now = nxt
@@ -226,26 +237,36 @@ def _true_links(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, node, copies = (batch.column(c).to_numpy() for c in ("block", "node", "copies"))
-            vs = batch.column("v").to_pylist()
-            for asked, own, q in shared.value:
-                at = np.flatnonzero((block == own) & (node != asked))
+            for own, (asked, q) in shared.value.items():
+                at = np.flatnonzero(block == own)
                 if len(at):
-                    hit = np.stack([vs[i] for i in at]) @ q >= threshold
-                    if hit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([asked]), pa.array([int(copies[at[hit]].sum())])], names=["node", "links"])
+                    hit = _matrix(batch.column("v").take(pa.array(at))) @ q.T >= threshold
+                    hit &= node[at][:, None] != asked[None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(copies[at] @ hit)], names=["node", "links"])
 
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, asked: int = AUDITED) -> tuple[int, int]:
-    """(links there are, links found) of a hashed sample of at most `asked` nodes, against all rows."""
-    sample = nodes.select("node", "block", "v").orderBy(F.xxhash64("node"), "node").limit(asked).collect()
+def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED) -> dict[str, float]:
+    """Share of sampled nodes with every link there is, against all rows; at most `asked` nodes each without a group, in small and in large ones."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    told = nodes.join(groups.join(sizes, "component"), "node", "left").select("node", "block", "v", F.coalesce("size", F.lit(1)).alias("size"))
+    sample = {}
+    for name, which in (("single", "size = 1"), ("small", f"size > 1 and size <= {K}"), ("large", f"size > {K}")):
+        for r in told.where(which).orderBy(F.xxhash64("node"), "node").limit(asked).collect():
+            sample[r.node] = (name, r.block, np.array(r.v))
     if not sample:
-        return 0, 0
-    shared = nodes.sparkSession.sparkContext.broadcast([(r.node, r.block, np.array(r.v)) for r in sample])
-    true = nodes.select("block", "node", "copies", "v").mapInArrow(_true_links(shared, threshold), "node long, links long").agg(F.sum("links")).first()[0]
-    found = links.where(F.col("node").isin([r.node for r in sample])).agg(F.sum("links")).first()[0]
-    return true or 0, found or 0
+        return {}
+    asks: dict = {}
+    for node, (_, block, v) in sample.items():
+        asks.setdefault(block, []).append((node, v))
+    shared = nodes.sparkSession.sparkContext.broadcast({b: (np.array([n for n, _ in x], np.int64), np.stack([v for _, v in x])) for b, x in asks.items()})
+    true = nodes.select("block", "node", "copies", "v").mapInArrow(_true_links(shared, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()
+    found = {r.node: r.links for r in links.where(F.col("node").isin(list(sample))).collect()}
+    whole: dict = {}
+    for r in true:
+        whole.setdefault(sample[r.node][0], []).append(found.get(r.node, 0) >= r.links)
+    return {k: float(np.mean(x)) for k, x in whole.items()}
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -264,17 +285,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall:
     good = rows.where(F.col("block").isNotNull())
     nodes = good.groupBy("block", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    n = nodes.count()
-    edges, links, recall = None, None, 0.0
-    for seed in range(3):
-        fresh = _start(nodes, n, seed, scratch)
+    n = nodes.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    edges, links = None, None
+    for seed in range(SEEDS):
+        fresh = _start(nodes, n, seed, scratch, threshold)
         edges = _descend(nodes, fresh if edges is None else fresh.union(edges), scratch, f"lists{seed}")
         groups = scratch.keep(components(edges.where(F.col("sim") >= threshold).select("a", "b"), scratch, f"cc{seed}"), f"groups{seed}")
         links = scratch.keep(_links(nodes, groups, threshold, scratch), f"links{seed}")
-        true, found = audit(nodes, links, threshold)
-        recall = found / true if true else 1.0
-        if recall >= least_recall:
+        shares = audit(nodes, links, groups, threshold)
+        if min(shares.values(), default=1.0) >= least_recall:
             break
+    else:
+        raise RuntimeError(f"near_vectors: nodes with every link after {SEEDS} seeds: {shares}")
     told = nodes.select("node", "block", "h1", "h2", "first", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = told.groupBy("component").agg(F.min("first").alias("component_id"))
     told = told.join(least, "component").join(links, "node", "left").select("block", "h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

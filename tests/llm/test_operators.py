@@ -247,6 +247,15 @@ def test_vectors(spark):
     assert neardup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_audit_sees_lost_pairs(spark):
+    """A large group with all its links does not hide lost pairs."""
+    rows = [(i, 1, 1, [1.0, 0.001 * i]) for i in range(50)] + [(100 + i, 2, 1, [float(j == i // 2) for j in range(20)]) for i in range(40)]
+    nodes = spark.createDataFrame([(n, b, c, [float(y) for y in np.array(v) / np.linalg.norm(v)]) for n, b, c, v in rows], "node long, block long, copies long, v array<double>")
+    groups = spark.createDataFrame([(i, 0) for i in range(50)], "node long, component long")
+    links = spark.createDataFrame([(i, 49) for i in range(50)], "node long, links long")
+    assert neardup.audit(nodes, links, groups, 0.98) == {"large": 1.0, "single": 0.0}
+
+
 def test_personal_data(spark, docs, none):
     texts = [None, "", "mail a.b@c.example.com now", "ip 10.0.0.256 and 10.0.0.25.", "card 4111 1111 1111 1111 or 4111111111111112", "+1 (555) 123-4567 x", 'token = "b55e8abc1054b786f6b76df9eb5b259bbcc4c9e2" é', "é +49 30 1234567"]
     got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
