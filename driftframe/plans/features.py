@@ -495,6 +495,19 @@ def _shape(s, d):
 
 
 #: Without SQL: learned or fitted results, tested by their invariants.
+
+def _all_over_represented(s, d):
+    """r8 over every set-gene pair of the table, without its cut."""
+    i = read(s, d, "lineitem")
+    lists = i.select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("list_name"), F.col("l_partkey").alias("gene"))
+    return expression.over_representation(lists, i.select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene")), read(s, d, "part").count())
+
+
+def _all_components(s, d):
+    """r9 over every set-gene edge of the table, without its cut."""
+    return expression.linked_sets(read(s, d, "lineitem").select(F.col("l_suppkey").alias("one"), (F.col("l_partkey") + 1000000).alias("two")).distinct())
+
+
 FITTED = {
     "a1_registered": lambda s, d: alignment.register(segments(s, d), XYZ),
     "a2_reflected": lambda s, d: alignment.register(segments(s, d), XYZ, reflect=True),
@@ -503,6 +516,8 @@ FITTED = {
     "m12_shape_motility": _shape_tracks,
     "c8_rank_p": lambda s, d: stats.rank_tests(read(s, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("p", stats.two_sided_p("z")),
     "g8_entropies": lambda s, d: signals.entropies(segments(s, d), "x"),
+    "r8_whole_over_representation": _all_over_represented,
+    "r9_whole_components": _all_components,
     "e3_components": lambda s, d: learning.components(_shape(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "e4_clusters": lambda s, d: learning.clusters(read(s, d, "embeddings"), "embedding").select("vec_id", "cluster"),
 }

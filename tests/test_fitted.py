@@ -1,5 +1,7 @@
 """Invariants of fitted results."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -103,3 +105,28 @@ def test_ranks_in_parts_match_a_sort(spark):
     np.testing.assert_allclose(got.adjusted, np.minimum.accumulate(q[::-1])[::-1])
     assert stats.mid_ranks(df.where("false"), "x").count() == 0
     assert stats.adjust(spark.createDataFrame(p).where("false"), "p", ["id"]).count() == 0
+
+
+def test_whole_gene_sets_against_loops(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_returnflag", "l_linenumber").toPandas()
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    lists, sets = {}, {}
+    for sup, part, flag, line in rows.itertuples(index=False):
+        a, b = sorted((top(sup), top(part + 1000000)))
+        parent[b] = a
+        lists.setdefault(f"{flag}{line}", set()).add(part)
+        sets.setdefault(sup, set()).add(part)
+    assert {r.id: r.component for r in FITTED["r9_whole_components"](spark, SF).collect()} == {x: top(x) for x in parent}
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    got = {(r.list_name, r.set_name): r for r in FITTED["r8_whole_over_representation"](spark, SF).collect()}
+    assert {k: r.hits for k, r in got.items()} == {(a, b): len(x & y) for a, x in lists.items() for b, y in sets.items() if x & y}
+    for (a, b), r in got.items():
+        m, k = len(lists[a]), len(sets[b])
+        tail = sum(math.comb(k, x) * math.comb(n - k, m - x) for x in range(r.hits, min(m, k) + 1)) / math.comb(n, m)
+        assert abs(r.p - tail) < 1e-5
