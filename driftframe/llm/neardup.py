@@ -27,7 +27,12 @@ from .common import Scratch, components
 THRESHOLD = 0.98
 #: Entries of a neighbour list.
 K = 8
-BUCKET, BLOCK = 64, 64
+#: Best entries that a bucket or neighbourhood always passes on, and the cosine for more of them.
+BEST, NEAR = 2, 0.5
+#: Aimed size of a starting bucket, the size up to which it is compared whole, and rows of a block.
+BUCKET, WHOLE, BLOCK = 64, 256, 64
+#: Members of a group that go to one task of a join.
+SALTED = 4096
 #: The chance that a pair at the threshold shares no starting bucket of a seed.
 MISSED = 0.001
 ROUNDS, SEEDS, AUDITED, LEAST_RECALL = 4, 6, 256, 0.95
@@ -79,7 +84,7 @@ def _edges(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
 
 
 def _local_join(keys: list[str], k: int):
-    """All members of a bounded group against each other: each one's k most similar."""
+    """All members of a bounded group against each other: each one's k most similar, those below NEAR only among the BEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
@@ -89,9 +94,12 @@ def _local_join(keys: list[str], k: int):
             node, x = t["node"].to_numpy(), _matrix(t["v"])
             s = x @ x.T
             s[node[:, None] == node[None, :]] = -2
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            most = min(k, len(node))
+            top = np.argpartition(-s, most - 1, axis=1)[:, :most]
             sim = np.take_along_axis(s, top, axis=1)
-            i, j = np.nonzero(sim > -2)
+            order = np.argsort(-sim, axis=1, kind="stable")
+            top, sim = np.take_along_axis(top, order, axis=1), np.take_along_axis(sim, order, axis=1)
+            i, j = np.nonzero((sim > -2) & ((np.arange(most) < BEST) | (sim >= NEAR)))
             if len(i):
                 out.append((node[i], node[top[i, j]], sim[i, j]))
                 n += len(i)
@@ -125,22 +133,26 @@ def _signatures(bits: int, tables: int, seed: int):
 
 
 def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch, threshold: float) -> DataFrame:
-    """Edges from random-hyperplane buckets of about BUCKET; fuller ones are split by up to 12 further planes, then at random.
+    """Edges from random-hyperplane buckets of about BUCKET, compared whole up to WHOLE.
 
-    n: nodes of the largest block. There are as many tables as keep a pair at the threshold apart with chance MISSED.
+    Fuller ones are split by up to 12 further planes; what then still holds more than WHOLE is a
+    dense cloud, cut at random and joined again by the descent. n: nodes of the largest block.
+    There are as many tables as keep a pair at the threshold apart with chance MISSED.
     """
     bits = int(np.clip(np.ceil(np.log2(max(1, n / BUCKET))), 0, 24))
     agree = (1 - np.arccos(threshold) / np.pi) ** bits
     tables = 8 if agree >= 1 else max(8, int(np.ceil(np.log(MISSED) / np.log(1 - agree))))
     keyed = nodes.select("node", "block", F.posexplode(_signatures(bits + 12, tables, seed)("v")).alias("t", "full"))
     keyed = scratch.keep(keyed.withColumn("key", F.col("full").bitwiseAND((1 << bits) - 1)), f"keyed{seed}")
-    sizes = keyed.groupBy("block", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["block", "t", "key"]).withColumn("key", F.expr("full & (shiftleft(1L, {0} + greatest(0, least(12, cast(ceil(log2(n / {1})) as int)))) - 1)".format(bits, BUCKET)))
-    keyed = scratch.keep(keyed.select("node", "block", "t", "key", F.col("n").alias("wide")), f"split{seed}")
-    sizes = keyed.groupBy("block", "t", "key", "wide").agg(F.count("*").alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.ceil(F.col("n") / BUCKET))
-    parts = keyed.join(sizes, ["block", "t", "key", "wide"]).select("node", F.xxhash64("block", "t", "key", "wide", part).alias("g"))
-    dealt = parts.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g")
+    full = keyed.groupBy("block", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE)
+    full = scratch.small(full, f"full{seed}")
+    mask = "full & (shiftleft(1L, {0} + least(12, cast(ceil(log2(n / {1})) as int))) - 1)".format(bits, BUCKET)
+    keyed = keyed.join(full, ["block", "t", "key"], "left").withColumn("fine", F.coalesce(F.expr(mask), F.lit(-1)))
+    over = keyed.where("n is not null").groupBy("block", "t", "key", "fine").agg(F.ceil(F.count("*") / WHOLE).alias("parts")).where("parts > 1")
+    over = scratch.small(over, f"over{seed}")
+    part = F.coalesce(F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")), F.lit(0))
+    parts = keyed.join(over, ["block", "t", "key", "fine"], "left").select("node", F.xxhash64("block", "t", "key", "fine", part).alias("g"))
+    dealt = parts.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g", "node")
     return dealt.mapInArrow(_local_join(["g"], K), EDGE)
 
 
@@ -150,22 +162,24 @@ def _lists(edges: DataFrame, k: int = K) -> DataFrame:
     return both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k).drop("r")
 
 
-def _descend(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rounds of neighbours-of-neighbours joins until under 1 % of the entries change."""
+def _descend(nodes: DataFrame, edges: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """Rounds of neighbours-of-neighbours joins until they bring under 1 % new edges at the threshold.
+
+    New edges of a list that held K such edges before do not count: its group is counted whole.
+    """
     now = scratch.keep(_lists(edges), f"{name}_0")
-    size = now.count()
     for i in range(1, ROUNDS + 1):
-        if not size:
-            break
+        near = now.where(F.col("sim") >= threshold)
+        size, full = near.count(), near.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") >= K).select("a")
         around = now.select(F.col("a").alias("g"), F.col("b").alias("node")).union(_lists(now).select(F.col("a").alias("g"), F.col("b").alias("node"))).distinct()
-        dealt = around.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g")
+        dealt = around.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g", "node")
         found = dealt.mapInArrow(_local_join(["g"], K), EDGE)
         nxt = scratch.keep(_lists(now.union(found)), f"{name}_{i}")
-        fresh = nxt.join(now, ["a", "b"], "left_anti").count()
+        fresh = nxt.where(F.col("sim") >= threshold).join(full, "a", "left_anti").join(now, ["a", "b"], "left_anti").count()
+        scratch.drop(f"{name}_{i - 1}")
         now = nxt
         if fresh <= 0.01 * size:
             break
-        size = now.count()
     return now
 
 
@@ -210,21 +224,30 @@ def _count_links(threshold: float):
     return run
 
 
+def _told(members: DataFrame, groups: DataFrame, large: DataFrame) -> DataFrame:
+    """members joined to groups (a row for each component); large components' members go by (component, salt)."""
+    salted = members.join(large, "component", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0))).drop("salts")
+    spread = groups.join(large, "component", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(spread, ["component", "salt"]).drop("salt")
+
+
 def _links(nodes: DataFrame, member: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(node, links): links of each node inside its group, counted exactly."""
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    m = scratch.keep(member.join(sizes, "component").join(nodes.select("node", "copies", "v"), "node"), "members")
-    large = m.where(F.col("size") > 4 * BLOCK)
-    centres = large.select("component", "v").mapInArrow(_sums, "component long, v array<double>").groupBy("component").applyInPandas(_centre, "component long, centre array<double>")
+    sizes = scratch.keep(member.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    large = scratch.small(sizes.where(F.col("size") > BLOCK).select("component", F.ceil(F.col("size") / SALTED * 8).alias("salts")), "large")
+    m = scratch.keep(_told(member, sizes, large).join(nodes.select("node", "copies", "v"), "node"), "members")
+    wide = m.where(F.col("size") > 4 * BLOCK)
+    centres = wide.select("component", "v").mapInArrow(_sums, "component long, v array<double>").groupBy("component").applyInPandas(_centre, "component long, centre array<double>")
     near = F.expr("aggregate(zip_with(v, centre, (a, b) -> a * b), 0D, (s, x) -> s + x)") >= float(np.cos(np.arccos(threshold) / 2) + 1e-9)
-    m = m.join(centres, "component", "left").withColumn("core", F.coalesce(near, F.lit(False))).drop("centre")
-    m = scratch.keep(m, "cored")
-    cores = m.where("core").groupBy("component").agg(F.sum("copies").alias("in_core"))
-    inside = m.where("core").join(cores, "component").select("node", (F.col("in_core") - F.col("copies")).alias("links"))
-    # rest against rest, and rest against core, in blocks of about BLOCK
-    counts = m.groupBy("component").agg(F.ceil(F.count_if(~F.col("core")) / BLOCK).alias("rests"), F.ceil(F.count_if("core") / BLOCK).alias("cores"))
-    m = m.join(counts, "component").where("rests > 0")
-    m = m.withColumn("blk", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests")), F.lit(1))))
+    cored = _told(wide, scratch.keep(centres, "centres"), large).withColumn("core", near).drop("centre")
+    plain = m.where(F.col("size") <= 4 * BLOCK).withColumn("core", F.lit(False))
+    m = scratch.keep(cored.unionByName(plain), "cored")
+    # one row for each component: what is in its core, and blocks of about BLOCK of the rest and of the core
+    counts = m.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies"))).alias("in_core"), F.ceil(F.count_if(~F.col("core")) / BLOCK).alias("rests"), F.ceil(F.count_if("core") / BLOCK).alias("cores"))
+    m = _told(m, scratch.keep(counts, "counts"), large)
+    inside = m.where("core").select("node", (F.col("in_core") - F.col("copies")).alias("links"))
+    m = m.where("rests > 0")
+    m = m.withColumn("blk", F.pmod(F.xxhash64(F.lit(3), "node"), F.greatest(F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests")), F.lit(1))))
     pairs = F.expr("""if(core, transform(sequence(0, rests - 1), i -> named_struct('i', i, 'j', -1 - blk, 'side', 2)),
       concat(transform(sequence(0, rests - 1), i -> named_struct('i', least(i, blk), 'j', greatest(i, blk), 'side', if(i = blk, 0, if(blk < i, 1, 2)))),
         if(cores > 0, transform(sequence(1, cores), j -> named_struct('i', blk, 'j', -j, 'side', 1)), array())))""")
@@ -249,12 +272,13 @@ def _true_links(shared, threshold: float):
 
 def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED) -> dict[str, float]:
     """Share of sampled nodes with every link there is, against all rows; at most `asked` nodes each without a group, in small and in large ones."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    told = nodes.join(groups.join(sizes, "component"), "node", "left").select("node", "block", "v", F.coalesce("size", F.lit(1)).alias("size"))
-    sample = {}
-    for name, which in (("single", "size = 1"), ("small", f"size > 1 and size <= {K}"), ("large", f"size > {K}")):
-        for r in told.where(which).orderBy(F.xxhash64("node"), "node").limit(asked).collect():
-            sample[r.node] = (name, r.block, np.array(r.v))
+    known = groups.groupBy("component").agg(F.count("*").alias("size"))
+    large = F.broadcast(known.where(F.col("size") > K).orderBy(F.desc("size"), "component").limit(asked))  # at most `asked` rows; other large ones tell small
+    named = groups.join(large, "component", "left").select("node", F.when(F.col("size").isNotNull(), "large").otherwise("small").alias("kind"))
+    told = nodes.select("node").join(named, "node", "left").select("node", F.coalesce("kind", F.lit("single")).alias("kind"))
+    by = W.partitionBy("kind").orderBy(F.xxhash64("node"), "node")  # limited per task before the shuffle
+    picked = told.withColumn("at", F.row_number().over(by)).where(F.col("at") <= asked).select("node", "kind")
+    sample = {r.node: (r.kind, r.block, np.array(r.v)) for r in nodes.select("node", "block", "v").join(F.broadcast(picked), "node").collect()}
     if not sample:
         return {}
     asks: dict = {}
@@ -270,13 +294,15 @@ def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: floa
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall: float = LEAST_RECALL) -> DataFrame:
-    """One row per vector of (vec_id, embedding, label): vec_id, n_links, component_id, kept.
+    """One row per vector of (vec_id, embedding, label): vec_id, n_links, component_id, kept, audited.
 
     Vectors of one label link at a cosine of at least `threshold` in double precision. Vectors
     that are null, empty, zero or not all finite, those without a label, and those of different
     lengths link with nothing. Equal vectors and repeated rows are other vectors, linked directly.
     A null id's row takes part and is kept only if its component has no id at all. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. audited: the least of the shares of sampled nodes
+    that have every link (see audit); below `least_recall` more starting buckets are added, and
+    after SEEDS times it is an error.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select("vec_id", "label", unit_udf("embedding").alias("v"))
@@ -286,10 +312,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall:
     nodes = good.groupBy("block", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = nodes.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    edges, links = None, None
+    edges, links, shares = None, None, {}
     for seed in range(SEEDS):
         fresh = _start(nodes, n, seed, scratch, threshold)
-        edges = _descend(nodes, fresh if edges is None else fresh.union(edges), scratch, f"lists{seed}")
+        edges = _descend(nodes, fresh if edges is None else fresh.union(edges), threshold, scratch, f"lists{seed}")
         groups = scratch.keep(components(edges.where(F.col("sim") >= threshold).select("a", "b"), scratch, f"cc{seed}"), f"groups{seed}")
         links = scratch.keep(_links(nodes, groups, threshold, scratch), f"links{seed}")
         shares = audit(nodes, links, groups, threshold)
@@ -302,4 +328,5 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall:
     told = told.join(least, "component").join(links, "node", "left").select("block", "h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = good.select("vec_id", "block", "h1", "h2").join(told, ["block", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("block").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("audited", F.lit(min(shares.values(), default=1.0)))
