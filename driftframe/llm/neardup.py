@@ -271,13 +271,16 @@ def _true_links(shared, threshold: float):
 
 
 def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED) -> dict[str, float]:
-    """Share of sampled nodes with every link there is, against all rows; at most `asked` nodes each without a group, in small and in large ones."""
+    """Share of sampled nodes with every link there is, against all rows; about `asked` nodes each without a group, in small and in large ones."""
     known = groups.groupBy("component").agg(F.count("*").alias("size"))
     large = F.broadcast(known.where(F.col("size") > K).orderBy(F.desc("size"), "component").limit(asked))  # at most `asked` rows; other large ones tell small
     named = groups.join(large, "component", "left").select("node", F.when(F.col("size").isNotNull(), "large").otherwise("small").alias("kind"))
     told = nodes.select("node").join(named, "node", "left").select("node", F.coalesce("kind", F.lit("single")).alias("kind"))
-    by = W.partitionBy("kind").orderBy(F.xxhash64("node"), "node")  # limited per task before the shuffle
-    picked = told.withColumn("at", F.row_number().over(by)).where(F.col("at") <= asked).select("node", "kind")
+    u = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for r in told.groupBy("kind").count().collect():  # three kinds
+        share = F.when(F.col("kind") == r.kind, F.lit(asked / r["count"])).otherwise(share)
+    picked = told.where(u < share)
     sample = {r.node: (r.kind, r.block, np.array(r.v)) for r in nodes.select("node", "block", "v").join(F.broadcast(picked), "node").collect()}
     if not sample:
         return {}
