@@ -5,16 +5,19 @@ ties): equal windows have equal anchors at equal places. Windows of one anchor f
 of up to 64 starts that share a core of CORE bytes, with up to 63 bytes left and right of it. Only
 pieces whose core occurs twice can hold a repeat; they alone are looked at further.
 
-Pieces are rotations of one collection, seen from the core to the right and, reversed, to the
-left, with the core as their first symbol, so a range of cores is an interval of the merged
-transform and tasks own ranges. A task sorts shards of bounded size by themselves and merges them:
-the interleave starts as the shards in turn, blocks being equal cores, and is refined symbol by
-symbol, each block splitting stably; the round in which two neighbours part is their common
-prefix. Intervals with common prefixes of y bytes to the right and x to the left, x + y = 63, are
-the repeated windows; counts of both orders' intervals give a 64-bit mask of starts per piece.
-
-Groups of very many different pieces around one core are not brought into one task: they are
-narrowed in Spark to pieces of 8 starts and then single windows whose digests are counted.
+Pieces stand in two collections of strings, the core as first symbol and then what lies to its
+right or, reversed, to its left, in symbols of WORD bytes; so a range of cores is an interval of
+the merged transform and tasks own ranges. A task deals its pieces to shards and makes the
+Burrows-Wheeler transform of each shard by itself. The transforms are then merged without looking
+at the strings again: the interleave starts as the shards in turn and every round moves each
+shard's entries to their places by the symbols of its transform (Holt and McMillan 2014), which
+orders the interleave by one symbol more. The round in which two neighbours part is their common
+prefix. Intervals with common prefixes of y bytes to the right and x to the left, x + y = 63, that
+hold more than one piece (equal pieces are one row with its count) are the repeated windows: a
+64-bit mask of starts per piece.
+
+A core with over GROUP different pieces is not brought into one task: its pieces are cut in Spark
+to 8 starts, and then to single windows, whose digests are counted.
 """
 
 from __future__ import annotations
@@ -38,9 +41,13 @@ CORE = LENGTH - STARTS + 1
 #: Bytes of text anchored together; positions must stay below 2^24.
 BLOCK = 4 << 20
 #: Different pieces around one core that a task takes.
-GROUP = 1000
+GROUP = 100_000
 #: Pieces in one shard transform, and in one merge.
 SHARD, MERGE = 1024, 8192
+#: Bytes of a symbol of the transforms.
+WORD = 8
+#: Rows of one piece beyond which its mask is broadcast.
+HOT = 4096
 POS = np.uint64((1 << 24) - 1)
 ODD = 0x9E3779B97F4A7C15
 
@@ -127,38 +134,74 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["core", "s", "left", "right", "uid", "base"])
 
 
+def _stable(x: np.ndarray) -> np.ndarray:
+    """A stable order of small integers, 16 bits at a time."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and x.max() > 0xFFFF:
+        order = order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def transform(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rotations of the strings (n, symbols) in order: the string of each, and the symbol before it."""
+    n, size = strings.shape
+    turned = [np.concatenate([strings[:, (r + k) % size] for r in range(size)]) for k in range(size)]
+    order = np.lexsort(turned[::-1])
+    return order % n, turned[-1][order]
+
+
+def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of shard transforms of strings of `symbols` symbols, and common prefixes.
+
+    Returns for every rank of the merged order the place in the shards, one after the other, and
+    how many symbols its rotation shares with the rank before.
+    """
+    before = np.concatenate([b for _, b in shards])
+    source = np.repeat(np.arange(len(shards)), [len(b) for _, b in shards])
+    place = np.arange(len(before))
+    block = np.zeros(len(before), np.int64)
+    lcp = np.full(len(before), symbols)
+    for depth in range(symbols):
+        symbol = before[place]
+        to = _stable(symbol)
+        symbol, block, source = symbol[to], block[to], source[to]
+        edge = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
+        lcp[edge & (lcp == symbols)] = depth
+        block = np.cumsum(edge) - 1
+        place[_stable(source)] = np.arange(len(before))  # a shard's entries keep their own order
+        if edge.all():
+            break
+    return place, lcp
+
+
 def merge_order(block: np.ndarray, sym: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of the rows of sym (n, columns; bytes) below their block, and common prefixes.
+    """Merged order of the rows of sym (n, columns; bytes) below their block (0 ..), and common prefixes.
 
-    Each shard of rows is sorted by itself; the interleave of the shards is then refined one
-    symbol at a time. lcp[k] is the number of columns that rows order[k-1] and order[k] share, -1
-    between blocks.
+    lcp[k] is the number of columns that rows order[k-1] and order[k] share, -1 between blocks.
     """
     n, columns = sym.shape
-    keys = np.concatenate([block.astype(">u4").view(np.uint8).reshape(n, 4), sym], axis=1)
-    keys = np.ascontiguousarray(keys).view(f"S{columns + 4}")[:, 0]
-    order = np.concatenate([lo + np.argsort(keys[lo : lo + shard], kind="stable") for lo in range(0, n, shard)])
-    order = order[np.argsort(block[order], kind="stable")]
-    new = np.concatenate([[True], block[order][1:] != block[order][:-1]])
-    lcp = np.where(new, -1, columns)
-    for d in range(columns):
-        b = np.cumsum(new) - 1
-        pos = np.flatnonzero(np.bincount(b)[b] > 1)
-        if not len(pos):
-            break
-        k = (b[pos] << 8) | sym[order[pos], d]
-        s = np.argsort(k, kind="stable")
-        order[pos] = order[pos][s]
-        k = k[s]
-        split = pos[1:][(k[1:] != k[:-1]) & ~new[pos[1:]]]
-        new[split] = True
-        lcp[split] = d
-    return order, lcp
-
-
-def repeated_starts(block: np.ndarray, left: list[bytes], right: list[bytes], shard: int = SHARD) -> np.ndarray:
-    """For each piece, a mask of the x for which another piece of its block has the same x bytes to
-    the left and 63 - x to the right."""
+    words = -(-columns // WORD)
+    padded = np.zeros((n, words * WORD), np.uint8)
+    padded[:, :columns] = sym
+    coded = np.unique(padded.view(f">u{WORD}"), return_inverse=True)[1].reshape(n, words)
+    strings = np.concatenate([block[:, None], coded + (int(block.max()) + 1)], axis=1)
+    many = -(-n // shard)
+    rows = [np.arange(k, n, many) for k in range(many)]  # every block's rows go to all shards
+    shards = [transform(strings[r]) for r in rows]
+    place, lcp = merge_transforms(shards, words + 1)
+    # block symbols are the smallest: the first n ranks are the strings from their start
+    order = np.concatenate([r[which] for r, (which, _) in zip(rows, shards)])[place[:n]]
+    same, cells = lcp[:n] - 1, padded.reshape(n, words, WORD)
+    split = np.flatnonzero((same >= 0) & (same < words))
+    own = cells[order[split], same[split]] == cells[order[split - 1], same[split]]
+    out = np.where(same < 0, -1, columns)
+    out[split] = np.minimum(columns, same[split] * WORD + own.argmin(axis=1))
+    return order, out
+
+
+def repeated_starts(block: np.ndarray, left: list[bytes], right: list[bytes], count: np.ndarray, shard: int = SHARD) -> np.ndarray:
+    """For each piece, a mask of the x for which its block has more than one row (by `count`) with the
+    same x bytes to the left and 63 - x to the right."""
     n, most = len(block), STARTS - 1
     r = np.frombuffer(b"".join(s.ljust(most, b"\0") for s in right), np.uint8).reshape(n, most)
     l = np.frombuffer(b"".join(s[::-1].ljust(most, b"\0") for s in left), np.uint8).reshape(n, most)
@@ -168,10 +211,10 @@ def repeated_starts(block: np.ndarray, left: list[bytes], right: list[bytes], sh
     rid, lid = np.empty(n, np.int64), np.empty(n, np.int64)
     for x in range(STARTS):
         has = np.flatnonzero((lo <= x) & (x <= hi))
-        if len(has) > 1:
+        if len(has):
             rid[ro], lid[lo_] = np.cumsum(rl < most - x), np.cumsum(ll < x)
-            _, inv, cnt = np.unique(rid[has] * (n + 1) + lid[has], return_inverse=True, return_counts=True)
-            mask[has[cnt[inv] > 1]] |= np.uint64(1 << x)
+            _, inv = np.unique(rid[has] * (n + 1) + lid[has], return_inverse=True)
+            mask[has[np.bincount(inv, count[has])[inv] > 1]] |= np.uint64(1 << x)
     return mask
 
 
@@ -179,14 +222,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by core; whole groups are merged, at least MERGE pieces at a time."""
 
     def masks(t: pa.Table) -> pa.RecordBatch:
-        c = t["core"].to_numpy()
+        c, n = t["core"].to_numpy(), t["n"].to_numpy()
         same = np.concatenate([[False], c[1:] == c[:-1]])
-        several = same | np.concatenate([same[1:], [False]])
-        t, c = t.filter(pa.array(several)), c[several]
+        several = same | np.concatenate([same[1:], [False]]) | (n > 1)
+        t, c, n = t.filter(pa.array(several)), c[several], n[several]
         m = np.zeros(0, np.uint64)
         if len(c):
             block = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]]))
-            m = repeated_starts(block, t["left"].to_pylist(), t["right"].to_pylist())
+            m = repeated_starts(block, t["left"].to_pylist(), t["right"].to_pylist(), n)
         return pa.RecordBatch.from_arrays([pa.array(c), pa.array(t["s"].to_numpy()), pa.array(m.view(np.int64))], names=["core", "s", "mask"])
 
     held: list[pa.RecordBatch] = []
@@ -207,11 +250,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _narrow(step: int):
-    """Pieces' starts in runs of `step`: (core, s, k1, k2, x): digest of the run's own core, first start."""
+    """Pieces' starts in runs of `step`: (core, s, k1, k2, x, n): digest of the run's own core, first start, rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for row in batch.to_pylist():
                 left, right = row["left"], row["right"]
                 hi, lo = len(left), STARTS - 1 - len(right)
@@ -220,18 +263,18 @@ def _narrow(step: int):
                     if top < lo or x > hi or not row["live"] >> x & ((1 << step) - 1):
                         continue
                     k = xxhash.xxh3_128_intdigest(b"%d,%d:" % (row["core"], x) + left[hi - x :] + b"|" + right[: STARTS - 1 - top])
-                    for o, v in zip(out, (row["core"] % (1 << 64), row["s"] % (1 << 64), k >> 64, k & (1 << 64) - 1, x)):
+                    for o, v in zip(out, (row["core"] % (1 << 64), row["s"] % (1 << 64), k >> 64, k & (1 << 64) - 1, x, row["n"])):
                         o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([_signed(o) for o in out[:4]] + [pa.array(out[4], pa.int32())], names=["core", "s", "k1", "k2", "x"])
+                yield pa.RecordBatch.from_arrays([_signed(o) for o in out[:4]] + [pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64())], names=["core", "s", "k1", "k2", "x", "n"])
 
     return emit
 
 
 def _narrowed(strings: DataFrame, step: int) -> DataFrame:
     """(core, s, live): for pieces with a mask `live`, the starts in runs of `step` that some other piece has too."""
-    rows = strings.select("core", "s", "left", "right", "live").mapInArrow(_narrow(step), "core long, s long, k1 long, k2 long, x int")
-    shared = rows.groupBy("k1", "k2").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    rows = strings.select("core", "s", "left", "right", "live", "n").mapInArrow(_narrow(step), "core long, s long, k1 long, k2 long, x int, n long")
+    shared = rows.groupBy("k1", "k2").agg(F.sum("n").alias("__n")).where("__n > 1").drop("__n")
     bits = F.expr(f"shiftleft({(1 << step) - 1}L, x)")
     return rows.join(shared, ["k1", "k2"]).groupBy("core", "s").agg(F.bit_or(bits).alias("live"))
 
@@ -250,19 +293,22 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> Da
     pieces = scratch.keep(docs.select("uid", "text").join(places, "uid").mapInArrow(_emit_pieces, PIECES), "pieces")
     scratch.drop("places")
     strings = scratch.keep(pieces.groupBy("core", "s", "left", "right").agg(F.count("*").alias("n")), "strings")
-    large = scratch.keep(strings.groupBy("core").agg(F.count("*").alias("size")).where(F.col("size") > group).select("core"), "large")
-    copies = strings.where("n > 1").select("core", "s", F.lit(-1).cast("long").alias("mask"))
-    some = strings.join(large, "core", "left_anti").select("core", "s", "left", "right")
-    merged = some.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, "core long, s long, mask long")
-    many = strings.join(large, "core").withColumn("live", F.lit(-1).cast("long"))
-    many = many.drop("live").join(scratch.keep(_narrowed(many, 8), "runs"), ["core", "s"])
-    single = _narrowed(many, 1).withColumnRenamed("live", "mask")
-    masks = copies.union(merged).union(single).groupBy("core", "s").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-    masks = scratch.keep(masks, "masks")
+    large = scratch.small(strings.groupBy("core").agg(F.count("*").alias("size")).where(F.col("size") > group).select("core"), "large")
+    some = strings.join(large, "core", "left_anti").select("core", "s", "left", "right", "n")
+    masks = some.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, "core long, s long, mask long")
+    if not large.isEmpty():
+        many = strings.join(large, "core")
+        live = many.withColumn("live", F.lit(-1).cast("long"))
+        runs = scratch.keep(_narrowed(live, 8), "runs")
+        masks = masks.union(_narrowed(many.join(runs, ["core", "s"]), 1).withColumnRenamed("live", "mask"))
+    hot = scratch.small(strings.where(F.col("n") > HOT).select("core", "s"), "hot")
+    masks = scratch.keep(masks.where("mask <> 0"), "masks")
+    hot_masks = scratch.small(masks.join(hot, ["core", "s"]), "hot_masks")
     scratch.drop("strings")
     valid = F.expr(f"shiftleft(-1L, {STARTS - 1} - length(right)) & shiftrightunsigned(-1L, {STARTS - 1} - length(left))")
     own = pieces.select("core", "s", "uid", "base", valid.alias("valid"))
-    return own.join(masks, ["core", "s"]).select("uid", "base", F.col("mask").bitwiseAND(F.col("valid")).alias("mask"))
+    found = own.join(hot_masks, ["core", "s"]).unionByName(own.join(hot, ["core", "s"], "left_anti").join(masks, ["core", "s"]))
+    return found.select("uid", "base", F.col("mask").bitwiseAND(F.col("valid")).alias("mask"))
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))])

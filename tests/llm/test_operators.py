@@ -129,15 +129,37 @@ def test_repeats(docs, none):
     assert repeats.repeats(none).count() == 0
 
 
-def test_merge_order():
+def test_merge_order(monkeypatch):
     rng = np.random.default_rng(1)
-    sym, block = rng.integers(97, 99, (400, 12)).astype(np.uint8), np.sort(rng.integers(0, 5, 400))
-    order, lcp = repeats.merge_order(block, sym, shard=32)
-    keys = [(block[i], sym[i].tobytes()) for i in order]
-    assert keys == sorted(keys)
-    for k in range(1, 400):
-        same = sym[order[k]] == sym[order[k - 1]]
-        assert lcp[k] == (-1 if block[order[k]] != block[order[k - 1]] else 12 if same.all() else int(np.argmin(same)))
+
+    def wrong(block, sym, order, lcp):
+        keys = [(block[i], sym[i].tobytes()) for i in order]
+        if keys != sorted(keys) or sorted(order) != list(range(len(block))):
+            return True
+        for k in range(1, len(order)):
+            same = sym[order[k]] == sym[order[k - 1]]
+            if lcp[k] != (-1 if block[order[k]] != block[order[k - 1]] else len(same) if same.all() else int(np.argmin(same))):
+                return True
+        return False
+
+    for columns, letters in ((12, 2), (63, 3), (7, 2), (63, 1)):
+        sym, block = rng.integers(97, 97 + letters, (400, columns)).astype(np.uint8), np.sort(rng.integers(0, 5, 400))
+        for shard in (32, 1000):
+            assert not wrong(block, sym, *repeats.merge_order(block, sym, shard=shard))
+    sym = rng.integers(97, 99, (400, 12)).astype(np.uint8)
+    true = repeats.transform
+
+    def broken(strings):
+        which, before = true(strings)
+        return which[::-1], before
+
+    def dull(strings):
+        which, before = true(strings)
+        return which, before[::-1]
+
+    for bad in (broken, dull):  # the order comes from the shards' transforms alone
+        monkeypatch.setattr(repeats, "transform", bad)
+        assert wrong(block, sym, *repeats.merge_order(block, sym, shard=32))
 
 
 def test_lines(docs, none):
