@@ -20,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one on a local master and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 class Scratch:
@@ -94,9 +101,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         nxt = scratch.keep(small.where("a <> b").distinct(), f"{name}_{i}")
         seen, size = size, nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        settled = size == seen and nxt.join(now, ["a", "b"], "left_anti").isEmpty()  # both hold different rows only
         scratch.drop(f"{name}_{i - 1}")
         now = nxt
-        if size == seen:
+        if settled:
             break
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
