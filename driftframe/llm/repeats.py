@@ -286,8 +286,10 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> Da
     bytes beside the core, which are compared.
     """
     slim = scratch.keep(docs.select("uid", "text").mapInArrow(_emit_slim, SLIM), "slim")
-    again = slim.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key")
-    places = slim.join(again, "key").groupBy("uid").agg(F.collect_list(F.struct("base", "lo", "hi")).alias("places"))  # at most a text's
+    again = scratch.keep(slim.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    hot = scratch.small(again.where(F.col("n") > HOT).select("key"), "hot_keys")
+    shared = slim.join(hot, "key").unionByName(slim.join(hot, "key", "left_anti").join(again.where(F.col("n") <= HOT).select("key"), "key"))
+    places = shared.groupBy("uid").agg(F.collect_list(F.struct("base", "lo", "hi")).alias("places"))  # at most a text's
     places = scratch.keep(places, "places")
     scratch.drop("slim")
     pieces = scratch.keep(docs.select("uid", "text").join(places, "uid").mapInArrow(_emit_pieces, PIECES), "pieces")
