@@ -15,16 +15,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, global_rank
 
 #: Lines that are shorter when trimmed always stay.
 LEAST_CHARS = 20
 SEPARATOR = "\n"
 
 
-def _position(id_col: Column, line_no: Column) -> Column:
-    """One ordered number for (document, line); documents without an id come last."""
-    return (F.coalesce(id_col, F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no).cast("decimal(38,0)")
+#: Line numbers in a position, and row numbers in a row's place.
+LINES, ROWS = 1 << 31, 1 << 32
+
+
+def _decimal(n: int) -> Column:
+    return F.lit(n).cast("decimal(11,0)")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(of, id, lines): of orders the rows by id, nulls last; rows of equal or no id get a number each, by text hash and key."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    place = F.coalesce("id", F.lit((1 << 63) - 1)).cast("decimal(38,0)") * _decimal(ROWS)
+
+    def out(df: DataFrame, number: Column) -> DataFrame:
+        return df.select((place + number).cast("decimal(38,0)").alias("of"), "id", F.split("text", SEPARATOR).alias("lines"))
+
+    again = scratch.small(slim.groupBy("id").agg(F.count("*").alias("k")).where("k > 1 or id is null").select(F.col("id").alias("again")), "again")
+    if again.isEmpty():
+        return out(slim, F.lit(0))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    several = scratch.keep(slim.join(again, same, "left_semi").withColumn("uid", F.monotonically_increasing_id()), "several")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = global_rank(several.select("id", F.xxhash64("text").alias("h"), "uid"), [F.col("id").asc_nulls_last(), F.col("h"), F.col("uid")], "rank", parts, scratch, "ranks")
+    return out(slim.join(again, same, "left_anti"), F.lit(0)).union(out(several.join(ranks.select("uid", "rank"), "uid"), F.col("rank") + 1))
 
 
 def _around(c: Column, j: Column) -> tuple[Column, Column]:
@@ -66,10 +87,9 @@ def earlier_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     # tag > 0: any two differ by a substitution; tag 0: the whole line and those one longer
     partner = F.when(F.col("tag") > 0, F.col("other")).when(F.col("whole"), F.col("other")).otherwise(F.col("one"))
     found = variants.join(met, ["key", "v", "tag"]).select("pos", partner.alias("partner")).where(F.col("partner") < F.col("pos"))
-    least = found.groupBy("pos").agg(F.min("partner").alias("partner"))
     texts = lines.select("pos", "line")
-    both = least.join(texts, "pos").join(texts.select(F.col("pos").alias("partner"), F.col("line").alias("other")), "partner")
-    return both.where(F.levenshtein("line", "other", 1) >= 0).select("pos", "partner")
+    both = found.distinct().join(texts, "pos").join(texts.select(F.col("pos").alias("partner"), F.col("line").alias("other")), "partner")
+    return both.where(F.levenshtein("line", "other", 1) >= 0).groupBy("pos").agg(F.min("partner").alias("partner"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
@@ -78,24 +98,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line (trimmed of blanks) of `least` characters or more goes if an earlier line, by document
     id and line number, is equal to it or within one edit of it, whether that one stays or not.
     Shorter lines stay. Null texts have no lines and kept is null; an empty text is one empty
-    line. Rows of equal id are one document to the comparison and should hold equal texts
-    (repeated rows come back alike); documents without an id come last in order and count as one.
-    Other columns are ignored; an empty table gives no rows.
+    line. Every row is a document of its own: rows of equal id come in the order of their texts'
+    hash, rows without an id last, and of repeated rows one keeps its lines. Other columns are
+    ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.split(F.col(text_col), SEPARATOR).alias("lines"))
-    lines = slim.select("id", F.posexplode("lines").alias("at", "raw")).select("id", "at", F.trim("raw").alias("line"))
+    rows = _rows(docs, id_col, text_col, scratch)
+    lines = rows.select("of", F.posexplode("lines").alias("at", "raw")).select("of", "at", F.trim("raw").alias("line"))
     long = lines.where(F.char_length("line") >= least)
-    classes = long.groupBy("line").agg(F.min(_position(F.col("id"), F.col("at"))).alias("pos"))
+    classes = long.groupBy("line").agg(F.min((F.col("of") * _decimal(LINES) + F.col("at")).cast("decimal(38,0)")).alias("pos"))
     classes = scratch.keep(classes.withColumn("line_id", F.monotonically_increasing_id()), "classes")
     kept = classes.select("pos").join(earlier_lines(classes, scratch).select("pos"), "pos", "left_anti")
-    base = F.lit(1 << 32).cast("decimal(11,0)")
-    at = F.pmod("pos", base).cast("int")
-    named = kept.select(((F.col("pos") - at) / base).cast("long").alias("of"), at.alias("at"))
-    short = lines.where(F.char_length("line") < least).select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("of"), "at")
+    at = F.pmod("pos", _decimal(LINES)).cast("int")
+    named = kept.select(((F.col("pos") - at) / _decimal(LINES)).cast("decimal(38,0)").alias("of"), at.alias("at"))
+    short = lines.where(F.char_length("line") < least).select("of", "at")
     stay = scratch.keep(named.union(short).groupBy("of").agg(F.array_sort(F.collect_set("at")).alias("stay")), "stay")  # at most a document's lines
     scratch.drop("classes")
-    out = slim.withColumn("of", F.coalesce("id", F.lit((1 << 63) - 1))).join(stay.hint("merge"), "of", "left")  # as long as documents: never broadcast
+    out = rows.join(stay.hint("merge"), "of", "left")  # as long as documents: never broadcast
     held = F.filter(F.coalesce("stay", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
     out = out.withColumn("held", F.when(F.col("lines").isNotNull(), held))
     return out.select(F.col("id").alias(id_col), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("n_kept"), F.array_join(F.transform("held", lambda i: F.col("lines")[i]), SEPARATOR).alias("kept"))
