@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -84,22 +85,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Taken:
+    """Places of sorted spans, overlapping ones united."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in spans:
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)
+        return k == 0 or self.ends[k - 1] <= s
+
+
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and what may be added: (start, kind, end), none overlapping a base span."""
+    """Base spans and what may be added: (start, kind, end), none overlapping a base span.
+
+    A credential is a run of at least 16 characters with a letter and a digit; a text without any
+    digit has neither kind of addition.
+    """
     if not DIGIT.search(text):
         return base
-    taken = [(s, e) for s, _, e in base]
-    free = lambda s, e: all(e <= a or s >= b for a, b in taken)
-    more = []
-    for m in RUN.finditer(text):
-        g = m.group()
-        if DIGIT.search(g) and re.search("[A-Za-z]", g) and free(*m.span()):
-            more.append((m.start(), 4, m.end()))
-            taken.append(m.span())
+    taken = _Taken([(s, e) for s, _, e in base])
+    runs = [m.span() for m in RUN.finditer(text) if DIGIT.search(m.group()) and re.search("[A-Za-z]", m.group()) and taken.free(*m.span())]
+    more = [(s, 4, e) for s, e in runs]
+    secret = _Taken(runs)
     for m in BARE_PHONE.finditer(text):
-        if 9 <= sum(map(str.isdigit, m.group())) <= 15 and free(*m.span()) and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".-")) and not text[m.end() : m.end() + 1].isalnum():
+        if 9 <= sum(map(str.isdigit, m.group())) <= 15 and taken.free(*m.span()) and secret.free(*m.span()) and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".-")) and not text[m.end() : m.end() + 1].isalnum():
             more.append((m.start(), 3, m.end()))
-            taken.append(m.span())
     return sorted(base + more)
 
 
