@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents stand in a hashed order on a line of words; its mix is the start of that
-line, gone through up to twice, of exactly its target's length. The line is cut into blocks of
-BLOCK words. A binary tree over the output shards splits the exact block counts of all sources:
-a node's left half draws its blocks without replacement from the node's (source by source, each a
-conditional hypergeometric draw by inverted distribution function). Each source's blocks, in a
-permuted order, then fill the shards' quotas, so shards hold disjoint blocks; rows are shuffled
-inside their shard. DataFrame and SQL functions only.
+Each source's documents stand in a hashed order on a line of words, gone through twice, which is
+cut into blocks. A binary tree over the output shards splits the exact block quotas of all
+sources: a node's left half draws its blocks without replacement from the node's (source by source,
+each a conditional hypergeometric draw by inverted distribution function). A keyed permutation of
+each source's blocks (swap-or-not, Hoang, Morris and Rogaway 2012) then fills the shards' quotas one
+after the other: what its first blocks hold is taken, disjoint blocks for each shard, and the last
+one is cut to the target's words. Rows are shuffled inside their shard. DataFrame and SQL functions
+only.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from .common import SPACE, Scratch
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 SHARDS = 16
-BLOCK = 4096
+#: Words of a block, at most; and blocks of a source's target, at least (while a block has a word).
+BLOCK, LEAST_BLOCKS = 4096, 64
+#: Rounds of the permutation of blocks.
+ROUNDS = 16
 #: Rows of a source that are ordered together.
 RUN = 4096
 
@@ -88,8 +92,22 @@ def quotas(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame
     return each.groupBy(F.col("at").cast("long").alias("at")).agg(listed.alias("q")).select("at", run.alias("upto"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """docs with their size, source_size, target, taken and pieces.
+def _hash(*parts: str, digits: int) -> str:
+    """SQL of the first hexadecimal digits of the md5 of the parts, as a number."""
+    told = ", ':', ".join(f"cast({p} as string)" for p in parts)
+    return f"cast(conv(substring(md5(cast(concat({told}) as binary)), 1, {digits}), 16, 10) as bigint)"
+
+
+def _rank(block: str, seed: int) -> str:
+    """SQL of a block's place in its source's permutation of `many` blocks; a short block behind them stays last."""
+    key = _hash(str(seed), "at", "r", digits=12)
+    coin = _hash(str(seed), "at", "r", "greatest(x, pmod(key - x, many))", digits=1)
+    step = f"aggregate(array(pmod({key}, many)), x, (x, key) -> if({coin} >= 8, pmod(key - x, many), x))"
+    return f"if({block} >= many, {block}, aggregate(sequence(1, {ROUNDS}), {block}, (x, r) -> {step}))"
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id", carry: bool = True) -> DataFrame:
+    """docs with their size, source_size, target, taken and pieces; without `carry` only the id and the source of docs come along.
 
     pieces: array of (pass, block, shard, start, words), the runs of the document's words that the
     mix takes, by pass over the source and block; taken is the sum of their words, at most twice
@@ -98,11 +116,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0
     empty table gives no rows. Columns of docs stay unless they have one of these names.
     """
     scratch = Scratch(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "pieces")]
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "pieces") and (carry or c in (id_col, "source"))]
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
     slim = docs.select(*names, word_count(F.col("text")).alias("size"), key.alias("__key"), F.xxhash64("text").alias("__tie"))
+    if not carry:
+        slim = scratch.keep(slim, "slim")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
-    sources = targets(sources).withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
+    sources = targets(sources).withColumn("words", F.round("target").cast("long"))
+    sources = sources.withColumn("len", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("words") / LEAST_BLOCKS))).cast("long"))
+    sources = sources.withColumn("blocks", F.ceil(F.col("words") / F.col("len")).cast("long")).withColumn("many", F.expr("2 * source_size div len"))
     sources = scratch.keep(sources, "sources")
     sources = scratch.keep(sources.join(quotas(sources, shards, seed), "at", "left").withColumnRenamed("source", "__source"), "quotas")
     runs = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / 4294967296.0 * (1 + F.floor(F.col("__n") / RUN))).cast("long")
@@ -112,35 +134,41 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = 0
     inside = W.partitionBy("at", "__run").orderBy("__key", "size", "__tie").rowsBetween(W.unboundedPreceding, 0)
     line = placed.join(begin, ["at", "__run"]).withColumn("__begin", F.col("__before") + F.sum("size").over(inside) - F.col("size"))
     pieces = f"""
-    flatten(transform(array(0L, 1L), p -> transform(array(named_struct('lo', p * source_size + __begin, 'hi', least(p * source_size + __begin + size, words))), r ->
-      if(r.hi > r.lo, transform(sequence(r.lo div {block}, (r.hi - 1) div {block}), b -> named_struct('pass', p, 'block', b,
-        'shard', cast(size(filter(upto, q -> q <= pmod(b * if(blocks % 1000003 = 0, 1000033, 1000003) + at, blocks))) as int),
-        'start', greatest(r.lo, b * {block}) - r.lo, 'words', least(r.hi, (b + 1) * {block}) - greatest(r.lo, b * {block}))),
-      cast(array() as array<struct<pass:bigint,block:bigint,shard:int,start:bigint,words:bigint>>)))[0]))"""
+    filter(flatten(transform(array(0L, 1L), p -> transform(array(named_struct('lo', p * source_size + __begin, 'hi', p * source_size + __begin + size)), r ->
+      if(r.hi > r.lo and words > 0, transform(transform(sequence(r.lo div len, (r.hi - 1) div len), b -> named_struct('b', b, 'at', {_rank("b", seed)})), v -> named_struct('pass', p, 'block', v.b,
+        'shard', cast(size(filter(upto, q -> q <= v.at)) as int), 'start', greatest(r.lo, v.b * len) - r.lo,
+        'words', if(v.at >= blocks, 0L, least(r.hi, v.b * len + if(v.at = blocks - 1, words - v.at * len, len)) - greatest(r.lo, v.b * len)))),
+      cast(array() as array<struct<pass:bigint,block:bigint,shard:int,start:bigint,words:bigint>>)))[0])), x -> x.words > 0)"""
     out = line.withColumn("pieces", F.expr(pieces)).withColumn("taken", F.expr("aggregate(pieces, 0L, (a, x) -> a + x.words)"))
     return out.select(*names, "size", "source_size", "target", "taken", "pieces")
 
 
-def shard_rows(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """(shard, id, pass, block, start, words) of every piece, in a hashed order inside each shard."""
-    rows = mixed.select(F.col(id_col), F.explode("pieces").alias("x")).select(id_col, "x.*")
+def shard_rows(rows: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """rows (shard, block, pass, id, ..), each shard's blocks dealt over tasks and in a hashed order inside."""
     return rows.repartition("shard", "block").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), id_col, "pass", "block"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a document.
+    """The mix as documents: a row for each pass that takes words of a document, in the order of shard_rows.
 
-    A document at the end of its source's target is cut to the words taken (n_chars with it);
-    columns are those of docs.
+    A document whose blocks are not all drawn is cut to the words taken (n_chars with it); it
+    belongs to the shard of its first piece. Columns are those of docs, whatever they hold; null
+    texts are not in the mix; an empty table gives no rows.
     """
-    mixed = mix(docs, **options)
-    each = mixed.withColumn("__words", F.explode(F.expr("filter(transform(array(0L, 1L), p -> aggregate(filter(pieces, x -> x.pass = p), 0L, (a, x) -> a + x.words)), w -> w > 0)")))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
-    cut = F.col("__words") < F.col("size")
-    each = each.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    if not {"doc_id", "source", "text"} <= set(docs.columns):
+        raise ValueError("docs need doc_id, source and text")
+    mixed = mix(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text"), **options)
+    each = mixed.select("row", "size", F.explode(F.expr("filter(transform(array(0L, 1L), p -> filter(pieces, x -> x.pass = p)), x -> size(x) > 0)")).alias("p"))
+    each = each.withColumn("words", F.expr("aggregate(p, 0L, (a, x) -> a + x.words)"))
+    tokens = F.regexp_extract_all("row.text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("p", lambda x: F.slice(F.col("tokens"), x.start.cast("int") + 1, x.words.cast("int")))), "")
+    cut = F.col("words") < F.col("size")
+    each = each.withColumn("tokens", F.when(cut, tokens)).withColumn("cut", F.when(cut, some))
+    row = F.col("row").withField("text", F.coalesce("cut", "row.text"))
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return each.select(*docs.columns)
+        row = row.withField("n_chars", F.when(cut, F.char_length("cut").cast("long")).otherwise(F.col("row.n_chars")))
+    each = each.select(row.alias("row"), F.col("p")[0]["shard"].alias("shard"), F.col("p")[0]["block"].alias("block"), F.col("p")[0]["pass"].alias("pass"), F.col("row.doc_id").alias("doc_id"))
+    return shard_rows(each).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -156,13 +184,35 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () * 1.5::double - coalesce(sum(cap) OVER (ORDER BY cap / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM w
 ), t AS (
-  SELECT source, source_size, least(cap, weight * max(factor) OVER ()) AS target FROM f
+  SELECT source, pos, source_size, least(cap, weight * max(factor) OVER ()) AS target FROM f
+), u AS (
+  SELECT *, cast(round(target) AS bigint) AS words, greatest(1, least({BLOCK}, cast(round(target) AS bigint) // {LEAST_BLOCKS})) AS len FROM t
 ), l AS (
-  SELECT d.*, t.source_size, t.target, cast(round(t.target) AS bigint) AS words,
+  SELECT d.*, u.pos, u.source_size, u.target, u.words, u.len, 2 * u.source_size // u.len AS many, (u.words + u.len - 1) // u.len AS blocks,
          sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), p AS (
+  SELECT *, pass * source_size + b AS lo, pass * source_size + b + size AS hi FROM l, (VALUES (0), (1)) AS v(pass) WHERE size > 0
+), x0 AS (
+  SELECT *, cast(block AS bigint) AS x FROM (SELECT *, unnest(range(cast(lo // len AS bigint), cast((hi - 1) // len + 1 AS bigint))) AS block FROM p)
+{PERMUTED}), y AS (
+  SELECT doc_id, block, lo, hi, len, blocks, words, CASE WHEN block >= many THEN block ELSE x END AS rank FROM x{ROUNDS}
+), z AS (
+  SELECT lo, doc_id, sum(least(hi, block * len + CASE WHEN rank = blocks - 1 THEN words - rank * len ELSE len END) - greatest(lo, block * len))
+    FILTER (WHERE rank < blocks AND least(hi, block * len + CASE WHEN rank = blocks - 1 THEN words - rank * len ELSE len END) > greatest(lo, block * len)) AS taken
+  FROM y GROUP BY doc_id, lo
+), q AS (
+  SELECT doc_id, sum(taken) AS taken FROM z GROUP BY doc_id
 )
-SELECT doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, cast(target AS double) AS target,
-       cast(greatest(0, least(b + size, words) - b) + greatest(0, least(source_size + b + size, words) - source_size - b) AS bigint) AS taken
-FROM l
+SELECT l.doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, cast(target AS double) AS target, cast(coalesce(taken, 0) AS bigint) AS taken
+FROM l LEFT JOIN q ON l.doc_id IS NOT DISTINCT FROM q.doc_id
+"""
+_ROUND = """), k{r} AS (
+  SELECT *, ((('0x' || substr(md5(concat('0:', pos, ':{r}')), 1, 12))::bigint % greatest(many, 1)) - x + greatest(many, 1)) % greatest(many, 1) AS other FROM x{p}
+), x{r} AS (
+  SELECT * EXCLUDE (other, x), CASE WHEN substr(md5(concat('0:', pos, ':{r}:', greatest(x, other))), 1, 1) >= '8' THEN other ELSE x END AS x FROM k{r}
 """
+ORACLE_SQL = (
+    ORACLE_SQL.replace("{PERMUTED}", "".join(_ROUND.format(r=r, p=r - 1) for r in range(1, ROUNDS + 1)))
+    .replace("{ROUNDS}", str(ROUNDS)).replace("{BLOCK}", str(BLOCK)).replace("{LEAST_BLOCKS}", str(LEAST_BLOCKS))
+)
