@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into segments of SEGMENT bytes that run through the network side by side; every
-byte position gets language probabilities, and a document's are their mean over all positions.
+Texts are cut into segments of SEGMENT bytes that run through the network side by side, each after
+the WARM bytes beside it, so that states do not start anew at a cut; every byte position gets
+language probabilities, and a document's are their mean over all positions.
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled
 documents; Spark maps it over whole texts.
 """
@@ -16,14 +17,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 UNKNOWN = "und"
-HIDDEN, SEGMENT, TRAIN_SEGMENT = 8, 128, 64
-#: Labelled documents of each language that are learned from, at most.
-SAMPLE = 200
+HIDDEN, SEGMENT, TRAIN_SEGMENT = 8, 256, 64
+#: Bytes before (and, for the backward layer, behind) a segment that set its first state.
+WARM = 32
+#: A byte's place where there is none: it leaves the state as it is.
+BLANK = 256
+#: Labelled documents of each language that are learned from, at most; of all languages together, one each at least; and characters of each.
+SAMPLE, TOTAL, CHARS = 200, 20_000, 1 << 16
 STEPS, BATCH, RATE = 400, 256, 0.02
 #: Label values whose counts are broadcast; with more they are joined by a shuffle.
 LABELS = 1000
 #: Segments that are run together.
-BLOCK = 4096
+BLOCK = 2048
 #: A document whose best language is less probable than this is rejected.
 LEAST = 0.35
 
@@ -74,33 +79,44 @@ class BiGru:
         de = np.stack([np.bincount(flat, da[:, j], 256) for j in range(3 * k)], axis=1).astype(np.float32)
         return {f"e{d}": de, f"u{d}": du}
 
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+        """Mean cross-entropy of all positions of x (steps, n) under the labels y (n), and its gradient."""
+        hf, sf = self._forward(x, 0)
+        hb, sb = self._forward(x[::-1], 1)
+        both = np.concatenate([hf[1:], hb[1:][::-1]], axis=2)
+        z = both @ self.p["w"] + self.p["b"]
+        z = np.exp(z - z.max(axis=2, keepdims=True))
+        dz = z / z.sum(axis=2, keepdims=True)
+        at = np.arange(len(y))
+        loss = -float(np.log(np.maximum(dz[:, at, y], 1e-30)).mean())
+        dz[:, at, y] -= 1
+        dz /= dz.shape[0] * len(y)
+        dboth = dz @ self.p["w"].T
+        grad = {"w": np.tensordot(both, dz, ((0, 1), (0, 1))), "b": dz.sum(axis=(0, 1))}
+        grad |= self._backward(x, 0, hf, sf, dboth[:, :, : self.h])
+        grad |= self._backward(x[::-1], 1, hb, sb, dboth[::-1, :, self.h :])
+        return loss, grad
+
     def train(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 1) -> None:
-        """Adam on batches of random segments, languages in turn; every position bears its document's label."""
+        """Adam on batches of random segments, languages in turn; every position bears its document's label.
+
+        There are steps enough for each language to be seen 100 times.
+        """
+        steps = max(steps, -(-100 * len(self.langs) // batch))
         rng = np.random.default_rng(seed)
         by = [[t for t, y in zip(texts, labels) if y == k and t] for k in range(len(self.langs))]
         by = [b or [b" "] for b in by]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            y = np.arange(batch) % len(by)
+            y = (np.arange(batch) + (step - 1) * batch) % len(by)  # all languages in turn, however many
             x = np.full((TRAIN_SEGMENT, batch), 32, np.uint8)
             for i, k in enumerate(y):
                 text = by[k][rng.integers(len(by[k]))]
                 at = rng.integers(max(1, len(text) - TRAIN_SEGMENT + 1))
                 piece = np.frombuffer(text[at : at + TRAIN_SEGMENT], np.uint8)
                 x[: len(piece), i] = piece
-            hf, sf = self._forward(x, 0)
-            hb, sb = self._forward(x[::-1], 1)
-            both = np.concatenate([hf[1:], hb[1:][::-1]], axis=2)
-            z = both @ self.p["w"] + self.p["b"]
-            z = np.exp(z - z.max(axis=2, keepdims=True))
-            dz = z / z.sum(axis=2, keepdims=True)
-            dz[:, np.arange(batch), y] -= 1
-            dz /= dz.shape[0] * batch
-            dboth = dz @ self.p["w"].T
-            grad = {"w": np.tensordot(both, dz, ((0, 1), (0, 1))), "b": dz.sum(axis=(0, 1))}
-            grad |= self._backward(x, 0, hf, sf, dboth[:, :, : self.h])
-            grad |= self._backward(x[::-1], 1, hb, sb, dboth[::-1, :, self.h :])
+            grad = self.gradient(x, y)[1]
             lr = rate * min(1, 2 * (1 - step / (steps + 1)))
             for k, g in grad.items():
                 m[k] += 0.1 * (g - m[k])
@@ -111,6 +127,9 @@ class BiGru:
         """(steps, n, h): the states only, gates in separate contiguous tables."""
         e, u, k = self.p[f"e{d}"], self.p[f"u{d}"], self.h
         half = np.float32(0.5)
+        stay = np.zeros((1, 3 * k), np.float32)
+        stay[:, k : 2 * k] = 100  # BLANK: the update gate is one
+        e = np.concatenate([e, stay])
         e_rz, e_n = np.ascontiguousarray(e[:, : 2 * k]) * half, np.ascontiguousarray(e[:, 2 * k :])
         u_rz, u_n = np.ascontiguousarray(u[:, : 2 * k]) * half, np.ascontiguousarray(u[:, 2 * k :])
         n = x.shape[1]
@@ -138,20 +157,28 @@ class BiGru:
         """(texts, languages): mean over all byte positions; empty texts get zeros."""
         size = np.array([len(t) for t in texts], np.int64)
         count = -(-size // SEGMENT)
+        if not count.sum():
+            return np.zeros((len(texts), len(self.langs)))
         doc = np.repeat(np.arange(len(texts)), count)
         first = np.cumsum(count) - count
-        grid = np.full((int(count.sum()), SEGMENT), 32, np.uint8)
+        # a row for each segment, with WARM bytes of its text on both sides
+        flat = np.full(int(count.sum()) * SEGMENT + 2 * WARM, BLANK, np.int16)
         for i, t in enumerate(texts):
-            grid.reshape(-1)[first[i] * SEGMENT : first[i] * SEGMENT + size[i]] = np.frombuffer(t, np.uint8)
+            flat[WARM + first[i] * SEGMENT : WARM + first[i] * SEGMENT + size[i]] = np.frombuffer(t, np.uint8)
+        grid = np.lib.stride_tricks.sliding_window_view(flat, SEGMENT + 2 * WARM)[::SEGMENT][: int(count.sum())]
         length = np.full(len(grid), SEGMENT, np.int64)
         full = count > 0
         length[(first + count - 1)[full]] = (size - (count - 1) * SEGMENT)[full]
+        starts, ends = np.zeros(len(grid), bool), np.zeros(len(grid), bool)
+        starts[first[full]], ends[(first + count - 1)[full]] = True, True
         total = np.zeros((len(texts), len(self.langs)))
         steps = np.arange(SEGMENT)[:, None]
         for lo in range(0, len(grid), BLOCK):
             x, live = np.ascontiguousarray(grid[lo : lo + BLOCK].T), steps < length[lo : lo + BLOCK]
-            z = self._states(x, 0) @ self.p["w"][: self.h]
-            z += self._states(x[::-1], 1)[::-1] @ self.p["w"][self.h :]
+            x[:WARM, starts[lo : lo + BLOCK]] = BLANK  # other texts' bytes
+            x[WARM + SEGMENT :, ends[lo : lo + BLOCK]] = BLANK
+            z = self._states(x[: WARM + SEGMENT], 0)[WARM:] @ self.p["w"][: self.h]
+            z += self._states(x[WARM:][::-1], 1)[WARM:][::-1] @ self.p["w"][self.h :]
             z += self.p["b"]
             np.exp(np.clip(z, -30, 30, out=z), out=z)
             z *= (live / z.sum(axis=2))[:, :, None].astype(np.float32)
@@ -179,9 +206,11 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of each value of `label`, by a hash of the id; groups are thinned before they are ranked."""
+    """At most `most` rows of each value of `label`, by a hash of the id, and about TOTAL of all; groups are thinned before they are ranked."""
     counts = docs.groupBy(label).agg(F.count("*").alias("__n"))
-    if len(counts.limit(LABELS + 1).collect()) <= LABELS:
+    values = counts.where(F.col(label).isNotNull()).count()
+    most = max(1, min(most, TOTAL // max(1, values)))
+    if values <= LABELS:
         counts = F.broadcast(counts)
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     thin = docs.join(counts, label).withColumn("__u", u).where(F.col("__u") * F.col("__n") <= 2.0 * most)
@@ -190,7 +219,7 @@ def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
 
 def train(docs: DataFrame, most: int = SAMPLE, **options) -> BiGru:
     """A network learned from documents outside the held-out fold that bear a language."""
-    rows = sample(docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))), "lang", most).select("lang", "text", "doc_id").collect()
+    rows = sample(docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))), "lang", most).select("lang", F.substring("text", 1, CHARS).alias("text"), "doc_id").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0))
     langs = sorted({r.lang for r in rows})
     net = BiGru(langs)
