@@ -19,6 +19,8 @@ from .langid import held_out, sample
 
 #: Labelled documents of each label that are learned from, at most.
 SAMPLE = 1500
+#: Characters of each that are learned from, at most.
+CHARS = 1 << 16
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-5
 LEAST = 0.3
 #: Bytes of text whose lines are described together.
@@ -184,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **options) ->
     """A field learned from labelled documents outside the held-out fold; without any, every score is one half."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = sample(known.where(~held_out(F.col("doc_id"), 5, 0)), "quality", most)  # at most 2 * most rows
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    texts = docs.select("doc_id", F.substring("text", 1, CHARS).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")).collect()  # of a repeated id the least text
+    rows.sort(key=lambda r: r.doc_id)
     field = LineField()
     if rows:
         field.fit([r.text.encode("utf-8", "replace") for r in rows], np.array([r.quality for r in rows]), **options)
