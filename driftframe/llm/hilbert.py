@@ -87,8 +87,12 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", carry:
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         hilbert_udf(*cells(text, F.col("source"), F.col("lang"))).alias("hilbert"),
+        F.monotonically_increasing_id().alias("__uid"),
     )
-    order = [F.col(c) for c in ("hilbert", "text_crc32", "id")]
+    if carry:  # only the key goes through the sort, so that long texts do not meet in one range
+        rows = slim = scratch.keep(slim, "rows")
+    slim = slim.drop("__doc")
+    order = [F.col(c) for c in ("hilbert", "text_crc32", "id", "__uid")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = global_rank(slim, order, "rank", parts, scratch, "ranked")
     low, more = shard_sizes(F.col("n"), shards)
@@ -97,7 +101,10 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", carry:
     shard = F.when(F.col("rank") < cut, F.floor(F.col("rank") / (low + 1))).otherwise(more + F.floor((F.col("rank") - cut) / F.greatest(low, F.lit(1))))
     begin = F.col("shard") * low + F.least(F.col("shard"), more)
     placed = ranked.crossJoin(F.broadcast(total)).withColumn("shard", shard.cast("int"))  # one row
-    return placed.withColumn("slot", (F.col("rank") - begin).cast("long")).select(F.col("id").alias(id_col), *[F.col("__doc")[c].alias(c) for c in rest], "size", "text_crc32", "hilbert", "shard", "slot")
+    placed = placed.withColumn("slot", (F.col("rank") - begin).cast("long"))
+    if carry:
+        placed = rows.join(placed.select("__uid", "shard", "slot").hint("merge"), "__uid")
+    return placed.select(F.col("id").alias(id_col), *[F.col("__doc")[c].alias(c) for c in rest], "size", "text_crc32", "hilbert", "shard", "slot")
 
 
 def digest(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
