@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from driftframe.llm import decontaminate, hilbert, langid, linededup, mixing, neardup, pii, quality, repeats, simhash
@@ -40,11 +42,29 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_simhash(docs, none):
+def fingerprint(spark, text):
+    """By the contract, a bit and a shingle at a time, with Spark's own hash."""
+    if not hasattr(fingerprint, "known"):
+        fingerprint.known = {}
+    if text not in fingerprint.known:
+        words = [w for w in re.split("[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        ones = [0] * 64
+        for h in (xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams):
+            for bit in range(64):
+                ones[bit] += h >> bit & 1
+        if grams:
+            first = spark.range(1).select(F.xxhash64(F.lit(grams[0]))).first()[0]
+            assert first % (1 << 64) == xxhash.xxh64(grams[0].encode(), seed=42).intdigest()
+        fingerprint.known[text] = f"{sum(1 << b for b in range(64) if 2 * ones[b] > len(grams)):016x}"
+    return fingerprint.known[text]
+
+
+def test_simhash(spark, docs, none):
     for full in (simhash.FULL_BUCKET, 1):
         got = simhash.near_duplicates(docs, full=full).collect()
         assert len(got) == len(corpus())
-        want = collections.Counter((r[0], f"{simhash.simhash(r[1]):016x}") for r in corpus())
+        want = collections.Counter((r[0], fingerprint(spark, r[1])) for r in corpus())
         assert collections.Counter((r.doc_id, r.fingerprint) for r in got) == want
         prints = np.array([int(r.fingerprint, 16) for r in got], np.uint64)
         near = np.bitwise_count(prints[:, None] ^ prints) <= 2
@@ -162,32 +182,31 @@ def test_merge_order(monkeypatch):
         assert wrong(block, sym, *repeats.merge_order(block, sym, shard=32))
 
 
-def test_lines(docs, none):
-    rows = sorted({(10**9 if r[0] is None else r[0], r[1]) for r in corpus() if r[1] is not None}, key=lambda r: r[0])
-    lines = [(d, i, x.strip(" ")) for d, t in rows for i, x in enumerate(t.split("\n"))]
-
+def test_lines(spark, docs, none):
     def within_one(a, b):
         if abs(len(a) - len(b)) > 1:
             return False
         p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         return a[p + 1 :] == b[p + 1 :] or a[p:] == b[p + 1 :] or a[p + 1 :] == b[p:]
 
-    want, before = collections.defaultdict(list), []
-    for d, i, x in lines:
-        if len(x) < 20 or not any(within_one(x, y) for y in before):
-            want[d].append(i)
-        before.append(x)
+    rows = sorted([(10**9 if r[0] is None else r[0], r[1]) for r in corpus()], key=lambda r: r[0])
+    want, before = collections.Counter(), []
+    for d, text in rows:
+        stay = []
+        for raw in [] if text is None else text.split("\n"):
+            x = raw.strip(" ")
+            if len(x) < 20 or not any(within_one(x, y) for y in before):
+                stay.append(raw)
+            before.append(x)
+        n = 0 if text is None else text.count("\n") + 1
+        want[(None if d == 10**9 else d, n, len(stay), None if text is None else "\n".join(stay))] += 1
     got = linededup.dedup_lines(docs).collect()
-    assert len(got) == len(corpus())
-    texts = dict(rows)
-    for r in got:
-        d = 10**9 if r.doc_id is None else r.doc_id
-        if d in texts:
-            own = texts[d].split("\n")
-            assert (r.n_lines, r.kept) == (len(own), "\n".join(own[i] for i in want[d])), d
-        else:
-            assert (r.n_lines, r.n_kept, r.kept) == (0, 0, None)
+    assert collections.Counter(map(tuple, got)) == want
     assert any(r.n_kept < r.n_lines for r in got) and linededup.dedup_lines(none).count() == 0
+    a, b, c = (f"this is a rather long line of {k * 9}" for k in "abc")
+    mine = spark.createDataFrame([(1, a), (5, a), (5, c), (None, a), (None, b), (None, b), ((1 << 63) - 1, b)], "doc_id long, text string")
+    left = collections.Counter((r.doc_id, r.kept) for r in linededup.dedup_lines(mine).collect())
+    assert left == collections.Counter([(1, a), (5, ""), (5, c), (None, ""), (None, ""), (None, ""), ((1 << 63) - 1, b)])
 
 
 def test_contamination(spark, docs, none):
@@ -205,21 +224,98 @@ def test_contamination(spark, docs, none):
     assert decontaminate.contaminated(mine, bench.limit(0)).count() == 0
 
 
+def fewest_edits(p, t):
+    """Of p against any part of t, by the full table."""
+    d = np.zeros(len(t) + 1, int)
+    for i, c in enumerate(p, 1):
+        new = np.empty_like(d)
+        new[0] = i
+        for j in range(1, len(t) + 1):
+            new[j] = min(d[j - 1] + (c != t[j - 1]), d[j] + 1, new[j - 1] + 1)
+        d = new
+    return int(d.min())
+
+
+def test_contamination_against_full_alignment():
+    rng = random.Random(21)
+    items = [(k, "".join(rng.choice("abcde ") for _ in range(n))) for k, n in enumerate((8, 12, 16, 30, 45, 60, 90))]
+    index = decontaminate.Index(items)
+    texts = []
+    for _ in range(60):
+        k, text = rng.choice(items)
+        text = list(text)
+        for _ in range(rng.randrange(0, len(text) // 6 + 2)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], [rng.choice("abcde ")], [text[at], rng.choice("abcde ")]])
+        texts.append("".join(rng.choice("abcde ") for _ in range(rng.randrange(60))) + "".join(text) + "".join(rng.choice("abcde ") for _ in range(rng.randrange(60))))
+    budget = {k: min(len(p) // 10, (len(p) - 8) // 8) for k, p in items}
+    hit = 0
+    for text, got in zip(texts, decontaminate.find(texts, index)):
+        best = {k: fewest_edits(p, text) for k, p in items}
+        want = {k for k, e in best.items() if e <= budget[k]}
+        assert {r["item_id"] for r in got} == want
+        for r in got:
+            assert best[r["item_id"]] <= r["edits"] <= budget[r["item_id"]] and fewest_edits(dict(items)[r["item_id"]], text[r["start"] : r["end"]]) <= r["edits"]
+        hit += len(want)
+    assert hit >= 25
+    twice = items[5][1] + "x" * 50 + items[5][1]
+    assert [(r["start"], r["end"]) for r in decontaminate.find([twice], index)[0] if r["item_id"] == 5] == [(0, 60), (110, 170)]
+
+
+def test_one_character_over_and_over():
+    index = decontaminate.Index([(0, "=" * 400), (1, "plain words of an item that is here")])
+    import tracemalloc
+
+    tracemalloc.start()
+    got = decontaminate.find(["=" * 60_000 + "plain words of an item that is here"], index)[0]
+    assert {r["item_id"] for r in got} == {0, 1} and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_benchmark_in_parts(spark, docs):
+    rng = random.Random(4)
+    items = [(k, sentence(rng, 20)) for k in range(12)]
+    mine = spark.createDataFrame([(k, "z " * 30 + items[k][1]) for k in range(0, 12, 2)] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(mine, bench, chars=300).collect()}
+    assert got == {(k, k) for k in range(0, 12, 2)}
+    assert [r.doc_id for r in decontaminate.decontaminate(mine.where("doc_id < 99").union(mine.limit(0)).unionByName(docs.select("doc_id", "text").where("doc_id = 3")), bench, chars=300).collect()] == [3]
+
+
 def test_align():
     rng = np.random.default_rng(2)
     for _ in range(50):
         p, w = rng.integers(0, 3, 8), rng.integers(0, 3, (1, 14))
-        d = np.zeros((9, 15), int)
-        d[:, 0] = np.arange(9)
-        for i in range(8):
-            for j in range(14):
-                d[i + 1, j + 1] = min(d[i, j] + (p[i] != w[0, j]), d[i, j + 1] + 1, d[i + 1, j] + 1)
-        assert decontaminate.align(p, w)[0][0] >= d[8].min()  # the band only leaves paths out
+        # the table of the band's diagonals only
+        width, d = 14 - 8 + 1, {(0, j): 0 for j in range(7)}
+        for i in range(1, 9):
+            for k in range(width):
+                j = i + k
+                d[i, j] = min(d[i - 1, j - 1] + (p[i - 1] != w[0, j - 1]) if (i - 1, j - 1) in d else 99, d.get((i - 1, j), 99) + 1, d.get((i, j - 1), 99) + 1)
+        assert decontaminate.align(p, w)[0][0] == min(d[8, 8 + k] for k in range(width))
+
+
+def permuted(block, at, many, seed=0):
+    if block >= many:
+        return block
+    x = block
+    for r in range(1, mixing.ROUNDS + 1):
+        key = int(hashlib.md5(f"{seed}:{at}:{r}".encode()).hexdigest()[:12], 16) % many
+        other = (key - x) % many
+        x = other if hashlib.md5(f"{seed}:{at}:{r}:{max(x, other)}".encode()).hexdigest()[0] >= "8" else x
+    return x
+
+
+def test_permutation():
+    for many in (1, 2, 7, 100):
+        assert sorted(permuted(b, 3, many) for b in range(many)) == list(range(many))
 
 
-def test_mixing(docs, none):
+def test_mixing(spark, docs, none):
     mixed = mixing.mix(docs, block=64).collect()
     assert len(mixed) == len(corpus())
+    slim = collections.Counter((r.doc_id, r.source, r.taken, str(r.pieces)) for r in mixing.mix(docs, block=64, carry=False).collect())
+    assert slim == collections.Counter((r.doc_id, r.source, r.taken, str(r.pieces)) for r in mixed)
     total = sum(r.size for r in mixed)
     by = collections.defaultdict(list)
     for r in mixed:
@@ -229,13 +325,29 @@ def test_mixing(docs, none):
         assert sum(r.size for r in rows) == rows[0].source_size and sum(r.taken for r in rows) == int(rows[0].target + 0.5)
         assert rows[0].target <= 2 * rows[0].source_size + 1e-9
     assert abs(sum(rows[0].target for rows in by.values()) - 1.5 * total) < 1e-6
-    shard = {}
+    # the shards' quotas of the tree and the permutation of the blocks, worked out again
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    told = {}
+    for at, s in enumerate(names):
+        words = int(by[s][0].target + 0.5)
+        told[s] = at, max(1, min(64, words // mixing.LEAST_BLOCKS)), words
+    blocks = spark.createDataFrame([(at, -(-words // length)) for at, length, words in told.values()], "at long, blocks long")
+    upto = {r["at"]: r.upto for r in mixing.quotas(blocks).collect()}
+    seen = collections.Counter()
     for r in mixed:
+        at, length, words = told[r.source]
         for p in r.pieces:
-            assert shard.setdefault((r.source, p.block), p.shard) == p.shard  # blocks are disjoint
-    assert mixing.mix(none).count() == 0
+            rank = permuted(p.block, at, 2 * r.source_size // length)
+            assert rank < -(-words // length) and p.shard == sum(q <= rank for q in upto[at])
+            seen[at, p.block, rank] += p.words
+    for (at, block, rank), n in seen.items():
+        _, length, words = next(t for t in told.values() if t[0] == at)
+        assert n == (words - rank * length if rank == -(-words // length) - 1 else length)
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and out.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in mixed)
+    assert out.columns == docs.columns and out.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in mixing.mix(docs).collect())
+    whole = {r[1] for r in corpus()}
+    assert any(r.text in whole for r in out.collect())
 
 
 def test_quotas(spark):
@@ -244,6 +356,14 @@ def test_quotas(spark):
     assert [got[i][-1] for i in range(4)] == [1000, 10, 0, 7] and all(a <= b for u in got.values() for a, b in zip(u, u[1:]))
     each = np.diff(np.array([[0, *got[i]] for i in range(4)]), axis=1).sum(axis=0)
     assert each.max() - each.min() <= 3
+    # over many seeds the first half's draw of a source is hypergeometric
+    pair = spark.createDataFrame([(0, 30), (1, 50)], "at long, blocks long")
+    first = mixing.quotas(pair, 2, 0).where("at = 0")
+    for seed in range(1, 60):
+        first = first.union(mixing.quotas(pair, 2, seed).where("at = 0"))
+    x = np.array([r.upto[0] for r in first.collect()])
+    mean, var = 40 * 30 / 80, 40 * 30 / 80 * (50 / 80) * (40 / 79)
+    assert abs(x.mean() - mean) < 4 * np.sqrt(var / len(x)) and 0.5 * var < x.var() < 1.7 * var
 
 
 def test_vectors(spark):
@@ -300,6 +420,39 @@ def test_personal_data(spark, docs, none):
     assert got[6].spans == "secret:9:49" and pii.personal_data(none).count() == 0 and pii.personal_data(docs).count() == len(corpus())
 
 
+def test_base_spans_against_patterns():
+    rng = random.Random(17)
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def valid(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == 1:
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == 2:
+            twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+        return kind == 0 or 9 <= len(digits) <= 15
+
+    found = collections.Counter()
+    for _ in range(6000):
+        text = "".join(rng.choice(["@", ".", "-", "+", " ", "(", ")", "a", "é", "%", *"0123456789", "4111 1111 1111 1111", "10.0.0.1", "a.b@c.de"]) for _ in range(rng.randrange(40)))
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(kinds) for m in re.finditer(p, text) if valid(k, m.group()))
+        assert pii.base_spans(text) == want, text
+        found.update(k for _, k, _ in want)
+    assert min(found[k] for k in range(4)) > 30
+
+
+def test_candidates_of_a_long_text():
+    import time
+
+    text = "token=Zm9vYmFyMTIzNDU2Nzg5MA 555 123 4567 a@b.cd " * 4000
+    began = time.time()
+    got = pii._candidates(text, pii.base_spans(text))
+    assert len(got) == 12000 and time.time() - began < 10
+    spans = [(s, e) for s, _, e in got]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_sharding(docs, none):
     got = hilbert.digest(docs).collect()
     n = len(corpus())
@@ -323,6 +476,78 @@ def test_languages(spark, none):
     assert langid.keep_known(odd).columns == odd.columns
 
 
+def test_recurrent_gradient():
+    rng = np.random.default_rng(6)
+    net = langid.BiGru(["a", "b", "c"], hidden=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(97, 101, (5, 4)).astype(np.uint8), np.array([0, 1, 2, 1])
+    _, grad = net.gradient(x, y)
+    for name, g in grad.items():
+        for at in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g), axis=None)[:6]]:
+            own, ends = net.p[name][at], []
+            for step in (1e-2, -1e-2):
+                net.p[name][at] = own + step
+                ends.append(net.gradient(x, y)[0])
+            net.p[name][at] = own
+            assert abs((ends[0] - ends[1]) / 2e-2 - g[at]) < 2e-3 * max(0.05, abs(g[at]))
+
+
+def test_many_languages_and_cuts():
+    letters = [chr(0x100 + k).encode() for k in range(300)]
+    net = langid.BiGru([f"l{k}" for k in range(300)], hidden=2)
+    seen = []
+    true = net.gradient
+    net.gradient = lambda x, y: (seen.extend(y.tolist()), true(x, y))[1]
+    net.train([c * 3 for c in letters], np.arange(300), steps=3)
+    assert set(seen) == set(range(300))
+    net = langid.BiGru(["a", "b"])
+    word = b"some words of a text "
+    full = net._forward(np.frombuffer(word * 40, np.uint8)[:, None], 0)[0][1:], net._forward(np.frombuffer(word * 40, np.uint8)[::-1][:, None], 1)[0][1:][::-1]
+    z = np.concatenate(full, axis=2) @ net.p["w"] + net.p["b"]
+    p = np.exp(z) / np.exp(z).sum(axis=2, keepdims=True)
+    got = net.probabilities([b"x", word * 40, b"", b"y" * 300])
+    assert np.allclose(got[1], p.mean(axis=(0, 1)), atol=1e-4) and not got[2].any()
+    assert np.allclose(net.probabilities([word * 40])[0], got[1], atol=1e-6)
+
+
+def test_line_field_gradient():
+    rng = np.random.default_rng(7)
+    texts, labels = [b"One line.\n\n!!! $$$\nmore words here", b"x", b"A b c.\nA b c."], np.array([1, 0, 1])
+    feats, _, counts = quality.describe(texts)
+    first, last = quality.LineField._edges(counts)
+    f = quality.LineField()
+    f.w, f.turn, f.bias = rng.standard_normal(f.w.shape) * 0.1, rng.standard_normal((2, 2)), 0.2
+
+    def likelihood():
+        emit, at, out = f._emissions(feats, first, last), 0, 0.0
+        for n, y in zip(counts, labels):
+            total = sum(np.exp(sum(emit[at + i] * (c >> i & 1) for i in range(n)) + sum(f.turn[c >> i & 1, c >> (i + 1) & 1] for i in range(n - 1))) for c in range(1 << n))
+            out += y * emit[at : at + n].sum() + (n - 1) * f.turn[y, y] - np.log(total)
+            at += n
+        return out
+
+    p, pairs = f._marginals(f._emissions(feats, first, last), counts)
+    d = np.repeat(labels, counts) - p
+    own = np.bincount(feats.ravel(), np.repeat(d, feats.shape[1]), quality.SIZE)
+    for k in np.argsort(-np.abs(own))[:5]:
+        ends = []
+        for step in (1e-5, -1e-5):
+            f.w[0, k] += step
+            ends.append(likelihood())
+            f.w[0, k] -= step
+        assert abs((ends[0] - ends[1]) / 2e-5 - own[k]) < 1e-5
+    true = np.zeros((2, 2))
+    np.add.at(true, (labels, labels), counts - 1)
+    for a in range(2):
+        for b in range(2):
+            ends = []
+            for step in (1e-5, -1e-5):
+                f.turn[a, b] += step
+                ends.append(likelihood())
+                f.turn[a, b] -= step
+            assert abs((ends[0] - ends[1]) / 2e-5 - (true - pairs)[a, b]) < 1e-5
+
+
 def test_quality(spark, docs, none):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.digest(d, y).join(y, "doc_id").where("held_out and quality is not null").collect()
@@ -358,3 +583,40 @@ def test_pipeline(spark):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 100
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, none):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(3).collect()]
+    rows = [*corpus(), *[(500 + i, "some words before it " + t + " and after", "en", "s1", None, "clash", 7, "y") for i, t in enumerate(bench)]]
+    mine = spark.createDataFrame(rows, DOCS)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got, empty = stage(spark, mine, sf), stage(spark, none, sf)
+        assert empty.count() == 0 and empty.columns == got.columns
+        out = got.collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert got.columns == mine.columns
+        texts = collections.Counter(r.text for r in out)
+        if name == "near-dedup":
+            assert texts[corpus()[0][1]] == 1 and texts[corpus()[12][1]] == 1
+        elif name == "decontamination":
+            assert sorted(map(str, out)) == sorted(str(r) for r in mine.where("doc_id < 500 or doc_id is null").collect())
+        elif name == "sharding":
+            assert sorted((r.doc_id is None, r.doc_id, r.text) for r in out if r.doc_id) == sorted((r[0] is None, r[0], r[1]) for r in rows if r[0])
+            assert len(out) == len(rows) and len({(r.shard, r.slot) for r in out}) == len(rows)
+
+
+def test_scratch_without_a_folder():
+    from types import SimpleNamespace
+
+    from driftframe.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: folder or other), sparkContext=SimpleNamespace(master=master, applicationId="one"))
+
+    assert common.scratch_dir(session("local[2]")) == common.scratch_dir(session("local[2]"))
+    assert common.scratch_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        common.scratch_dir(session("spark://host:7077"))
