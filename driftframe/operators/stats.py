@@ -148,9 +148,15 @@ def ln_factorial(n: Column) -> Column:
 
 
 def hypergeometric_tails(df: DataFrame, n: str, k: str, draws: str, hits: str) -> DataFrame:
-    """df with p_over = P(X >= hits) and p_under = P(X <= hits) of `draws` from n with k marked; terms are spread over rows."""
+    """df with p_over = P(X >= hits) and p_under = P(X <= hits) of `draws` from n with k marked.
+
+    Terms are spread over rows: those within 12 deviations (and 60) of the mean, beyond which all together are under 1e-30.
+    """
     c = F.col
     low, high = F.greatest(F.lit(0), c(draws) + c(k) - c(n)).cast("long"), F.least(c(draws), c(k)).cast("long")
+    share = c(k) / F.greatest(c(n), F.lit(1))
+    mean, reach = c(draws) * share, 12 * F.sqrt(c(draws) * share * (1 - share)) + 60
+    low, high = F.greatest(low, F.floor(mean - reach)), F.least(high, F.ceil(mean + reach))
     choose = lambda a, b: ln_factorial(a) - ln_factorial(b) - ln_factorial(a - b)
     s = df.withColumn("__x", F.explode(F.sequence(low, high)))
     s = s.withColumn("__p", F.exp(choose(c(k), c("__x")) + choose(c(n) - c(k), c(draws) - c("__x")) - choose(c(n), c(draws))))

@@ -13,7 +13,8 @@ def read_measures(spark: SparkSession, path: str) -> DataFrame:
     its first `_` and the next `.`.
     """
     raw = spark.read.schema("value string, unit string, category string, track string, time string, id string").csv(path)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    path = F.element_at(F.split(F.input_file_name(), "/"), -1)  # as in an address: blanks and the like are encoded
+    name = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     measure = F.substring_index(F.regexp_replace(name, "^[^_]*_", ""), ".", 1)
     return raw.select(measure.alias("measure"), F.expr("try_cast(value as double)").alias("value"), F.expr("try_cast(track as bigint)").alias("TrackID"), F.expr("try_cast(time as int)").alias("Time")).where("value is not null")
 

@@ -74,9 +74,9 @@ def test_gene_sets(spark, tmp_path):
 def test_measures_are_joined_by_key(spark, tmp_path):
     head = "a\nb\nc\nValue,Unit,Category,TrackID,Time,ID\n"
     (tmp_path / "v_Volume.csv").write_text(head + "2.5,um,x,7,1,1\n3.5,um,x,8,1,2\n")
-    (tmp_path / "v_Overlapped=T.csv").write_text(head + "0.25,um,x,8,1,9\n")
+    (tmp_path / "v_Overlapped Ratio=T.csv").write_text(head + "0.25,um,x,8,1,9\n")
     long = io.read_measures(spark, str(tmp_path))
-    got = io.widen(long, ["TrackID", "Time"], ["Volume", "Overlapped=T"]).orderBy("TrackID").collect()
+    got = io.widen(long, ["TrackID", "Time"], ["Volume", "Overlapped Ratio=T"]).orderBy("TrackID").collect()
     assert [tuple(r) for r in got] == [(7, 1, 2.5, 0.0), (8, 1, 3.5, 0.25)]
 
 
