@@ -174,7 +174,7 @@ class BiGru:
         total = np.zeros((len(texts), len(self.langs)))
         steps = np.arange(SEGMENT)[:, None]
         for lo in range(0, len(grid), BLOCK):
-            x, live = np.ascontiguousarray(grid[lo : lo + BLOCK].T), steps < length[lo : lo + BLOCK]
+            x, live = np.array(grid[lo : lo + BLOCK].T, order="C"), steps < length[lo : lo + BLOCK]
             x[:WARM, starts[lo : lo + BLOCK]] = BLANK  # other texts' bytes
             x[WARM + SEGMENT :, ends[lo : lo + BLOCK]] = BLANK
             z = self._states(x[: WARM + SEGMENT], 0)[WARM:] @ self.p["w"][: self.h]

@@ -501,6 +501,7 @@ def test_many_languages_and_cuts():
     net.train([c * 3 for c in letters], np.arange(300), steps=3)
     assert set(seen) == set(range(300))
     net = langid.BiGru(["a", "b"])
+    assert [r[0] for r in net.predict(["one text alone"])] != [langid.UNKNOWN] and net.predict([None]) == [(langid.UNKNOWN, 0.0)]
     word = b"some words of a text "
     full = net._forward(np.frombuffer(word * 40, np.uint8)[:, None], 0)[0][1:], net._forward(np.frombuffer(word * 40, np.uint8)[::-1][:, None], 1)[0][1:][::-1]
     z = np.concatenate(full, axis=2) @ net.p["w"] + net.p["b"]
