@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,75 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
 
+def _fraction(step: Callable[[int], tuple[float, float]], first: float) -> float:
+    """The continued fraction first + a1 / (b1 + a2 / (b2 + ..)), step(k) = (ak, bk), by the modified Lentz method."""
+    tiny = 1e-300
+    out = c = first or tiny
+    d = 0.0
+    for k in range(1, 100_000):
+        a, b = step(k)
+        d = 1 / (b + a * d or tiny)
+        c = b + a / c or tiny
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return out
+
+
+def gamma_tail(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return 1 - scale * total
+    return scale / _fraction(lambda k: (-k * (k - a), x + 2 * k + 1 - a), x + 1 - a)
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function of x."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+
+    def step(k: int) -> tuple[float, float]:
+        m = k // 2
+        even = m * (b - m) * x / ((a + k - 1) * (a + k))
+        return (even if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + k - 1) * (a + k))), 1.0
+
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return scale / (a * _fraction(step, 1.0))
+
+
+def _by_test(tail: Callable[..., float], *columns: pd.Series) -> pd.Series:
+    return pd.Series([None if any(v is None or v != v for v in row) else tail(*row) for row in zip(*columns)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_p(h: pd.Series, dof: pd.Series) -> pd.Series:
+    """P(X >= h) of the chi-square distribution; a row per test, null where an argument is."""
+    return _by_test(lambda h, d: gamma_tail(d / 2, h / 2), h, dof)
+
+
+@F.pandas_udf(T.DoubleType())
+def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    """P(X >= f) of the F distribution; as above."""
+    return _by_test(lambda f, a, b: beta_share(b / 2, a / 2, b / (b + a * max(f, 0.0))), f, d1, d2)
+
+
+@F.pandas_udf(T.DoubleType())
+def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+    """P(|X| >= |t|) of Student's distribution; as above."""
+    return _by_test(lambda t, d: beta_share(d / 2, 0.5, d / (d + t * t)), t, dof)
+
+
 def welch_tests(df: DataFrame, group: str, x: str) -> DataFrame:
     """Per pair of groups: Welch's t (first less second) and its degrees of freedom, from one pass of moments; null where both deviate by 0."""
     m = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(x).alias("m"), (F.var_samp(x) / F.count(x)).alias("v"), F.count(x).alias("n"))
@@ -92,15 +162,32 @@ def kruskal_wallis(df: DataFrame, group: str, x: str) -> DataFrame:
     r = own.join(values, "x")
     by = r.groupBy("g").agg(F.sum(F.col("k") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("r"), F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("ties") * F.col("ties") - 1.0)).alias("t"))
     n = F.sum("n").cast("double")
-    return by.agg(((12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)) / (1 - F.sum("t") / (n * n * n - n))).alias("h"))
+    h = (12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)) / (1 - F.sum("t") / (n * n * n - n))
+    return by.agg(h.alias("h"), (F.count("*") - 1).alias("dof"))
+
+
+def dunn(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Per pair of groups: z of the difference of mean ranks (first less second), corrected for ties; null where all values are equal."""
+    df = df.select(F.col(group).alias("g"), F.col(x).alias("x")).where("g is not null and x is not null")
+    part = value_parts(df, "x")
+    own = df.groupBy("g", "x").agg(F.count("*").alias("k"))
+    values = running_before(own.groupBy("x").agg(F.sum("k").alias("ties")), "x", "ties", part)
+    ranks = F.sum(F.col("k") * (F.col("before") + (F.col("ties") + 1) / 2)) / F.sum("k")
+    m = own.join(values, "x").groupBy("g").agg(ranks.alias("m"), F.sum("k").cast("double").alias("n"), F.sum(F.col("k") * (F.col("ties") * F.col("ties") - 1.0)).alias("t"))
+    n, t = F.col("all_n"), F.col("all_t")
+    spread = m.agg(F.sum("n").alias("all_n"), F.sum("t").alias("all_t")).select((n * (n + 1) / 12 - t / (12 * (n - 1))).alias("spread"))
+    side = lambda k, name: m.select(F.col("g").alias(name), F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}"))
+    pairs = side(1, "one").join(side(2, "two"), F.col("one") < F.col("two")).join(F.broadcast(spread))  # groups, not rows; one row
+    z = (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(F.col("spread") * (1 / F.col("n1") + 1 / F.col("n2"))), F.lit(0.0))
+    return pairs.select("one", "two", z.alias("z"))
 
 
 def anova(df: DataFrame, group: str, x: str) -> DataFrame:
-    """F of the one-way analysis of variance."""
+    """F of the one-way analysis of variance and its degrees of freedom, between (d1) and within groups (d2)."""
     by = df.where(F.col(x).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     all_m = F.sum(F.col("n") * F.col("m")) / F.sum("n")
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * all_m * all_m
-    return by.agg(((between / (F.count("*") - 1)) / (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*")))).alias("f"))
+    return by.agg(((between / (F.count("*") - 1)) / (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*")))).alias("f"), (F.count("*") - 1).alias("d1"), (F.sum("n") - F.count("*")).alias("d2"))
 
 
 def adjust(df: DataFrame, p: str, order: list[str], method: str = "bh") -> DataFrame:

@@ -173,7 +173,33 @@ def _(s, d):
 @query("c9_anova", """WITH g AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY 1), a AS (SELECT sum(n * m) / sum(n) AS m FROM g)
 SELECT round((sum(n * (g.m - a.m) * (g.m - a.m)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) + 0.0::double AS f FROM g, a""")
 def _(s, d):
-    return stats.anova(read(s, d, "customer"), "c_mktsegment", "c_acctbal")
+    return stats.anova(read(s, d, "customer"), "c_mktsegment", "c_acctbal").select("f")
+
+
+#: P of F with 4 and d2 degrees of freedom is a short sum: (1 - x)^b (1 + b x), x = 4 f / (4 f + d2), b = d2 / 2.
+@query("c9_anova_p", """WITH g AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY 1), a AS (SELECT sum(n * m) / sum(n) AS m, count(*) AS k, (sum(n) - count(*))::double AS d2, sum(n * v) AS w FROM g),
+f AS (SELECT max(k) - 1 AS d1, max(d2) AS d2, sum(n * (g.m - a.m) * (g.m - a.m)) / 4 / (max(w) / max(d2)) AS f FROM g, a)
+SELECT d1::bigint AS d1, d2::bigint AS d2, round(pow(1 - 4 * f / (4 * f + d2), d2 / 2) * (1 + d2 / 2 * (4 * f / (4 * f + d2))), 6) + 0.0::double AS p FROM f WHERE d1 = 4""")
+def _(s, d):
+    a = stats.anova(read(s, d, "customer"), "c_mktsegment", "c_acctbal")
+    return a.select("d1", F.col("d2").cast("long").alias("d2"), stats.f_p("f", "d1", "d2").alias("p"))
+
+
+RANKED = """WITH r AS (SELECT o_orderpriority AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::double AS r, count(*) OVER (PARTITION BY o_totalprice) AS t FROM orders),
+b AS (SELECT g, avg(r) AS m, count(*)::double AS n FROM r GROUP BY 1), c AS (SELECT count(*)::double AS n, sum(t * t - 1.0::double) AS t FROM r)
+"""
+
+
+#: P of chi-square with 4 degrees of freedom is exp(-h / 2) (1 + h / 2).
+@query("c9_kruskal_p", RANKED + """, h AS (SELECT (12 / (max(c.n) * (max(c.n) + 1)) * sum(b.n * b.m * b.m) - 3 * (max(c.n) + 1)) / (1 - max(c.t) / (max(c.n) * max(c.n) * max(c.n) - max(c.n))) AS h, count(*) - 1 AS dof FROM b, c)
+SELECT dof::bigint AS dof, round(exp(-h / 2) * (1 + h / 2), 6) + 0.0::double AS p FROM h WHERE dof = 4""")
+def _(s, d):
+    return stats.kruskal_wallis(read(s, d, "orders"), "o_orderpriority", "o_totalprice").select("dof", stats.chi_square_p("h", "dof").alias("p"))
+
+
+@query("c9_dunn", RANKED + """SELECT p.g AS one, q.g AS two, round((p.m - q.m) / sqrt((c.n * (c.n + 1) / 12 - c.t / (12 * (c.n - 1))) * (1 / p.n + 1 / q.n)), 6) + 0.0::double AS z FROM b p, b q, c WHERE p.g < q.g""")
+def _(s, d):
+    return stats.dunn(read(s, d, "orders"), "o_orderpriority", "o_totalprice")
 
 
 @query("c10_bonferroni", "SELECT l_suppkey AS id, round(least(1, avg(l_discount) * count(*) OVER ()), 6) + 0.0::double AS adjusted FROM lineitem GROUP BY 1")

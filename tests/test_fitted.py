@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftframe.operators import alignment, learning, signals, stats
+from driftframe.operators import alignment, expression, learning, signals, stats
 from driftframe.sources import io
 from driftframe.plans.features import FITTED
 
@@ -130,3 +130,29 @@ def test_whole_gene_sets_against_loops(spark):
         m, k = len(lists[a]), len(sets[b])
         tail = sum(math.comb(k, x) * math.comb(n - k, m - x) for x in range(r.hits, min(m, k) + 1)) / math.comb(n, m)
         assert abs(r.p - tail) < 1e-5
+
+
+def test_tails_at_tabled_values():
+    for h, d, p in [(3.841459, 1, 0.05), (9.487729, 4, 0.05), (18.307038, 10, 0.05), (0.711, 4, 0.9500), (0, 3, 1.0)]:
+        assert abs(stats.gamma_tail(d / 2, h / 2) - p) < 1e-4
+    for t, d, p in [(2.570582, 5, 0.05), (12.7062, 1, 0.05), (1.959964, 1e8, 0.05), (0.0, 7, 1.0), (3.169273, 10, 0.01)]:
+        assert abs(stats.beta_share(d / 2, 0.5, d / (d + t * t)) - p) < 1e-6
+    for f, a, b, p in [(3.4780, 4, 10, 0.05), (5.9943, 4, 10, 0.01), (0.0, 3, 9, 1.0)]:
+        assert abs(stats.beta_share(b / 2, a / 2, b / (b + a * f)) - p) < 1e-5
+
+
+def test_tests_of_nulls_and_equal_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), (None, 2.0), ("c", None), ("b", 1.0)], "g string, x double")
+    assert [tuple(r) for r in stats.dunn(df, "g", "x").collect()] == [("a", "b", None)]
+    got = stats.dunn(df, "g", "x").withColumn("p", stats.t_p("z", stats.F.lit(3))).first()
+    assert got.p is None
+    assert stats.dunn(df.where("false"), "g", "x").count() == 0
+
+
+def test_communities_are_the_cliques_of_a_ring(spark):
+    rows = [(6 * c + i, 6 * c + j, 1.0) for c in range(4) for i in range(6) for j in range(i)]
+    rows += [(6 * c, (6 * c + 7) % 24, 0.2) for c in range(4)]
+    rows += [(100, 101, 2.0), (5, 5, 9.0), (3, None, 1.0), (1, 2, None)]
+    got = {r.id: r.community for r in expression.communities(spark.createDataFrame(rows, "one long, two long, weight double")).collect()}
+    assert got == {i: i // 6 * 6 for i in range(24)} | {100: 100, 101: 100}
+    assert expression.communities(spark.createDataFrame([], "one long, two long, weight double")).count() == 0
