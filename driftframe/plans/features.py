@@ -508,14 +508,7 @@ def _all_components(s, d):
     return expression.linked_sets(read(s, d, "lineitem").select(F.col("l_suppkey").alias("one"), (F.col("l_partkey") + 1000000).alias("two")).distinct())
 
 
-def _communities(s, d):
-    """Communities of suppliers by the overlap of their parts, over the whole table."""
-    sets = read(s, d, "lineitem").select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene"))
-    return expression.communities(expression.set_overlaps(sets).select("one", "two", F.col("jaccard").alias("weight")))
-
-
 FITTED = {
-    "r9_communities": _communities,
     "c8_welch_p": lambda s, d: stats.welch_tests(read(s, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("p", stats.t_p("t", "dof")),
     "a1_registered": lambda s, d: alignment.register(segments(s, d), XYZ),
     "a2_reflected": lambda s, d: alignment.register(segments(s, d), XYZ, reflect=True),
