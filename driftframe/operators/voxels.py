@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordering import running_before, value_parts
+
 
 def zones(df: DataFrame, keys: list[str], value: str, s: float = 0.5, d: float = 0.2) -> DataFrame:
     """zone 0 up to the 1-s quantile of its frame, 2 from the 1-d*s quantile on, else 1."""
@@ -93,7 +95,8 @@ def clean_objects(df: DataFrame, label: str, least: int, shape: tuple[int, int,
     inside = [e for c, n in zip("zyx", shape) for e in (F.min(c) > 0, F.max(c) < n - 1)]
     keep = df.groupBy(label).agg(F.count("*").alias("__n"), F.bool_and(F.lit(True)).alias("__t"), *[e.alias(f"__b{k}") for k, e in enumerate(inside)])
     keep = keep.where(F.col("__n") >= least).where(" and ".join(f"__b{k}" for k in range(len(inside))))
-    names = keep.select(label, F.row_number().over(W.orderBy(label)).alias("new_label"))  # a row per object
+    keep = keep.select(label, F.lit(1).alias("__one"))
+    names = running_before(keep, label, "__one", value_parts(keep, label)).select(label, (F.col("before") + 1).alias("new_label"))
     return df.join(names, label)
 
 

@@ -332,25 +332,17 @@ def _(s, d):
     return learning.barycentric(_plan(s, d), at).select("j", "dim", F.round("value", 4).alias("value"))
 
 
-@query("r8_over_representation", """WITH l AS (SELECT DISTINCT l_returnflag || l_linenumber AS list_name, l_partkey AS gene FROM lineitem WHERE l_quantity >= 49), q AS (SELECT DISTINCT l_suppkey AS set_name, l_partkey AS gene FROM lineitem WHERE l_quantity < 3),
+@query("r8_over_representation", """WITH l AS (SELECT DISTINCT l_returnflag || l_linenumber AS list_name, l_partkey AS gene FROM lineitem), q AS (SELECT DISTINCT l_suppkey AS set_name, l_partkey AS gene FROM lineitem),
 h AS (SELECT list_name, set_name, count(*) AS hits FROM l JOIN q USING (gene) GROUP BY 1, 2), m AS (SELECT list_name, count(*) AS m FROM l GROUP BY 1), k AS (SELECT set_name, count(*) AS k FROM q GROUP BY 1), t AS (SELECT count(*) AS n FROM part),
 x AS (SELECT *, unnest(range(hits, least(m, k) + 1)) AS x FROM h JOIN m USING (list_name) JOIN k USING (set_name), t)
 SELECT list_name, set_name, hits, round(sum(exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(m - x + 1) - lgamma(n - k - m + x + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1))), 6) + 0.0::double AS p FROM x GROUP BY 1, 2, 3""")
 def _(s, d):
     i = read(s, d, "lineitem")
-    lists = i.where("l_quantity >= 49").select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("list_name"), F.col("l_partkey").alias("gene"))
-    sets = i.where("l_quantity < 3").select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene"))
+    lists = i.select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("list_name"), F.col("l_partkey").alias("gene"))
+    sets = i.select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene"))
     return expression.over_representation(lists, sets, read(s, d, "part").count())
 
 
-@query("r9_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.03),
-g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.id)
-SELECT id, min(c) AS component FROM r GROUP BY 1""")
-def _(s, d):
-    e = read(s, d, "lineitem").where("l_quantity >= 50 and l_discount < 0.03").select(F.col("l_suppkey").alias("one"), (F.col("l_partkey") + 1000000).alias("two")).distinct()
-    return expression.linked_sets(e)
-
-
 @query("p1_recoded", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
 def _(s, d):
     return read(s, d, "orders").select("o_orderkey", scalar.recode(F.col("o_orderstatus"), {"F": "filled", "O": "open"}).alias("status"))
@@ -496,15 +488,8 @@ def _shape(s, d):
 
 #: Without SQL: learned or fitted results, tested by their invariants.
 
-def _all_over_represented(s, d):
-    """r8 over every set-gene pair of the table, without its cut."""
-    i = read(s, d, "lineitem")
-    lists = i.select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("list_name"), F.col("l_partkey").alias("gene"))
-    return expression.over_representation(lists, i.select(F.col("l_suppkey").alias("set_name"), F.col("l_partkey").alias("gene")), read(s, d, "part").count())
-
-
 def _all_components(s, d):
-    """r9 over every set-gene edge of the table, without its cut."""
+    """Over every set-gene edge of the table."""
     return expression.linked_sets(read(s, d, "lineitem").select(F.col("l_suppkey").alias("one"), (F.col("l_partkey") + 1000000).alias("two")).distinct())
 
 
@@ -517,8 +502,7 @@ FITTED = {
     "m12_shape_motility": _shape_tracks,
     "c8_rank_p": lambda s, d: stats.rank_tests(read(s, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("p", stats.two_sided_p("z")),
     "g8_entropies": lambda s, d: signals.entropies(segments(s, d), "x"),
-    "r8_whole_over_representation": _all_over_represented,
-    "r9_whole_components": _all_components,
+    "r9_components": _all_components,
     "e3_components": lambda s, d: learning.components(_shape(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "e4_clusters": lambda s, d: learning.clusters(read(s, d, "embeddings"), "embedding").select("vec_id", "cluster"),
 }

@@ -9,6 +9,7 @@ import pytest
 from driftframe.operators import alignment, expression, learning, signals, stats
 from driftframe.sources import io
 from driftframe.plans.features import FITTED
+from driftframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,9 +123,9 @@ def test_whole_gene_sets_against_loops(spark):
         parent[b] = a
         lists.setdefault(f"{flag}{line}", set()).add(part)
         sets.setdefault(sup, set()).add(part)
-    assert {r.id: r.component for r in FITTED["r9_whole_components"](spark, SF).collect()} == {x: top(x) for x in parent}
+    assert {r.id: r.component for r in FITTED["r9_components"](spark, SF).collect()} == {x: top(x) for x in parent}
     n = spark.read.parquet(f"{SF}/part.parquet").count()
-    got = {(r.list_name, r.set_name): r for r in FITTED["r8_whole_over_representation"](spark, SF).collect()}
+    got = {(r.list_name, r.set_name): r for r in QUERIES["r8_over_representation"][0](spark, SF).collect()}
     assert {k: r.hits for k, r in got.items()} == {(a, b): len(x & y) for a, x in lists.items() for b, y in sets.items() if x & y}
     for (a, b), r in got.items():
         m, k = len(lists[a]), len(sets[b])
