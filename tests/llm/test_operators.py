@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftframe.llm import decontaminate, hilbert, langid, linededup, mixing, neardup, pii, quality, repeats, simhash
+from driftframe.llm import decontaminate, hilbert, langid, linededup, mixing, neardup, pii, quality, repeats, shingles, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size int, shard string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -621,3 +621,28 @@ def test_scratch_without_a_folder():
     assert common.scratch_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(RuntimeError):
         common.scratch_dir(session("spark://host:7077"))
+
+
+@pytest.mark.parametrize("weight, texts", [(shingles.WEIGHT, shingles.TEXTS), (600, 4)])
+def test_shingle_survivors_around_the_bound(spark, monkeypatch, weight, texts):
+    """One row of each component of links at 0.8 stays, with one block for a bucket and with many."""
+    monkeypatch.setattr(shingles, "WEIGHT", weight)
+    monkeypatch.setattr(shingles, "TEXTS", texts)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(70):  # a family: zero to five words changed, so links lie on both sides of the bound
+        own = list(base)
+        for at in rng.sample(range(150), i % 6):
+            own[at] = f"v{rng.randrange(1000)}"
+        rows.append(" ".join(own))
+    rows += [" ".join(f"u{rng.randrange(400)}" for _ in range(60)) for _ in range(8)] + [rows[0], None, ""]
+    sets = [shingles.shingles(t) for t in rows]
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (not len(sets[i]) and not len(sets[j])) or shingles.similarity(sets[i], sets[j]) >= shingles.SIMILAR:
+                a, b = top[i], top[j]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+    got = shingles.keep_first(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(top))
