@@ -8,6 +8,7 @@ import pytest
 
 from driftframe.operators import alignment, expression, learning, signals, stats
 from driftframe.sources import io
+from driftframe.plans import spaces  # noqa: F401
 from driftframe.plans.features import FITTED
 from driftframe.plans.queries import QUERIES
 
