@@ -1,104 +1,173 @@
-"""Tracks turned to their own axes, and random-walk fits on them: numpy on one track at a time."""
+"""Tracks turned to their own axes, and random-walk fits on them: numpy on thousands of tracks at a time.
+
+One aggregation brings a track's frames together; a task then takes all tracks of a batch that are
+equally long as one array (tracks, frames, axes).
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tracks import SEGMENT
 
+#: Curves fitted together, first values of P, and how often and with how many values the best one is looked at closer.
+CURVES, COARSE, CLOSER, FINE = 2000, 120, 4, 16
+
+
+def listed(df: DataFrame, columns: list[str], keys: list[str], time: str) -> DataFrame:
+    """(keys, __t, __p): a track's times and the values of `columns` frame by frame, in order; one row a track."""
+    frames = F.array_sort(F.collect_list(F.struct(time, *columns)))
+    out = df.groupBy(*keys).agg(frames.alias("__f"))
+    place = F.transform("__f", lambda f: F.array(*[f[c].cast("double") for c in columns]))
+    return out.select(*keys, F.transform("__f", lambda f: f[time]).alias("__t"), place.alias("__p"))
+
+
+def _together(tracks: pd.Series):
+    """(rows, array) of the batch's tracks of each length that hold finite numbers only."""
+    sizes = tracks.map(len).to_numpy()
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        at = np.array([np.stack(t) for t in tracks.iloc[rows]], float)
+        fine = np.isfinite(at).all(axis=(1, 2))
+        if fine.any():
+            yield rows[fine], at[fine]
+
 
-def _turned(at: np.ndarray, mode: str) -> np.ndarray:
-    """Positions on the principal axes: of the lag displacements that give the longest extent, or of the positions."""
-    mid = at - at.mean(axis=0)
-    spread = lambda p: p.max(axis=0) - p.min(axis=0)
+def turned(at: np.ndarray, mode: str = "displacements") -> np.ndarray:
+    """Tracks (m, frames, axes) on their principal axes: of the lag displacements that give the longest extent, or of the positions."""
+    mid = at - at.mean(axis=1, keepdims=True)
+    spread = lambda p: p.max(axis=1) - p.min(axis=1)
+    axes = lambda d: np.linalg.eigh(np.einsum("mti,mtj->mij", d, d))[1]
     if mode == "positions":
-        best = mid @ np.linalg.eigh(mid.T @ mid)[1][:, ::-1]
-    else:
-        best, most = mid, -1.0
-        for lag in range(1, len(at)):
-            d = at[lag:] - at[:-lag]
-            p = mid @ np.linalg.eigh(d.T @ d)[1]
-            if spread(p).max() > most + 1e-12:
-                best, most = p, spread(p).max()
-        best = best[:, np.argsort(-spread(best), kind="stable")]
-    return best
+        return mid @ axes(mid)[:, :, ::-1]
+    best, most = mid.copy(), np.full(len(at), -1.0)
+    for lag in range(1, at.shape[1]):
+        p = mid @ axes(at[:, lag:] - at[:, :-lag])
+        extent = spread(p).max(axis=1)
+        more = extent > most + 1e-12
+        best[more], most[more] = p[more], extent[more]
+    return np.take_along_axis(best, np.argsort(-spread(best), axis=1, kind="stable")[:, None], axis=2)
 
 
 def register(df: DataFrame, coords: list[str], mode: str = "displacements", reflect: bool = False, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
     """Frames with Rotated_<c>: the track centred and turned to its axes, the longest first.
 
     With `reflect` tracks start at the origin and axes point where the track goes farther; with mode
-    'positions' they start there too. Lengths between frames stay as they are.
+    'positions' they start there too. Lengths between frames stay as they are. A track with a null or
+    non-finite coordinate has null ones.
     """
-    out = StructType([f for f in df.schema if f.name in (*keys, time)] + [StructField(f"Rotated_{c}", DoubleType()) for c in coords])
 
-    def of(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(time)
-        p = _turned(track[coords].to_numpy(float), mode)
-        if reflect or mode == "positions":
-            p = p - p[0]
-        if reflect:
-            p = p * np.where(-p.min(axis=0) > p.max(axis=0), -1.0, 1.0)
-        new = track[[f.name for f in out if f.name in (*keys, time)]].copy()
-        for k, c in enumerate(coords):
-            new[f"Rotated_{c}"] = p[:, k]
-        return new
-
-    return df.select(*keys, time, *coords).groupBy(*keys).applyInPandas(of, out)
-
-
-def _walk(msd: np.ndarray, dt: float, speed: float, noise: float, share: int) -> tuple[float, float]:
-    """(S, P) of S^2 P (t - P (1 - exp(-t / P))) + 2 e by weighted least squares on the first lags.
-
-    For one P the model is linear in S^2 and e, so only P is searched, on two grids.
+    def of(batches):
+        for df in batches:
+            out = np.full(len(df), None, object)
+            for rows, at in _together(df["__p"]):
+                p = turned(at, mode)
+                if reflect or mode == "positions":
+                    p = p - p[:, :1]
+                if reflect:
+                    p = p * np.where(-p.min(axis=1) > p.max(axis=1), -1.0, 1.0)[:, None]
+                for r, track in zip(rows, p):
+                    out[r] = list(track)
+            yield df[[*keys, "__t"]].assign(__r=out)
+
+    tracks = listed(df.select(*keys, time, *coords), coords, keys, time)
+    schema = T.StructType([tracks.schema[c] for c in (*keys, "__t")] + [T.StructField("__r", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    frames = tracks.mapInPandas(of, schema).select(*keys, "__r", F.posexplode("__t").alias("__k", time))
+    return frames.select(*keys, time, *[F.col("__r")[F.col("__k")][k].alias(f"Rotated_{c}") for k, c in enumerate(coords)])
+
+
+def squared_displacements(at: np.ndarray) -> np.ndarray:
+    """(m, lags, axes): mean squared displacement of every lag along every axis."""
+    return np.stack([((at[:, k:] - at[:, :-k]) ** 2).mean(axis=1) for k in range(1, at.shape[1])], axis=1)
+
+
+def fit_walks(msd: np.ndarray, frames: int, dt: float, speed: float, noise: float, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(S, P, e) of S^2 P (t - P (1 - exp(-t / P))) + 2 e for curves (n, lags) over the lags below lags / share.
+
+    Least squares with variances (wif^2 y), wif = (2 k^2 + 1) / (3 k (N - k + 1)) for lag k of the N
+    fitted ones, within 0 <= S <= speed, 0 <= P <= frames * dt, 0 <= e <= noise. For one P the
+    model is linear in S^2 and e, whose best values within their bounds are known; P is searched on a
+    grid, then closer around the best of it.
+    """
+    lag = np.arange(1, msd.shape[1] / share)
+    t, y = lag * dt, msd[:, : len(lag)] + 1e-30
+    w = 1 / (((2 * lag**2 + 1) / (3 * lag * (len(lag) - lag + 1))) ** 2 * y)
+    w /= w.max(axis=1, keepdims=True)
+    out = np.zeros((3, len(y)))
+    for lo in range(0, len(y), CURVES):
+        out[:, lo : lo + CURVES] = _fit(t, y[lo : lo + CURVES], w[lo : lo + CURVES], frames * dt, speed**2, noise)
+    return out[0], out[1], out[2]
+
+
+def _fit(t: np.ndarray, y: np.ndarray, w: np.ndarray, top: float, square: float, noise: float) -> np.ndarray:
+    def best(p: np.ndarray):
+        """Of each curve's values p (n, g): the place of the best, and its S^2 and e."""
+        f = p[:, :, None] * (t - p[:, :, None] * -np.expm1(-t / p[:, :, None]))
+        dot = lambda a, b: (w[:, None] * a * b).sum(axis=2)
+        one, yy = np.ones((1, 1, 1)), y[:, None]
+        a, b, c = dot(f, f), 2 * dot(f, one), 4 * dot(one, one)
+        u, v = dot(f, yy), 2 * dot(one, yy)
+        det = np.where(a * c - b * b > 1e-14 * a * c, a * c - b * b, np.inf)
+        tried = [((u * c - v * b) / det, (a * v - u * b) / det)]
+        tried += [((u - b * e) / a, np.full_like(a, e)) for e in (0.0, noise)] + [(np.full_like(a, s), (v - b * s) / c) for s in (0.0, square)]
+        least, at_s, at_e = np.full(a.shape, np.inf), np.zeros_like(a), np.zeros_like(a)
+        for s, e in tried:
+            s, e = np.clip(s, 0, square), np.clip(np.broadcast_to(e, a.shape), 0, noise)
+            err = (w[:, None] * (f * s[:, :, None] + 2 * e[:, :, None] - yy) ** 2).sum(axis=2)
+            less = err < least
+            least, at_s, at_e = np.where(less, err, least), np.where(less, s, at_s), np.where(less, e, at_e)
+        i, r = least.argmin(axis=1), np.arange(len(p))
+        return i, at_s[r, i], at_e[r, i]
+
+    grid = np.broadcast_to(np.geomspace(top * 1e-4, top, COARSE), (len(y), COARSE))
+    for k in range(CLOSER + 1):
+        i, s, e = best(grid)
+        r = np.arange(len(y))
+        p, low, high = grid[r, i], grid[r, np.maximum(i - 1, 0)], grid[r, np.minimum(i + 1, grid.shape[1] - 1)]
+        grid = np.exp(np.linspace(np.log(low), np.log(high), FINE, axis=1))
+        grid = np.concatenate([grid, p[:, None]], axis=1)
+        grid.sort(axis=1)
+    return np.stack([np.sqrt(s), p, e])
+
+
+def largest_average_speed(df: DataFrame, coords: list[str], dt: float, keys: list[str] = SEGMENT, time: str = "pt") -> float:
+    """The largest of the tracks' average speeds; 0 without a step."""
+    p = F.transform("__p", lambda f: f)
+    square = F.zip_with(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.sqrt(sum(((a[k] - b[k]) * (a[k] - b[k]) for k in range(len(coords))), F.lit(0.0))))
+    mean = F.aggregate(square, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(square), F.lit(0))
+    return (listed(df, coords, keys, time).select((mean / dt).alias("v")).where(~F.isnan("v")).agg(F.max("v")).first()[0]) or 0.0
+
+
+def random_walks(df: DataFrame, coords: list[str], dt: float = 0.5, max_speed: float | None = None, max_noise: float = 1000.0, share: int = 2, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """Persistence, speed and diffusion per axis of each registered track, with MSD10 (lag 2), MSD100 (last lag), Dtot and phi.
+
+    Speeds are at most max_speed, by default the largest average speed of all tracks (an aggregation
+    of its own). Tracks that leave fewer than two lags to fit, or hold a null or non-finite
+    coordinate, have nulls.
     """
-    n = len(msd) + 1
-    k = max(2, len(msd) // share)
-    lag = np.arange(1, k + 1)
-    t, y = lag * dt, msd[:k]
-    w = 1 / np.maximum(((2 * lag**2 + 1) / (3 * lag * (n - lag + 1))) ** 2 * np.maximum(y, 1e-12), 1e-12)
-
-    def best(grid: np.ndarray) -> tuple[float, float, float]:
-        f = grid[:, None] * (t - grid[:, None] * (1 - np.exp(-t / grid[:, None])))
-        a, b, c = (w * f * f).sum(1), 2 * (w * f).sum(1), 4 * w.sum()
-        p, q = (w * f * y).sum(1), 2 * (w * y).sum()
-        det = np.where(a * c - b * b > 1e-12, a * c - b * b, np.inf)
-        options = [((p * c - q * b) / det, (a * q - b * p) / det)]
-        options += [((p - b * e) / a, np.full_like(a, e)) for e in (0.0, noise)] + [(np.full_like(a, s), (q - b * s) / c) for s in (0.0, speed**2)]
-        tried = []
-        for s, e in options:
-            s, e = np.clip(s, 0, speed**2), np.clip(e, 0, noise)
-            err = (w * (f * s[:, None] + 2 * e[:, None] - y) ** 2).sum(1)
-            i = int(err.argmin())
-            tried.append((float(err[i]), float(grid[i]), float(s[i])))
-        return min(tried)
-
-    top = n * dt
-    coarse = np.geomspace(top * 1e-3, top, 120)
-    _, at, _ = best(coarse)
-    _, at, s = best(np.linspace(max(at * 0.93, top * 1e-3), min(at * 1.07, top), 80))
-    return float(np.sqrt(s)), at
-
-
-def random_walks(df: DataFrame, coords: list[str], dt: float = 0.5, max_speed: float = 100.0, max_noise: float = 1000.0, share: int = 2, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
-    """Persistence, speed and diffusion per axis of each registered track, with MSD10 (lag 2), MSD100 (last lag), Dtot and phi."""
+    speed = largest_average_speed(df, coords, dt, keys, time) if max_speed is None else max_speed
     names = [f"{v}_{k + 1}" for k in range(len(coords)) for v in ("P", "S", "D")] + ["MSD10", "MSD100", "Dtot", "phi"]
-    out = StructType([f for f in df.schema if f.name in keys] + [StructField(c, DoubleType()) for c in names])
-
-    def of(track: pd.DataFrame) -> pd.DataFrame:
-        at = track.sort_values(time)[coords].to_numpy(float)
-        row = {f.name: track[f.name].iloc[0] for f in out if f.name in keys} | dict.fromkeys(names, np.nan)
-        if len(at) > 4 and np.isfinite(at).all():
-            p = _turned(at, "displacements")
-            msd = np.array([((p[k:] - p[:-k]) ** 2).mean(axis=0) for k in range(1, len(p))])
-            for k in range(len(coords)):
-                s, tau = _walk(msd[:, k], dt, max_speed, max_noise, share)
-                row |= {f"P_{k + 1}": tau, f"S_{k + 1}": s, f"D_{k + 1}": s * s * tau / 4}
-            d = [row[f"D_{k + 1}"] for k in range(len(coords))]
-            row |= {"MSD10": msd[1].sum(), "MSD100": msd[-1].sum(), "Dtot": sum(d[:2]), "phi": d[0] / (d[1] + (len(coords) > 2)) if d[1] + (len(coords) > 2) else np.nan}
-        return pd.DataFrame([row])[[f.name for f in out]]
-
-    return df.select(*keys, time, *coords).groupBy(*keys).applyInPandas(of, out)
+
+    def of(batches):
+        for df in batches:
+            got = np.full((len(df), len(names)), np.nan)
+            for rows, at in _together(df["__p"]):
+                if len(np.arange(1, (at.shape[1] - 1) / share)) < 2:
+                    continue
+                msd = squared_displacements(turned(at))
+                m, lags, axes = msd.shape
+                s, p, _ = fit_walks(msd.transpose(0, 2, 1).reshape(m * axes, lags), at.shape[1], dt, speed, max_noise, share)
+                d = (s * s * p / 4).reshape(m, axes)
+                got[rows, : 3 * axes] = np.stack([p.reshape(m, axes), s.reshape(m, axes), d], axis=2).reshape(m, 3 * axes)
+                under = d[:, 1] + (axes > 2)
+                got[rows, 3 * axes :] = np.stack([msd[:, 1].sum(axis=1), msd[:, -1].sum(axis=1), d[:, 0] + d[:, 1], np.where(under > 0, d[:, 0] / np.where(under > 0, under, 1), np.nan)], axis=1)
+            yield pd.concat([df[keys], pd.DataFrame(got, columns=names, index=df.index)], axis=1)
+
+    tracks = listed(df.select(*keys, time, *coords), coords, keys, time)
+    schema = T.StructType([tracks.schema[c] for c in keys] + [T.StructField(c, T.DoubleType()) for c in names])
+    out = tracks.mapInPandas(of, schema)
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in names})

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from driftframe.operators import alignment, expression, learning, signals, stats
 from driftframe.sources import io
@@ -38,8 +39,64 @@ def test_register_keeps_distances_and_orders_extents(walks, mode, reflect):
 
 def test_walk_finds_what_made_the_curve():
     t = np.arange(1, 40) * 0.5
-    s, p = alignment._walk(9.0 * 2.0 * (t - 2.0 * (1 - np.exp(-t / 2.0))) + 0.2, 0.5, 100.0, 1000.0, 2)
-    assert abs(s - 3) < 0.05 and abs(p - 2) < 0.05
+    y = 9.0 * 2.0 * (t - 2.0 * (1 - np.exp(-t / 2.0))) + 0.2
+    s, p, e = alignment.fit_walks(np.stack([y, 3 * y]), 40, 0.5, 100.0, 1000.0, 2)
+    np.testing.assert_allclose(s, [3, 3 * 3**0.5], rtol=1e-3)
+    np.testing.assert_allclose(p, [2, 2], rtol=1e-3)
+    np.testing.assert_allclose(e, [0.1, 0.3], rtol=1e-2)
+
+
+@pytest.mark.parametrize("share, noise, frames", [(2, 1000.0, 20), (3, 0.05, 20), (2, 1000.0, 21), (3, 100.0, 26)])
+def test_walks_against_a_dense_grid(share, noise, frames):
+    """Noisy tracks: the weighted error is that of a dense grid over P and S with the best e, a point at a time."""
+    rng = np.random.default_rng(frames)
+    v = np.zeros((6, frames, 2))
+    for k in range(1, frames):
+        v[:, k] = 0.7 * v[:, k - 1] + rng.normal(size=(6, 2))
+    at = v.cumsum(axis=1) + 0.2 * rng.normal(size=v.shape)
+    msd = alignment.squared_displacements(at).transpose(0, 2, 1).reshape(12, -1)
+    speed = 1.1
+    got = np.stack(alignment.fit_walks(msd, frames, 0.5, speed, noise, share), axis=1)
+    lag = np.arange(1, msd.shape[1] / share)
+    weight = ((2 * lag**2 + 1) / 3 / lag / (len(lag) - lag + 1)) ** 2
+
+    def error(y, s, p, e):
+        return float(((s * s * p * (lag * 0.5 - p * (1 - np.exp(-lag * 0.5 / p))) + 2 * e - y) ** 2 / (weight * y)).sum())
+
+    for y, (s, p, e) in zip(msd[:, : len(lag)] + 1e-30, got):
+        assert 0 <= s <= speed + 1e-9 and 0 < p <= frames * 0.5 + 1e-9 and 0 <= e <= noise
+        own, best = error(y, s, p, e), np.inf
+        for q in np.geomspace(frames * 0.5e-3, frames * 0.5, 150):
+            f = q * (lag * 0.5 - q * (1 - np.exp(-lag * 0.5 / q)))
+            for r in np.linspace(0, speed, 150):
+                w = 1 / (weight * y)
+                d = np.clip((w * (y - r * r * f)).sum() / (2 * w.sum()), 0, noise)
+                best = min(best, error(y, r, q, d))
+        assert own <= best * 1.0001 + 1e-12
+
+
+def test_walks_take_the_largest_average_speed(spark, walks):
+    w = walks.toPandas()
+    steps = {k: np.linalg.norm(np.diff(g.sort_values("pt")[["x", "y"]].to_numpy(), axis=0), axis=1).mean() / 0.5 for k, g in w.groupby("Label")}
+    assert abs(alignment.largest_average_speed(walks, ["x", "y"], 0.5) - max(steps.values())) < 1e-9
+    got = alignment.random_walks(walks, ["x", "y"]).toPandas()
+    assert len(got) == 6 and (got[["S_1", "S_2"]] <= max(steps.values()) + 1e-9).all().all()
+    p = w[w.Label == "0"].sort_values("pt")[["x", "y"]].to_numpy()
+    far = ((p[2:] - p[:-2]) ** 2).sum(1).mean()
+    row = got.set_index("Label").loc["0"]
+    assert abs(row.MSD10 - far) < 1e-9 and abs(row.MSD100 - ((p[-1] - p[0]) ** 2).sum()) < 1e-9
+    assert abs(row.Dtot - row.D_1 - row.D_2) < 1e-12 and abs(row.D_1 - row.S_1**2 * row.P_1 / 4) < 1e-12 and abs(row.phi - row.D_1 / row.D_2) < 1e-9
+
+
+def test_awkward_tracks(spark):
+    rows = [("T", "short", 0, t, float(t), 1.0) for t in range(3)] + [("T", "null", 0, t, None if t == 4 else float(t), 1.0) for t in range(20)] + [("T", "still", 0, t, 1.0, 1.0) for t in range(20)]
+    df = spark.createDataFrame(rows, "Type string, Label string, seg int, pt int, x double, y double").withColumn("P_1", F.lit("clash"))
+    got = alignment.random_walks(df, ["x", "y"]).toPandas().set_index("Label")
+    assert got.loc[["short", "null"], "P_1"].isna().all() and got.loc["still", "D_1"] == 0
+    turned = alignment.register(df, ["x", "y"]).toPandas()
+    assert len(turned) == 43 and turned[turned.Label == "null"]["Rotated_x"].isna().all() and turned[turned.Label == "short"]["Rotated_x"].notna().all()
+    empty = df.limit(0)
+    assert alignment.random_walks(empty, ["x", "y"]).count() == 0 and alignment.register(empty, ["x", "y"]).count() == 0
 
 
 def test_components_hold_the_variance(spark):
