@@ -20,7 +20,7 @@ from .merkle import LOWER, UPPER
 
 LEAST_CHARS, LEAST_COUNT, RATIO = 7, 2, 10
 #: Words of a cell, words of a leaf of a cell's own tree, words the upper trees are fitted on, pairs compared at once.
-CELL, LEAF, SAMPLE, BLOCK = 2048, 24, 100_000, 1 << 18
+CELL, LEAF, SAMPLE, BLOCK = 8192, 64, 100_000, 1 << 20
 #: a-z and the code points from U+00C0 to U+00FF, as they are numbered in the vectors.
 DIMS = 26 + 64
 CELLS = "word string, n long, length int, cell long, block int, query boolean"
@@ -53,6 +53,19 @@ def vectors(codes: np.ndarray) -> np.ndarray:
     return out.reshape(len(codes), DIMS).astype(np.int32)
 
 
+def marks(counts: np.ndarray) -> np.ndarray:
+    """64 bits of each vector, of which no two differ in more bits than the vectors' L1 distance.
+
+    Two bits for each of a-z (it comes; it comes twice), and the parities of what is left.
+    """
+    plain, bit = counts[:, :26], np.arange(26, dtype=np.uint64)
+    out = ((plain > 0).astype(np.uint64) << bit).sum(1, dtype=np.uint64) | ((plain > 1).astype(np.uint64) << (bit + np.uint64(26))).sum(1, dtype=np.uint64)
+    rest = np.concatenate([np.maximum(plain - 2, 0), counts[:, 26:]], axis=1)
+    for k in range(12):
+        out |= (rest[:, k::12].sum(1) & 1).astype(np.uint64) << np.uint64(52 + k)
+    return out
+
+
 class Tree:
     """A k-d tree over letter counts: inner nodes cut one letter's count, leaves are numbered from 0.
 
@@ -174,21 +187,27 @@ def _router(shared):
             names, counts = df["word"].to_numpy(object), df["n"].to_numpy()
             sizes = np.array([len(w) for w in names])
             salt = pd.util.hash_array(names, categorize=False)
+            made = []
+
+            def keep(rows, to, cell, block, query, made=made):
+                full = (np.full(len(rows), x, kind) if np.isscalar(x) else x.astype(kind) for x, kind in ((to, np.int32), (cell, np.int64), (block, np.int32), (query, bool)))
+                made.append((rows, *full))
+
             for length in map(int, np.unique(sizes)):
                 at = np.flatnonzero(sizes == length)
                 v = vectors(letters(list(names[at]), length))
 
-                def rows(some, to, cell, block, query, at=at):
-                    return pd.DataFrame({"word": names[at[some]], "n": counts[at[some]], "length": np.int32(to), "cell": cell, "block": block, "query": query})
-
                 tree = trees.get(length)
                 cells = tree.place(v) if tree else np.zeros(len(v), np.int64)
-                yield rows(np.arange(len(v)), length, cells, (salt[at] % blocks[length][cells] if tree else np.zeros(len(v))).astype(np.int32), False)
+                keep(at, length, cells, salt[at] % blocks[length][cells] if tree else 0, False)
                 for to, less in ((length, 1), (length + 1, 0)):
                     tree = trees.get(to)
                     for cell, some in tree.reach(v, 1, less) if tree else [(0, np.arange(len(v)))]:
                         for block in range(blocks[to][cell] if tree else 1):
-                            yield rows(some, to, np.int64(cell), np.int32(block), True)
+                            keep(at[some], to, cell, block, True)
+            if made:
+                row, to, cell, block, query = (np.concatenate(c) for c in zip(*made))
+                yield pd.DataFrame({"word": names[row], "n": counts[row], "length": to, "cell": cell, "block": block, "query": query})
 
     return route
 
@@ -200,17 +219,22 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     sizes, points = np.array([len(w) for w in names]), np.flatnonzero(~query)
     if len(points):
         codes = letters(list(names[points]), length)
-        tree = Tree(vectors(codes), LEAF)
+        counted = vectors(codes)
+        tree, own_marks = Tree(counted, LEAF), marks(counted)
         for size, less, check in ((length, 1, replaced), (length - 1, 0, inserted)):
             asked = np.flatnonzero(query & (sizes == size))
             if not len(asked):
                 continue
             own = letters(list(names[asked]), size)
-            for leaf, rows in tree.reach(vectors(own), 1, less):
+            counted = vectors(own)
+            ask_marks = marks(counted)
+            for leaf, rows in tree.reach(counted, 1, less):
                 held = tree.members[leaf]
-                step = max(1, BLOCK // (len(held) * length))
+                step = max(1, BLOCK // len(held))
                 for lo in range(0, len(rows), step):
-                    a, b = np.repeat(rows[lo : lo + step], len(held)), np.tile(held, len(rows[lo : lo + step]))
+                    some = rows[lo : lo + step]
+                    a, b = np.nonzero(np.bitwise_count(ask_marks[some][:, None] ^ own_marks[held][None]) <= 1 + less)
+                    a, b = some[a], held[b]
                     ok = check(own[a], codes[b])
                     pair = np.stack([asked[a[ok]], points[b[ok]]])
                     found += [pair] if size == length else [pair, pair[::-1]]
