@@ -10,6 +10,7 @@ code points that are neighbours in no piece.
 from __future__ import annotations
 
 import codecs
+import itertools
 import re
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
 #: Code points of texts that are encoded together, and of words that a task remembers.
-BLOCK, REMEMBER = 1 << 22, 1 << 24
+BLOCK, REMEMBER = 1 << 20, 1 << 22
 
 codecs.register_error("pieces", lambda e: ("�", e.start + 1))
 
@@ -182,7 +183,7 @@ class Pieces:
             self.size_of, self.ids = np.append(self.size_of, n), np.append(self.ids, ids)
             self.held += sum(map(len, fresh))
         count = np.array([len(p) for p in parts], np.int64)
-        code = np.fromiter((k for p in parts for k in map(self.known.__getitem__, p)), np.int64, int(count.sum()))
+        code = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(count.sum()))
         flat, per = gather(self.ids, np.cumsum(self.size_of) - self.size_of, self.size_of, code)
         size = np.bincount(np.repeat(np.arange(len(parts)), count), weights=per, minlength=len(parts)).astype(np.int64) + 1
         out = np.full(int(size.sum()), self.end, np.int32)
