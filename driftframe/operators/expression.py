@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .ordering import running_before, value_parts
-from .stats import hypergeometric_tails
+from .rounds import Rounds
+from .stats import adjust, hypergeometric_tails, two_sided_p
+
+
+#: Clusters of cells that are broadcast.
+FEW = 10_000
 
 
 def normalise(counts: DataFrame, total: float = 10_000.0) -> DataFrame:
@@ -54,7 +61,7 @@ def markers(values: DataFrame, cells: DataFrame) -> DataFrame:
     v = v.join(above.withColumn("up", up + (F.col("ties") - 1) / 2), ["gene", "value"])
     tot = v.groupBy("gene").agg(F.count("*").alias("nz"), F.sum(F.expm1("value")).alias("all"), F.sum("value").alias("all_log"))
     own = v.groupBy("gene", "cluster").agg(F.count("*").alias("k"), F.sum("up").alias("u"), F.sum("value").alias("s"))
-    grid = tot.join(F.broadcast(per))  # clusters: a handful
+    grid = tot.join(F.broadcast(per) if per.limit(FEW + 1).count() <= FEW else per)  # every gene with every cluster, by definition
     g = grid.join(own, ["gene", "cluster"], "left").fillna(0, ["k", "u", "s"])
     w = F.col("k") * F.col("n") - F.col("u") + (F.col("n1") - F.col("k")) * (F.col("n") - F.col("nz") + 1) / 2
     z = (w - F.col("n1") * (F.col("n") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * (F.col("n") - F.col("n1")) * (F.col("n") + 1) / 12)
@@ -62,6 +69,40 @@ def markers(values: DataFrame, cells: DataFrame) -> DataFrame:
     return g.select("gene", "cluster", z.alias("z"), fold.alias("logfc"))
 
 
+def marker_table(values: DataFrame, cells: DataFrame, level: float = 0.05) -> DataFrame:
+    """`markers` with p, its Benjamini-Hochberg adjustment within the cluster, `distinctive` and the row's place in its cluster.
+
+    The place (1 is the first) is by falling `distinctive`, ties by gene, counted in parts; rows
+    stay whole.
+    """
+    m = markers(values, cells).withColumn("p", two_sided_p("z"))
+    m = distinctive(adjust(m, "p", ["gene"], within=["cluster"]), "gene", "cluster", "logfc", "adjusted", level)
+    part = W.partitionBy("cluster", "__part")
+    s = m.withColumn("__fall", -F.col("distinctive")).withColumn("__part", value_parts(m.withColumn("__fall", -F.col("distinctive")), "__fall"))
+    sums = s.groupBy("cluster", "__part").agg(F.count("*").alias("__n"))  # a row per part of a cluster
+    off = F.coalesce(F.sum("__n").over(W.partitionBy("cluster").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("__at", F.row_number().over(part.orderBy("__fall", "gene"))).join(sums.select("cluster", "__part", off.alias("__off")), ["cluster", "__part"])
+    return s.withColumn("place", F.col("__off") + F.col("__at")).drop("__fall", "__part", "__at", "__off")
+
+
+def top_markers(table: DataFrame, n: int) -> DataFrame:
+    """(cluster, gene, place): of each cluster the n genes with the largest |distinctive|, ties by gene; a limit of its own, as the report asks for."""
+    size = F.abs(F.col("distinctive"))
+    return table.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy(size.desc(), "gene"))).where(F.col("place") <= n).select("cluster", "gene", "place")
+
+
+def enriched_sets(up: DataFrame, down: DataFrame, sets: DataFrame, genes: int, level: float = 0.05) -> DataFrame:
+    """(direction, set_name, hits, p, adjusted) of the sets over-represented among the genes that go UP or DOWN.
+
+    up, down: (gene). Each direction is tested and adjusted (Benjamini-Hochberg over the sets that
+    share a gene) by itself; rows with adjusted < level are kept. Repeated and null genes count once
+    and not at all.
+    """
+    lists = up.select(F.lit("UP").alias("list_name"), "gene").unionByName(down.select(F.lit("DOWN").alias("list_name"), "gene")).where("gene is not null")
+    tested = over_representation(lists, sets.where("gene is not null"), genes)
+    return adjust(tested, "p", ["set_name"], within=["list_name"]).where(F.col("adjusted") < level).select(F.col("list_name").alias("direction"), "set_name", "hits", "p", "adjusted")
+
+
 def over_representation(lists: DataFrame, sets: DataFrame, genes: int) -> DataFrame:
     """Hits and P(X >= hits) of each list in each set that shares a gene, out of `genes`; lists: (list_name, gene)."""
     n = lambda d, k, c: d.groupBy(k).agg(F.count("*").alias(c))
@@ -72,74 +113,149 @@ def over_representation(lists: DataFrame, sets: DataFrame, genes: int) -> DataFr
 
 
 def linked_sets(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the least id reachable over (one, two). Least labels spread and are halved by pointer jumps; each round is checkpointed where a folder is set."""
+    """(id, component): the least id reachable over (one, two). Least labels spread and are halved by pointer jumps; each round is a written table."""
     both = edges.select(F.col("one").alias("a"), F.col("two").alias("b")).unionByName(edges.select(F.col("two").alias("a"), F.col("one").alias("b")))
-    cut = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
-    both = both.checkpoint() if cut else both.persist()
+    kept = Rounds(edges.sparkSession)
+    both = kept.keep(both, "edges")
     label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(rounds):
+    for k in range(rounds):
         near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         new = label.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("old"))
         up = label.select(F.col("id").alias("c"), F.col("component").alias("up"))
         new = new.join(up, "c").select("id", F.least("c", "up").alias("component"), "old")
-        new = new.checkpoint() if cut else new.persist()
+        new = kept.keep(new, f"label{k % 2}")
         if new.where("component <> old").isEmpty():
             return new.select("id", "component")
         label = new.select("id", "component")
     raise ValueError(f"labels still change after {rounds} rounds")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 20) -> DataFrame:
+def _sweep(group: pd.DataFrame, weight: float, resolution: float) -> pd.DataFrame:
+    """New communities of a block's active nodes: they move in turn, to the best one (ties: stay, else the smallest), until none does.
+
+    A row is an edge (a, b, w) with the communities ca, cb, degree ka, total weights ta, tb of both.
+    """
+    group = group.sort_values(["a", "b"])
+    ids, first = np.unique(group["a"].to_numpy(), return_index=True)
+    ends = np.append(first[1:], len(group))
+    other, w = group["b"].to_numpy(), group["w"].to_numpy()
+    at = dict(zip(other.tolist(), group["cb"].tolist())) | dict(zip(ids.tolist(), group["ca"].to_numpy()[first].tolist()))
+    total = dict(zip(group["cb"].tolist(), group["tb"].tolist())) | dict(zip(group["ca"].tolist(), group["ta"].tolist()))
+    degree = dict(zip(ids.tolist(), group["ka"].to_numpy()[first].tolist()))
+    active = {a for a, on in zip(ids.tolist(), group["active"].to_numpy()[first].tolist()) if on}
+    near = {a: (other[lo:hi].tolist(), w[lo:hi].tolist()) for a, lo, hi in zip(ids.tolist(), first, ends)}
+    todo = sorted(active)
+    for _ in range(100):
+        moved = set()
+        for a in todo:
+            own, k = at[a], degree[a]
+            to = {own: 0.0}
+            for b, x in zip(*near[a]):
+                if b != a:
+                    to[at[b]] = to.get(at[b], 0.0) + x
+            total[own] -= k
+            best = max(to, key=lambda c: (round(to[c] - resolution * k * total[c] / weight, 12), c == own, -c))
+            total[best] += k
+            if best != own:
+                at[a] = best
+                moved.add(a)
+        if not moved:
+            break
+        todo = [a for a in todo if a in moved or any(b in moved for b in near[a][0])]
+    return pd.DataFrame({"a": ids, "c": [at[a] for a in ids.tolist()]})
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 20, block: int = 50_000) -> DataFrame:
     """(id, community) over (one, two, weight): modularity raised by moving nodes, then communities as nodes of the next level.
 
-    In a round every node sees the weight to each neighbouring community and its gain; a hashed half
-    of the nodes moves to the best one (ties: the smallest), so that neighbours do not swap for
-    ever. A level ends when two rounds bring nothing and keeps its best labels. A community is named
-    by its least id and never spans components. Edges with a null or without weight, and loops, are
-    left out; ids without an edge have no row. Rounds are checkpointed where a folder is set.
+    Nodes are dealt anew in every round into blocks of about `block` edges. A task moves the nodes of
+    its block one after the other, others staying where they were when the round began; after the
+    first round only nodes beside a move are tried. A round that does not raise the modularity is
+    dropped and ends the level. When no level brings more, the graph's own nodes are tried once more from
+    where they are. A community is named by its least id and never spans components.
+    Edges with a null or without weight, and loops, are left out; ids without an edge have no row. A
+    node's own edges are in one task. Rounds are written tables.
     """
-    folder = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
-    cut = lambda df: df.checkpoint() if folder else df.persist()
-    e = edges.where("one <> two and weight > 0").select("one", "two", F.col("weight").cast("double").alias("w"))
-    both = cut(e.select(F.col("one").alias("a"), F.col("two").alias("b"), "w").unionByName(e.select(F.col("two").alias("a"), F.col("one").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    weight = both.agg(F.sum("w")).first()[0]
+    kept = Rounds(edges.sparkSession)
+    e = edges.where("one <> two and weight > 0").select(F.col("one").cast("long").alias("one"), F.col("two").cast("long").alias("two"), F.col("weight").cast("double").alias("w"))
+    both = kept.keep(e.select(F.col("one").alias("a"), F.col("two").alias("b"), "w").unionByName(e.select(F.col("two").alias("a"), F.col("one").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "edges")
+    weight, size = both.agg(F.sum("w"), F.count("*")).first()
     member = both.select(F.col("a").alias("id"), F.col("a").alias("community")).distinct()
     if not weight:
         return member
-    best = None
+
+    def sweep(group: pd.DataFrame) -> pd.DataFrame:
+        return _sweep(group, weight, resolution)
+
+    def quality(label: DataFrame) -> float:
+        of = label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
+        inside = both.join(label.select("a", "c"), "a").join(of, "b").where("c = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i"))
+        squares = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("s"))
+        i, s = inside.join(squares).first()  # one row each
+        return i / weight - resolution * s / weight / weight
+
+    def start_of(graph: DataFrame, member: DataFrame) -> DataFrame:
+        """Labels of the graph's nodes as `member` has them."""
+        of = member.select(F.col("id").alias("a"), F.col("community").alias("c"))
+        return graph.groupBy("a").agg(F.sum("w").alias("k")).join(of, "a").select("a", "k", "c", F.lit(True).alias("active"))
+
+    def settled(label: DataFrame, level: int) -> tuple[DataFrame, float]:
+        """Labels after rounds of moves that each raise the modularity, and its value."""
+        top, blocks = quality(label), -(-size // block)
+        for r in range(rounds):
+            total = label.groupBy("c").agg(F.sum("k").alias("t"))
+            full = label.join(total, "c")
+            there = full.select(F.col("a").alias("b"), F.col("c").alias("cb"), F.col("t").alias("tb"))
+            here = full.select("a", F.col("c").alias("ca"), F.col("k").alias("ka"), F.col("t").alias("ta"), "active")
+            rows = both.join(here, "a").join(there, "b").withColumn("part", F.pmod(F.xxhash64("a", F.lit(level), F.lit(r)), F.lit(blocks)))
+            moved = kept.keep(rows.groupBy("part").applyInPandas(sweep, "a long, c long").join(label.select("a", "k", F.col("c").alias("old")), "a"), "moved")
+            changed = moved.where("c <> old").select("a")
+            beside = both.join(changed, "a").select(F.col("b").alias("a")).union(changed).distinct().withColumn("on", F.lit(True))
+            nxt = kept.keep(moved.join(beside, "a", "left").select("a", "k", "c", F.col("on").isNotNull().alias("active")), f"label{r % 2}")
+            now = quality(nxt)
+            if now <= top + 1e-9:
+                break
+            label, top = nxt, now
+            if blocks == 1:
+                break  # nothing is left to move
+        return label, top
+
+    base, reached = both, None
     for level in range(levels):
-        degree = cut(both.groupBy("a").agg(F.sum("w").alias("k")))
-        label = cut(degree.select("a", "k", F.col("a").alias("c")))
-        held, top, idle = label, None, 0
-        for i in range(rounds):
-            of = label.select(F.col("a").alias("b"), F.col("c").alias("near"))
-            tied = both.join(of, "b").join(label.select("a", F.col("c").alias("own")), "a")
-            total = label.groupBy(F.col("c").alias("near")).agg(F.sum("k").alias("total"))
-            inside, squares = tied.where("near = own").agg(F.sum("w")).first()[0] or 0.0, total.agg(F.sum(F.col("total") * F.col("total"))).first()[0]
-            q = inside / weight - resolution * squares / weight / weight
-            if top is None or q > top + 1e-9:
-                held, top, idle = label, q, 0
-            else:
-                idle += 1
-                if idle == 2:
-                    break
-            seen = tied.where("a <> b").groupBy("a", "near").agg(F.sum("w").alias("w"))
-            seen = seen.unionByName(label.select("a", F.col("c").alias("near"), F.lit(0.0).alias("w"))).groupBy("a", "near").agg(F.sum("w").alias("w"))
-            told = seen.join(label, "a").join(total, "near")
-            gain = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(F.col("near") == F.col("c"), F.col("k")).otherwise(0.0)) / weight
-            g = told.withColumn("gain", F.round(gain, 12)).groupBy("a").agg(F.first("k").alias("k"), F.first("c").alias("c"), F.max(F.when(F.col("near") == F.col("c"), F.col("gain"))).alias("stay"), F.max("gain").alias("gain"), F.min_by("near", F.struct(-F.col("gain"), "near")).alias("to"))
-            moves = (F.col("gain") > F.col("stay")) & (F.pmod(F.xxhash64("a", F.lit(level), F.lit(i)), F.lit(2)) == 0)
-            label = cut(g.select("a", "k", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c")))
-        if best is not None and top <= best + 1e-9:
-            break
-        best = top
-        member = cut(member.join(held.select(F.col("a").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
-        names = held.select(F.col("a").alias("b"), F.col("c").alias("cb"))
-        both = cut(both.join(held.select("a", F.col("c").alias("ca")), "a").join(names, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        # upwards from single nodes; once that ends, the nodes of the graph itself are tried again in their communities
+        start = both.groupBy("a").agg(F.sum("w").alias("k")).select("a", "k", F.col("a").alias("c"), F.lit(True).alias("active"))
+        label, top = settled(kept.keep(start, "label"), level)
+        if reached is not None and top <= reached + 1e-9:
+            both, size = base, base.count()
+            start = start_of(both, member)
+            label, top = settled(kept.keep(start, "label"), level)
+            if top <= reached + 1e-9:
+                break
+            member = kept.keep(label.select(F.col("a").alias("id"), F.col("c").alias("community")), "member")
+        else:
+            member = kept.keep(member.join(label.select(F.col("a").alias("community"), "c"), "community").select("id", F.col("c").alias("community")), "member")
+        reached = top
+        names = kept.keep(label.select("a", "c"), "names")
+        of = names.select(F.col("a").alias("b"), F.col("c").alias("cb"))
+        both = kept.keep(both.join(names.select("a", F.col("c").alias("ca")), "a").join(of, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "above")
+        size = both.count()
     least = member.groupBy("community").agg(F.min("id").alias("least"))
     return member.join(least, "community").select("id", F.col("least").alias("community"))
 
 
+def set_communities(sets: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(set_name, component, community): the graph of sets weighted by their Jaccard similarity, its components and their communities.
+
+    set_name must be a number; sets that share a gene with none other are left out. Components
+    are numbered by their least set, communities inside them likewise, from 1.
+    """
+    graph = Rounds(sets.sparkSession).keep(set_overlaps(sets).select("one", "two", F.col("jaccard").alias("weight")), "graph")
+    rows = communities(graph, resolution).join(linked_sets(graph.select("one", "two")), "id")
+    order = rows.select("component", "community").distinct()  # a row a community
+    order = order.withColumn("number", F.row_number().over(W.partitionBy("component").orderBy("community")))
+    return rows.join(order, ["component", "community"]).select(F.col("id").alias("set_name"), "component", "community", F.concat(F.lit("Component_"), F.col("component").cast("string"), F.lit("_Community_"), F.col("number").cast("string")).alias("label"))
+
+
 def set_scores(values: DataFrame, cells: int, sets: DataFrame, bins: int = 25, controls: int = 50, seed: int = 0) -> DataFrame:
     """(set_name, cell_id, score): mean of the set's genes less the mean of control genes; cells that hold none of either (score 0) are left out.
 

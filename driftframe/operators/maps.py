@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import nice_step
+from .ordering import group_quantiles, same_keys
 
 
 def grid_index(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
@@ -32,7 +33,9 @@ def binned_curve(df: DataFrame, x: str, y: str, start: float, step: float, end:
     b = F.floor((F.col(x) - start) / step)
     s = df.where((F.col(x) >= start) & (F.col(x) < end)).withColumn("bin", (start + b * step).cast("double"))
     sem = F.stddev_samp(y) / F.sqrt(F.count(y))
-    return s.groupBy(*(by or []), "bin").agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.median(y).alias("median"), F.stddev_pop(y).alias("std"), sem.alias("sem"), (1.959964 * sem).alias("ci"))
+    keys = [*(by or []), "bin"]
+    rest = s.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), sem.alias("sem"), (1.959964 * sem).alias("ci"))
+    return same_keys(rest, group_quantiles(s, keys, y, {"median": 0.5}), keys, "left").select(*keys, "n", "mean", "median", "std", "sem", "ci")
 
 
 def density(df: DataFrame, x: str, y: str, nodes: int) -> DataFrame:

@@ -80,13 +80,13 @@ def partial_autocorrelations(df: DataFrame, x: str, keys: list[str] = SEGMENT, t
 
 
 def hurst(df: DataFrame, x: str, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
-    """Slope of ln(mean R/S) on ln(size) over blocks of floor(n / 2^i) values, i < floor(log2 n); blocks without deviation do not count.
+    """Slope of ln(mean R/S) on ln(size) over blocks of floor(n / 2^i) values, i + 1 < floor(log2 n); blocks without deviation do not count.
 
     Blocks live inside a track, so one shuffle by the track serves every window and both groupings.
     """
     p = W.partitionBy(*keys)
     s = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("__x"), (F.row_number().over(p.orderBy(time)) - 1).alias("__r"), F.count("*").over(p).alias("__n"))
-    s = s.where("__n >= 2").withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor(F.log2("__n")).cast("int") - 1)))
+    s = s.where("__n >= 4").withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor(F.log2("__n")).cast("int") - 2)))
     s = s.withColumn("__w", F.floor(F.col("__n") / F.pow(F.lit(2.0), F.col("__i")))).withColumn("__b", F.floor(F.col("__r") / F.col("__w"))).where("__b < floor(__n / __w)")
     block = [*keys, "__i", "__w", "__b"]
     s = s.withColumn("__c", F.col("__x") - F.avg("__x").over(W.partitionBy(*block)))
@@ -97,10 +97,10 @@ def hurst(df: DataFrame, x: str, keys: list[str] = SEGMENT, time: str = "pt") ->
 
 
 def elongations(df: DataFrame, coords: list[str], keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
-    """Extent and path length of the three axes, their ratios, and phi = (z^2 / (x y))^(1/3) of both."""
+    """Extent and path length of the three axes, their ratios (the later axis over the earlier one), and phi = (z^2 / (x y))^(1/3) of both."""
     x, y, z = coords
     s = steps(df, coords, keys, time)
     a = s.groupBy(*keys).agg(*[e for c in coords for e in ((F.max(c) - F.min(c)).alias(f"{c}_max"), F.sum(F.abs(F.col(f"d_{c}"))).alias(f"{c}_total"))])
     over = lambda p, q, k: F.col(f"{p}_{k}") / F.nullif(f"{q}_{k}", F.lit(0.0))
     phi = lambda k: F.cbrt(F.col(f"{z}_{k}") * F.col(f"{z}_{k}") / F.nullif(F.col(f"{x}_{k}") * F.col(f"{y}_{k}"), F.lit(0.0)))
-    return a.select(*keys, *[f"{c}_max" for c in coords], *[e for k in ("max", "total") for e in (over(x, y, k).alias(f"exy_{k}"), over(y, z, k).alias(f"eyz_{k}"), over(x, z, k).alias(f"exz_{k}"), phi(k).alias(f"phi_{k}"))])
+    return a.select(*keys, *[f"{c}_max" for c in coords], *[e for k in ("max", "total") for e in (over(y, x, k).alias(f"exy_{k}"), over(z, y, k).alias(f"eyz_{k}"), over(z, x, k).alias(f"exz_{k}"), phi(k).alias(f"phi_{k}"))])

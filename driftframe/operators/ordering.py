@@ -32,3 +32,34 @@ def running_before(df: DataFrame, x: str, amount: str, part: Column, within: lis
     sums = sums.withColumn("__off", zero(F.sum("__n").over(W.partitionBy(*within).orderBy("__part").rowsBetween(*earlier)))).drop("__n")
     s = s.withColumn("__in", zero(F.sum(amount).over(W.partitionBy(*within, "__part").orderBy(x).rowsBetween(*earlier))))
     return s.join(sums, [*within, "__part"]).withColumn("before", F.col("__off") + F.col("__in")).drop("__part", "__off", "__in")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each share): exact quantiles of x in every group, linear between neighbours.
+
+    Values are counted, their counts added up in parts, and the values at the two ranks picked, so
+    that no task holds a group. Null x do not count; a group without others has no row; null keys are
+    keys like others.
+    """
+    own = df.where(F.col(x).isNotNull()).select(F.struct(*keys).alias("__k"), F.col(x).cast("double").alias("__x"))
+    v = own.groupBy("__k", "__x").agg(F.count("*").alias("__n")).withColumn("__part", value_parts(own, "__x"))
+    sums = v.groupBy("__k", "__part").agg(F.sum("__n").alias("__held"))  # at most PARTS rows a group
+    group = W.partitionBy("__k")
+    off = F.coalesce(F.sum("__held").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__k", "__part", off.alias("__off"), F.sum("__held").over(group).alias("__all"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__k", "__part").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    v = v.withColumn("__in", before).join(sums, ["__k", "__part"]).withColumn("__at", F.col("__off") + F.col("__in"))
+    place = {n: F.lit(q) * (F.col("__all") - 1) for n, q in shares.items()}
+    holds = lambda rank: F.max(F.when((F.col("__at") <= rank) & (rank < F.col("__at") + F.col("__n")), F.col("__x")))
+    picked = v.groupBy("__k").agg(*[e for n, at in place.items() for e in (holds(F.floor(at)).alias(f"__l_{n}"), holds(F.ceil(at)).alias(f"__h_{n}"))], F.max("__all").alias("__all"))
+    value = lambda n: F.col(f"__l_{n}") + (place[n] - F.floor(place[n])) * (F.col(f"__h_{n}") - F.col(f"__l_{n}"))
+    return picked.select(*[F.col("__k")[k].alias(k) for k in keys], *[value(n).alias(n) for n in shares])
+
+
+def same_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of `other` for the same keys, null ones included."""
+    right = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(right, on, how).drop(*[f"__r_{k}" for k in keys])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import to_voxel
+from .ordering import group_quantiles, same_keys
 
 
 def rename_containing(df: DataFrame, part: str, other: str) -> DataFrame:
@@ -110,10 +111,13 @@ def two_conditions(df: DataFrame, category: str, condition: str, x: str, one, tw
     na, nb, va, vb = F.count(a), F.count(b), F.var_samp(a), F.var_samp(b)
     pooled = F.sqrt(((na - 1) * va + (nb - 1) * vb) / F.nullif(na + nb - 2, F.lit(0)))
     diff = F.avg(b) - F.avg(a)
-    return df.groupBy(category).agg(
-        F.avg(a).alias("mean_one"), F.avg(b).alias("mean_two"), F.median(a).alias("median_one"), F.median(b).alias("median_two"),
+    out = df.groupBy(category).agg(
+        F.avg(a).alias("mean_one"), F.avg(b).alias("mean_two"),
         (F.stddev_samp(a) / F.sqrt(na)).alias("sem_one"), (F.stddev_samp(b) / F.sqrt(nb)).alias("sem_two"),
         (diff / F.nullif(pooled, F.lit(0.0))).alias("cohen_d"),
         (diff / F.nullif(pooled * F.sqrt(1 / na + 1 / nb), F.lit(0.0))).alias("t_pooled"),
         (diff / F.nullif(F.sqrt(va / na + vb / nb), F.lit(0.0))).alias("t_welch"),
     )
+    for side, name in ((one, "one"), (two, "two")):
+        out = same_keys(out, group_quantiles(df.where(F.col(condition) == side), [category], x, {f"median_{name}": 0.5}), [category], "left")
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .ordering import running_before, value_parts
+from .ordering import group_quantiles, running_before, same_keys, value_parts
 
 
 def shares(df: DataFrame, condition: str, cluster: str) -> DataFrame:
@@ -32,8 +32,10 @@ def cluster_entropy(df: DataFrame, condition: str, cluster: str) -> DataFrame:
 
 def order_clusters(df: DataFrame, cluster: str, feature: str, by: str = "median") -> DataFrame:
     """(cluster, new_label): clusters numbered by ascending median (or mean) of the feature."""
-    m = F.median(feature) if by == "median" else F.avg(feature)
-    return df.groupBy(cluster).agg(m.alias("__m")).withColumn("new_label", F.row_number().over(W.orderBy("__m", cluster)) - 1).drop("__m")
+    m = df.groupBy(cluster).agg(F.avg(feature).alias("__m"))
+    if by == "median":
+        m = same_keys(m.select(cluster), group_quantiles(df, [cluster], feature, {"__m": 0.5}), [cluster], "left")
+    return m.withColumn("new_label", F.row_number().over(W.orderBy("__m", cluster)) - 1).drop("__m")
 
 
 def cohen_d(df: DataFrame, group: str, x: str, one, two) -> DataFrame:
@@ -52,8 +54,8 @@ def mid_ranks(df: DataFrame, x: str, within: list[str] | None = None) -> DataFra
     return df.join(values.select(*within, x, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("mid_rank")), [*within, x])
 
 
-def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
-    """Per pair of groups: Mann-Whitney U of the first, rank-sum z without corrections. Equal values of a group are counted before they meet the pairs."""
+def _pair_ranks(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Per pair of groups: the rank sum w of the first, both sizes, and the sum of t^3 - t over tied values. Equal values of a group are counted before they meet the pairs."""
     g = df.select(F.col(group).alias("g"), F.col(x).alias("x")).where("g is not null and x is not null")
     part = value_parts(g, "x")
     g = g.groupBy("g", "x").agg(F.count("*").alias("n"))
@@ -62,12 +64,28 @@ def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
     sides = pairs.withColumn("g", F.explode(F.array("one", "two")))
     v = g.join(sides, "g").groupBy("one", "two", "x").agg(F.sum(F.when(F.col("g") == F.col("one"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("ties"))
     r = running_before(v, "x", "ties", part, ["one", "two"])
-    s = r.groupBy("one", "two").agg(F.sum(F.col("a") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("w"), F.sum("a").alias("n1"), F.sum(F.col("ties") - F.col("a")).alias("n2"))
+    t = F.col("ties").cast("double")
+    return r.groupBy("one", "two").agg(F.sum(F.col("a") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("w"), F.sum("a").alias("n1"), F.sum(F.col("ties") - F.col("a")).alias("n2"), F.sum(t * t * t - t).alias("tied"))
+
+
+def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Per pair of groups: Mann-Whitney U of the first, rank-sum z without corrections."""
+    s = _pair_ranks(df, group, x)
     u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2
     z = (F.col("w") - F.col("n1") * (F.col("n1") + F.col("n2") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
     return s.select("one", "two", u.alias("u"), z.alias("z"))
 
 
+def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Per pair of groups: U of the first, z corrected for ties and continuity, and its two-sided p (by the normal limit at every size); null where all values are equal."""
+    s = _pair_ranks(df, group, x)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, u = n1 + n2, F.col("w") - n1 * (n1 + 1) / 2
+    dev = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("tied") / (n * (n - 1))))
+    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.nullif(dev, F.lit(0.0))
+    return s.select("one", "two", u.alias("u"), z.alias("z")).withColumn("p", F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p("z")))
+
+
 @F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of the normal distribution; a row per test. Null or not a number stays so."""
@@ -182,29 +200,43 @@ def dunn(df: DataFrame, group: str, x: str) -> DataFrame:
     return pairs.select("one", "two", z.alias("z"))
 
 
+def post_hoc(df: DataFrame, group: str, x: str, level: float = 0.05) -> DataFrame:
+    """Dunn's test behind the omnibus one: per pair of groups z, p and the Benjamini-Hochberg adjusted p; no rows where Kruskal and Wallis' p is over `level`."""
+    omnibus = kruskal_wallis(df, group, x).withColumn("__p", chi_square_p("h", "dof")).select("__p")
+    pairs = dunn(df, group, x).withColumn("p", two_sided_p("z"))
+    return adjust(pairs, "p", ["one", "two"]).join(F.broadcast(omnibus)).where(F.col("__p") <= level).drop("__p")  # one row
+
+
 def anova(df: DataFrame, group: str, x: str) -> DataFrame:
     """F of the one-way analysis of variance and its degrees of freedom, between (d1) and within groups (d2)."""
     by = df.where(F.col(x).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
-    all_m = F.sum(F.col("n") * F.col("m")) / F.sum("n")
-    between = F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * all_m * all_m
+    mean = by.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__mean"))
+    by = by.join(F.broadcast(mean)).withColumn("off", F.col("m") - F.col("__mean"))  # one row
+    between = F.sum(F.col("n") * F.col("off") * F.col("off"))
     return by.agg(((between / (F.count("*") - 1)) / (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*")))).alias("f"), (F.count("*") - 1).alias("d1"), (F.sum("n") - F.count("*")).alias("d2"))
 
 
-def adjust(df: DataFrame, p: str, order: list[str], method: str = "bh") -> DataFrame:
-    """adjusted: Bonferroni (at most 1), or Benjamini-Hochberg step-up without a cap. One row per test."""
+def adjust(df: DataFrame, p: str, order: list[str], method: str = "bh", within: list[str] | None = None) -> DataFrame:
+    """adjusted: Bonferroni (at most 1), or Benjamini-Hochberg step-up without a cap, over all tests or those of each group. One row per test.
+
+    Tests are ranked in parts of their values, so that no task holds all tests of a group; null keys
+    of `within` are a group, and a test without p is left out.
+    """
+    s = df.where(F.col(p).isNotNull()).withColumn("__k", F.struct(*within) if within else F.lit(0))
     if method == "bonferroni":
-        n = df.agg(F.count("*").alias("__n"))
-        return df.join(F.broadcast(n)).withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")  # one row
-    s = df.withColumn("__part", value_parts(df, p))
-    s = s.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(p, *order)))
-    sums = s.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per part, as below
-    off = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = s.join(sums.select("__part", off.alias("__off"), F.sum("__n").over(W.partitionBy()).alias("__all")), "__part")
+        n = s.groupBy("__k").agg(F.count("*").alias("__n"))
+        return s.join(n if within else F.broadcast(n), "__k").withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n", "__k")
+    s = s.withColumn("__part", value_parts(df, p))
+    part, group = W.partitionBy("__k", "__part"), W.partitionBy("__k")
+    s = s.withColumn("__at", F.row_number().over(part.orderBy(p, *order)))
+    sums = s.groupBy("__k", "__part").agg(F.count("*").alias("__n"))  # a row per part of a group, as below
+    off = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.join(sums.select("__k", "__part", off.alias("__off"), F.sum("__n").over(group).alias("__all")), ["__k", "__part"])
     s = s.withColumn("__q", F.col(p) * F.col("__all") / (F.col("__off") + F.col("__at")))
-    later = F.min("__low").over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1))
-    lows = s.groupBy("__part").agg(F.min("__q").alias("__low")).select("__part", later.alias("__later"))
-    own = F.min("__q").over(W.partitionBy("__part").orderBy(F.desc("__at")))
-    return s.withColumn("__own", own).join(lows, "__part").withColumn("adjusted", F.least("__own", "__later")).drop("__part", "__at", "__off", "__all", "__q", "__own", "__later")
+    later = F.min("__low").over(group.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1))
+    lows = s.groupBy("__k", "__part").agg(F.min("__q").alias("__low")).select("__k", "__part", later.alias("__later"))
+    own = F.min("__q").over(part.orderBy(F.desc("__at")))
+    return s.withColumn("__own", own).join(lows, ["__k", "__part"]).withColumn("adjusted", F.least("__own", "__later")).drop("__k", "__part", "__at", "__off", "__all", "__q", "__own", "__later")
 
 
 def transitions(df: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .ordering import running_before, value_parts
+from .ordering import group_quantiles, running_before, same_keys, value_parts
 
 
 def zones(df: DataFrame, keys: list[str], value: str, s: float = 0.5, d: float = 0.2) -> DataFrame:
     """zone 0 up to the 1-s quantile of its frame, 2 from the 1-d*s quantile on, else 1."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(1 - s), F.lit(1 - d * s))).alias("__q"))
+    q = group_quantiles(df, keys, value, {"__low": 1 - s, "__high": 1 - d * s})
     v = F.col(value)
-    return df.join(q, keys).withColumn("zone", F.when(v <= F.col("__q")[0], 0).when(v >= F.col("__q")[1], 2).otherwise(1)).drop("__q")
+    return same_keys(df, q, keys).withColumn("zone", F.when(v <= F.col("__low"), 0).when(v >= F.col("__high"), 2).otherwise(1)).drop("__low", "__high")
 
 
 def zone_share(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,22 +48,72 @@ def vote(df: DataFrame, label: str, track: str) -> DataFrame:
     return n.groupBy("z", "y", "x").agg(F.min(F.struct(-F.col("n"), "first", label))[label].alias(label))
 
 
-def nearest_in_frame(points: DataFrame, targets: DataFrame, frame: list[str], tile: float, reach: int = 1) -> DataFrame:
-    """points (id, x, y, z) with the distance to the nearest target of their frame within `reach` tiles.
+#: Children of a tile along an axis, and the distance that rounding may take from a bound.
+SPLIT, SLACK = 4, 1e-9
 
-    Targets are copied to the tiles around theirs, so each point meets those of its own tile only;
-    the distance is exact where it is at most reach * tile, else null.
+
+def last_filled(points: DataFrame, targets: DataFrame, frame: list[str], time: str) -> DataFrame:
+    """(frame, __from): for each frame of points the last one, up to itself, of the same others of `frame` that holds targets."""
+    rest = [c for c in frame if c != time]
+    frames = targets.select(*frame, F.lit(True).alias("__t")).distinct().unionByName(points.select(*frame, F.lit(False).alias("__t")).distinct())
+    frames = frames.groupBy(*frame).agg(F.bool_or("__t").alias("__t"))  # a row a frame
+    seen = F.last(F.when(F.col("__t"), F.col(time)), ignorenulls=True).over(W.partitionBy(*rest).orderBy(time))
+    return frames.select(*frame, seen.alias("__from"))
+
+
+def nearest_in_frame(points: DataFrame, targets: DataFrame, frame: list[str], tile: float, carry: str | None = None) -> DataFrame:
+    """points (id, x, y, z) with the distance to the nearest target of their frame, whatever it is.
+
+    Targets lie in tiles of width `tile`, those in tiles SPLIT times as wide, and so on up to a few for
+    a frame, each with the box around its targets. A point goes down from the widest tiles and keeps
+    those whose box can hold a target no farther than the nearest farthest corner seen so far; at
+    the bottom it meets the targets themselves. With `carry`, one of the columns of `frame`, a frame
+    without targets takes those of the last one before it. Without any target, or with a null
+    coordinate, the distance is null.
     """
-    t = lambda c: F.floor(F.col(c) / tile)
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = targets.select(*frame, *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    for c in "xyz":
-        here = t(f"t{c}")
-        spread = spread.withColumn(f"k{c}", F.explode(F.transform(around, lambda o: here + o)))  # noqa: B023
-    p = points.withColumn("kx", t("x")).withColumn("ky", t("y")).withColumn("kz", t("z"))
-    d = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in "yz"), (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))))
-    near = p.join(spread, [*frame, "kx", "ky", "kz"]).groupBy(*frame, "id").agg(F.min(d).alias("distance"))
-    return points.join(near, [*frame, "id"], "left").withColumn("distance", F.when(F.col("distance") <= reach * tile, F.col("distance")))
+    axes = "xyz"
+    fine = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in axes))
+    at = fine(targets.select(*frame, *[F.col(c).cast("double").alias(c) for c in axes])).withColumns({f"k{c}": F.floor(F.col(c) / tile) for c in axes})
+    if carry:
+        points = same_keys(points, last_filled(points, at, frame, carry), frame, "left")
+    source = ["__from" if c == carry else c for c in frame]
+    wide = at.agg(F.max(F.greatest(*[F.abs(f"k{c}") for c in axes]))).first()[0]
+    if wide is None:
+        return points.drop("__from").withColumn("distance", F.lit(None).cast("double"))
+    tiles, keys = [], [f"k{c}" for c in axes]
+    box = [f(c).alias(f"{n}_{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    tiles.append(at.groupBy(*frame, *keys).agg(*box))
+    while wide >= 1:
+        up = tiles[-1].select(*frame, *[F.floor(F.col(k) / SPLIT).alias(k) for k in keys], *[f"{n}_{c}" for c in axes for n in ("lo", "hi")])
+        tiles.append(up.groupBy(*frame, *keys).agg(*[f(f"{n}_{c}").alias(f"{n}_{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]))
+        wide //= SPLIT
+    own = fine(points.select(*[F.col(s).alias(f"__f{i}") for i, s in enumerate(source)], *[F.col(c).cast("double").alias(c) for c in axes])).distinct()
+    frames = [f"__f{i}" for i in range(len(frame))]
+    place = [*frames, *axes]
+    named = lambda df: df.withColumnsRenamed(dict(zip(frame, frames)))
+
+    def pruned(df: DataFrame) -> DataFrame:
+        out = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+        far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"lo_{c}")), F.abs(F.col(c) - F.col(f"hi_{c}")))
+        length = lambda f: F.sqrt(sum((f(c) * f(c) for c in axes), F.lit(0.0)))
+        best = F.min(length(far)).over(W.partitionBy(*place))
+        return df.withColumn("__best", best).where(length(out) <= F.col("__best") * (1 + SLACK) + SLACK).select(*place, *keys)
+
+    held = pruned(own.join(named(tiles[-1]), frames))
+    for level in tiles[-2::-1]:
+        parents = [f"p{c}" for c in axes]
+        below = named(level).withColumns({p: F.floor(F.col(k) / SPLIT) for p, k in zip(parents, keys)})
+        held = pruned(held.withColumnsRenamed(dict(zip(keys, parents))).join(below, [*frames, *parents]))
+    there = named(at).withColumnsRenamed({c: f"t{c}" for c in axes})
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in axes), F.lit(0.0)))
+    near = held.join(there, [*frames, *keys]).groupBy(*place).agg(F.min(gap).alias("distance"))
+    near = near.withColumnsRenamed(dict(zip(place, [*[f"__g{i}" for i in range(len(frame))], *[f"__{c}" for c in axes]])))
+    on = F.lit(True)
+    for i, s in enumerate(source):
+        on = on & (F.col(s) == F.col(f"__g{i}"))
+    for c in axes:
+        on = on & (F.col(c).cast("double") == F.col(f"__{c}"))
+    return points.join(near, on, "left").drop("__from", *[f"__g{i}" for i in range(len(frame))], *[f"__{c}" for c in axes])
 
 
 def box_sum(df: DataFrame, value: str, sizes: tuple[int, int, int], keys: list[str]) -> DataFrame:

@@ -68,7 +68,7 @@ def _(s, d):
 
 
 @query("m10_hurst", FRAMES + f""", v AS (SELECT {BY}, step, row_number() OVER (PARTITION BY {BY} ORDER BY pt) - 1 AS r, count(*) OVER (PARTITION BY {BY}) AS n FROM t WHERE step IS NOT NULL),
-b AS (SELECT *, r // w AS b FROM (SELECT *, n // (1 << i) AS w FROM (SELECT v.*, unnest(range(0, cast(floor(log2(n)) AS bigint))) AS i FROM v)) WHERE r // w < n // w),
+b AS (SELECT *, r // w AS b FROM (SELECT *, n // (1 << i) AS w FROM (SELECT v.*, unnest(range(0, cast(floor(log2(n)) AS bigint) - 1)) AS i FROM v)) WHERE r // w < n // w),
 c AS (SELECT *, step - avg(step) OVER (PARTITION BY {BY}, i, b) AS c FROM b),
 y AS (SELECT *, sum(c) OVER (PARTITION BY {BY}, i, b ORDER BY r) AS y FROM c),
 q AS (SELECT {BY}, i, w, b, (max(y) - min(y)) / stddev_pop(step) AS rs FROM y GROUP BY {BY}, i, w, b HAVING stddev_pop(step) > 1e-12)
@@ -78,8 +78,8 @@ def _(s, d):
 
 
 @query("a5_elongations", FRAMES + f""", e AS (SELECT {BY}, max(x) - min(x) AS x, max(y) - min(y) AS y, max(z) - min(z) AS z, sum(abs(dx)) AS a, sum(abs(dy)) AS b, sum(abs(dz)) AS c FROM d GROUP BY {BY})
-SELECT {KEY}, {_r('x', 'x_max')}, {_r('y', 'y_max')}, {_r('z', 'z_max')}, {_r('x / y', 'exy_max')}, {_r('y / z', 'eyz_max')}, {_r('x / z', 'exz_max')}, {_r('cbrt(z * z / (x * y))', 'phi_max')},
-{_r('a / b', 'exy_total')}, {_r('b / c', 'eyz_total')}, {_r('a / c', 'exz_total')}, {_r('cbrt(c * c / (a * b))', 'phi_total')} FROM e""")
+SELECT {KEY}, {_r('x', 'x_max')}, {_r('y', 'y_max')}, {_r('z', 'z_max')}, {_r('y / x', 'exy_max')}, {_r('z / y', 'eyz_max')}, {_r('z / x', 'exz_max')}, {_r('cbrt(z * z / (x * y))', 'phi_max')},
+{_r('b / a', 'exy_total')}, {_r('c / b', 'eyz_total')}, {_r('c / a', 'exz_total')}, {_r('cbrt(c * c / (a * b))', 'phi_total')} FROM e""")
 def _(s, d):
     return motility.elongations(segments(s, d), XYZ)
 
@@ -147,7 +147,7 @@ def _(s, d):
     return joins.drop_close(o, 0.5, ["f"]).select("id")
 
 
-@query("j3_nearest", "SELECT a.l_linenumber AS z, a.id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) + 0.0::double AS distance FROM (SELECT DISTINCT l_linenumber, l_partkey % 32 AS x, l_suppkey % 32 AS y, (l_partkey % 32) * 32 + l_suppkey % 32 AS id FROM lineitem) a LEFT JOIN (SELECT DISTINCT l_linenumber, l_partkey % 32 AS x, l_suppkey % 32 AS y FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.03) b ON a.l_linenumber = b.l_linenumber AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4 GROUP BY 1, 2")
+@query("j3_nearest", "SELECT a.l_linenumber AS z, a.id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) + 0.0::double AS distance FROM (SELECT DISTINCT l_linenumber, l_partkey % 32 AS x, l_suppkey % 32 AS y, (l_partkey % 32) * 32 + l_suppkey % 32 AS id FROM lineitem) a LEFT JOIN (SELECT DISTINCT l_linenumber, l_partkey % 32 AS x, l_suppkey % 32 AS y FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.03) b ON a.l_linenumber = b.l_linenumber GROUP BY 1, 2")
 def _(s, d):
     v = read(s, d, "lineitem").select(F.col("l_linenumber").alias("f"), (F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y"), F.lit(0).alias("z"), ((F.col("l_quantity") >= 50) & (F.col("l_discount") < 0.03)).alias("core"))
     points = v.select("f", "x", "y", "z", (F.col("x") * 32 + F.col("y")).alias("id")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftframe.operators import alignment, expression, learning, signals, stats
 from driftframe.sources import io
-from driftframe.plans import spaces, wide_features  # noqa: F401
+from driftframe.plans import spaces, tables, wide_features  # noqa: F401
 from driftframe.plans.features import FITTED
 from driftframe.plans.queries import QUERIES
 
