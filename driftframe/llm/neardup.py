@@ -5,9 +5,11 @@ bounded size and are refined by joining each node's neighbours (forward and reve
 other until few entries change. Edges at the threshold tie nodes into groups; a node whose list is
 saturated with such edges has its list enlarged to its whole group: links inside a group are
 counted exactly, in blocks. Members within half the threshold's angle of their group's centre are
-all linked to each other, so only the rest is compared. Audited against all rows is the share of
-sampled nodes with every link, apart for nodes without a group and those in small and large ones;
-more starting buckets are added while any share is too low, and in the end it is an error.
+all linked to each other, so only the rest is compared. Audited against all rows are only
+sampled nodes that have a link: the mean share of their links that was found, over all of them (a lone
+node that lost its only link counts as lost) and for small and large groups apart. While a share is too low, the nodes of
+crowded buckets (clouds too dense for the hyperplanes, cut at random before the descent) are compared
+with each other exactly, in blocks, and more starting buckets are added; in the end it is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ SALTED = 4096
 #: The chance that a pair at the threshold shares no starting bucket of a seed.
 MISSED = 0.001
 ROUNDS, SEEDS, AUDITED, LEAST_RECALL = 4, 6, 256, 0.95
+#: The share of links from which on no more buckets are tried.
+ENOUGH = 0.99
+#: Nodes without a group that are audited, and nodes of a side where crowded ones are compared.
+LONE, SIDE = 2048, 1024
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -132,8 +138,8 @@ def _signatures(bits: int, tables: int, seed: int):
     return udf
 
 
-def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch, threshold: float) -> DataFrame:
-    """Edges from random-hyperplane buckets of about BUCKET, compared whole up to WHOLE.
+def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges from random-hyperplane buckets of about BUCKET, compared whole up to WHOLE; and the nodes of crowded ones.
 
     Fuller ones are split by up to 12 further planes; what then still holds more than WHOLE is a
     dense cloud, cut at random and joined again by the descent. n: nodes of the largest block.
@@ -153,7 +159,48 @@ def _start(nodes: DataFrame, n: int, seed: int, scratch: Scratch, threshold: flo
     part = F.coalesce(F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")), F.lit(0))
     parts = keyed.join(over, ["block", "t", "key", "fine"], "left").select("node", F.xxhash64("block", "t", "key", "fine", part).alias("g"))
     dealt = parts.join(nodes.select("node", "v"), "node").repartition("g").sortWithinPartitions("g", "node")
-    return dealt.mapInArrow(_local_join(["g"], K), EDGE)
+    crowded = keyed.join(over.drop("parts"), ["block", "t", "key", "fine"]).select("node").distinct()
+    return dealt.mapInArrow(_local_join(["g"], K), EDGE), crowded
+
+
+def _tied(threshold: float):
+    """Of both sides of a group, edges that tie what links join: each node with the least of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["g"]):
+            side, node, x = t["side"].to_numpy(), t["node"].to_numpy(), _matrix(t["v"])
+            one, two = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            i, j = np.nonzero(x[one] @ x[two].T >= threshold)
+            a, b = one[i], two[j]
+            part = np.arange(len(node))
+            while len(a):
+                low = part.copy()
+                np.minimum.at(low, a, part[b])
+                np.minimum.at(low, b, part[a])
+                low = low[low]
+                if (low == part).all():
+                    break
+                part = low
+            at = np.flatnonzero(part != np.arange(len(node)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[part[at]])], names=["a", "b"])
+
+    return run
+
+
+def crowded_ties(nodes: DataFrame, crowded: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): edges that join whatever links join among the crowded nodes of a block, all compared with all in blocks of about SIDE.
+
+    Exact; the square of a block's crowded nodes in comparisons, but two rows a node and pair of blocks
+    at most in results.
+    """
+    here = scratch.keep(crowded.join(nodes.select("node", "block", "v"), "node"), f"{name}_crowd")
+    sides = scratch.small(here.groupBy("block").agg(F.ceil(F.count("*") / SIDE).alias("sides")), f"{name}_sides")
+    dealt = here.join(sides, "block").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("sides")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.cast("int").alias("side"), "node", "v")
+    return scratch.keep(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_tied(threshold), "a long, b long"), f"{name}_ties")
 
 
 def _lists(edges: DataFrame, k: int = K) -> DataFrame:
@@ -270,30 +317,53 @@ def _true_links(shared, threshold: float):
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED) -> dict[str, float]:
-    """Share of sampled nodes with every link there is, against all rows; about `asked` nodes each without a group, in small and in large ones."""
+def audited_links(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED, lone: int = LONE) -> dict[str, tuple[float, int, float]]:
+    """By kind of node (single, without a group; small and large groups), of sampled nodes that have a link: the sum of the shares of their links that were found, how many they are, and how many nodes each stands for.
+
+    About `asked` nodes of small and of large groups and `lone` others, all against all rows; kinds whose
+    nodes have no link are left out.
+    """
     known = groups.groupBy("component").agg(F.count("*").alias("size"))
     large = F.broadcast(known.where(F.col("size") > K).orderBy(F.desc("size"), "component").limit(asked))  # at most `asked` rows; other large ones tell small
     named = groups.join(large, "component", "left").select("node", F.when(F.col("size").isNotNull(), "large").otherwise("small").alias("kind"))
     told = nodes.select("node").join(named, "node", "left").select("node", F.coalesce("kind", F.lit("single")).alias("kind"))
     u = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
+    share, shares = F.lit(0.0), {}
     for r in told.groupBy("kind").count().collect():  # three kinds
-        share = F.when(F.col("kind") == r.kind, F.lit(asked / r["count"])).otherwise(share)
+        shares[r.kind] = min(1.0, (lone if r.kind == "single" else asked) / r["count"])
+        share = F.when(F.col("kind") == r.kind, F.lit(shares[r.kind])).otherwise(share)
     picked = told.where(u < share)
-    sample = {r.node: (r.kind, r.block, np.array(r.v)) for r in nodes.select("node", "block", "v").join(F.broadcast(picked), "node").collect()}
+    sample = {r.node: (r.kind, r.block, np.array(r.v)) for r in nodes.select("node", "block", "v").join(F.broadcast(picked), "node").collect()}  # about `lone` rows
     if not sample:
         return {}
     asks: dict = {}
     for node, (_, block, v) in sample.items():
         asks.setdefault(block, []).append((node, v))
     shared = nodes.sparkSession.sparkContext.broadcast({b: (np.array([n for n, _ in x], np.int64), np.stack([v for _, v in x])) for b, x in asks.items()})
-    true = nodes.select("block", "node", "copies", "v").mapInArrow(_true_links(shared, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()
-    found = {r.node: r.links for r in links.where(F.col("node").isin(list(sample))).collect()}
-    whole: dict = {}
+    true = nodes.select("block", "node", "copies", "v").mapInArrow(_true_links(shared, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).where("links > 0").collect()
+    found = {r.node: r.links for r in links.join(F.broadcast(picked.select("node")), "node").collect()}
+    out: dict = {}
     for r in true:
-        whole.setdefault(sample[r.node][0], []).append(found.get(r.node, 0) >= r.links)
-    return {k: float(np.mean(x)) for k, x in whole.items()}
+        kind = sample[r.node][0]
+        got, all_, each = out.get(kind, (0, 0, 1 / shares[kind]))
+        out[kind] = (got + min(found.get(r.node, 0), r.links) / r.links, all_ + 1, each)
+    return out
+
+
+def audit(nodes: DataFrame, links: DataFrame, groups: DataFrame, threshold: float, asked: int = AUDITED) -> dict[str, float]:
+    """By kind of node the mean share of a sampled node's links that were found, among those that have one; kinds without are left out."""
+    return {k: got / all_ for k, (got, all_, _) in audited_links(nodes, links, groups, threshold, asked).items()}
+
+
+def recall(counts: dict[str, tuple[float, int, float]]) -> float | None:
+    """The least of the mean shares found: over all nodes with a link as the samples tell them, over those of small and of large groups; None without a link.
+
+    By node and not by link, so that a large group's many links hide no lost pairs.
+    """
+    if not counts:
+        return None
+    whole = sum(got * each for got, _, each in counts.values()) / sum(all_ * each for _, all_, each in counts.values())
+    return min([whole, *[got / all_ for k, (got, all_, _) in counts.items() if k != "single"]])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -303,9 +373,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall:
     that are null, empty, zero or not all finite, those without a label, and those of different
     lengths link with nothing. Equal vectors and repeated rows are other vectors, linked directly.
     A null id's row takes part and is kept only if its component has no id at all. Other columns
-    are ignored; an empty table gives no rows. audited: the least of the shares of sampled nodes
-    that have every link (see audit); below `least_recall` more starting buckets are added, and
-    after SEEDS times it is an error.
+    are ignored; an empty table gives no rows. audited: the share of links found (see recall), null
+    where the sampled nodes have none; below ENOUGH crowded nodes are compared exactly and more
+    starting buckets are added, up to SEEDS times; then a share below `least_recall` is an error.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select("vec_id", "label", unit_udf("embedding").alias("v"))
@@ -315,21 +385,29 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, least_recall:
     nodes = good.groupBy("block", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = nodes.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    edges, links, shares = None, None, {}
+    edges = ties = None
+
+    def linked(name: str) -> tuple[DataFrame, DataFrame, float | None]:
+        tied = edges.where(F.col("sim") >= threshold).select("a", "b")
+        groups = scratch.keep(components(tied if ties is None else tied.union(ties), scratch, f"cc{name}"), f"groups{name}")
+        links = scratch.keep(_links(nodes, groups, threshold, scratch), f"links{name}")
+        return groups, links, recall(audited_links(nodes, links, groups, threshold))
+
     for seed in range(SEEDS):
-        fresh = _start(nodes, n, seed, scratch, threshold)
+        fresh, crowded = _start(nodes, n, seed, scratch, threshold)
         edges = _descend(nodes, fresh if edges is None else fresh.union(edges), threshold, scratch, f"lists{seed}")
-        groups = scratch.keep(components(edges.where(F.col("sim") >= threshold).select("a", "b"), scratch, f"cc{seed}"), f"groups{seed}")
-        links = scratch.keep(_links(nodes, groups, threshold, scratch), f"links{seed}")
-        shares = audit(nodes, links, groups, threshold)
-        if min(shares.values(), default=1.0) >= least_recall:
+        groups, links, share = linked(str(seed))
+        if share is not None and share < max(ENOUGH, least_recall) and ties is None and not crowded.isEmpty():
+            ties = crowded_ties(nodes, crowded, threshold, scratch, f"exact{seed}")
+            groups, links, share = linked(f"{seed}e")
+        if share is None or share >= max(ENOUGH, least_recall):
             break
-    else:
-        raise RuntimeError(f"near_vectors: nodes with every link after {SEEDS} seeds: {shares}")
+    if share is not None and share < least_recall:
+        raise RuntimeError(f"near_vectors: share of links found after {SEEDS} seeds: {share}")
     told = nodes.select("node", "block", "h1", "h2", "first", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = told.groupBy("component").agg(F.min("first").alias("component_id"))
     told = told.join(least, "component").join(links, "node", "left").select("block", "h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = good.select("vec_id", "block", "h1", "h2").join(told, ["block", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("block").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    return out.withColumn("audited", F.lit(min(shares.values(), default=1.0)))
+    return out.withColumn("audited", F.lit(share).cast("double"))
