@@ -53,6 +53,21 @@ def project_on_line(start: list[Column], end: list[Column], target: list[Column]
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) if segment else t
 
 
+def point_on_line(start: list[Column], end: list[Column], t: Column) -> list[Column]:
+    """The point start + t (end - start), coordinate by coordinate; null where t is."""
+    return [a + t * (b - a) for a, b in zip(start, end)]
+
+
+def video_label(video: Column, track: Column) -> Column:
+    """Label of a track: its recording and number; null if either is."""
+    return F.concat(video.cast("string"), F.lit("_"), track.cast("string"))
+
+
+def track_label(video: Column, kind: Column, label: Column) -> Column:
+    """Label of a feature row: recording, type and label of its track; null if one of them is."""
+    return F.concat(video.cast("string"), F.lit("_"), kind.cast("string"), F.lit("_"), label.cast("string"))
+
+
 def day_and_group(name: Column) -> tuple[Column, Column]:
     """Day (the letter after the second `-`, then its number without leading zeros) and the one-letter group after it."""
     part = F.split_part(name, F.lit("-"), F.lit(3))
@@ -65,6 +80,11 @@ def frame_interval(name: Column) -> Column:
     return F.when(F.contains(F.lower(name), F.lit("int15s")), 15).otherwise(30)
 
 
+def least_duration(name: Column, short: int = 20, fine: int = 40) -> Column:
+    """Frames that a track must have by the recording's name: `fine` at 15 seconds between frames, else `short`."""
+    return F.when(frame_interval(name) == 15, fine).otherwise(short)
+
+
 def to_voxel(x: Column, size: float, count: int) -> Column:
     """Index of the voxel at x: rounded half to even, clipped to the stack."""
     return F.least(F.lit(count - 1), F.greatest(F.lit(0), F.bround(x / size).cast("int")))

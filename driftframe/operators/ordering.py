@@ -63,3 +63,14 @@ def same_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inne
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     return df.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def places(df: DataFrame, x: str, ties: list[str], falling: bool = False) -> DataFrame:
+    """df with `place`, 1 for the first of the order by x (nulls last), ties by the other columns: numbered in parts, for sorted reports."""
+    x_ = F.col(x).cast("double")
+    d = df.withColumn("__x", -x_ if falling else x_)
+    d = d.withColumn("__part", F.when(F.col("__x").isNull(), F.lit(1 << 20)).otherwise(value_parts(d, "__x")))
+    sums = d.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a part
+    off = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(W.partitionBy("__part").orderBy("__x", *ties))
+    return d.withColumn("__at", at).join(F.broadcast(sums.select("__part", off.alias("__off"))), "__part").withColumn("place", F.col("__off") + F.col("__at")).drop("__x", "__part", "__at", "__off")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scalar import to_voxel
 from .ordering import group_quantiles, same_keys
+from .stats import order_clusters
 
 
 def rename_containing(df: DataFrame, part: str, other: str) -> DataFrame:
@@ -86,8 +87,28 @@ def zone_of_voxel(positions: DataFrame, zones: DataFrame, keys: list[str], missi
 
 
 def wide_features(blocks: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Feature blocks side by side, for the keys that all of them hold."""
-    return reduce(lambda a, b: a.join(b, keys), blocks)
+    """Feature blocks (one row a key each) side by side, for every key that one of them holds, null ones too; what a block lacks is null.
+
+    The blocks are stacked and aggregated once, so that no block costs a join.
+    """
+    names = [c for b in blocks for c in b.columns if c not in keys]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
+    return whole.groupBy(*keys).agg(*[F.any_value(c, F.lit(True)).alias(c) for c in names])
+
+
+def keep_recoded(cells: DataFrame, column: str, keep: list[str], names: dict[str, str]) -> DataFrame:
+    """Rows whose column is one of `keep`, some of them renamed by `names`; null is none of them."""
+    new = F.col(column)
+    for old, name in names.items():
+        new = F.when(F.col(column) == old, name).otherwise(new)
+    return cells.where(F.col(column).isin(keep)).withColumn(column, new)
+
+
+def label_clusters(features: DataFrame, frames: DataFrame, cluster: str, feature: str, keys: list[str], by: str = "median") -> tuple[DataFrame, DataFrame]:
+    """Tracks and their frames with the cluster renumbered by its ascending feature; a frame without a track is an error when it is run."""
+    order = order_clusters(features, cluster, feature, by)
+    tracks = same_keys(features, order, [cluster], "left").drop(cluster).withColumnRenamed("new_label", cluster)
+    return tracks, label_frames(frames, tracks.select(*keys, cluster), keys)
 
 
 def lag_features(long: DataFrame, keys: list[str], lag: str, value: str, lags: list[int], prefix: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordering import same_keys
 from .tracks import SEGMENT
 
 
@@ -34,6 +35,15 @@ def state_runs(df: DataFrame, state: Column, states: list[str], keys: list[str]
     return runs.groupBy(*keys).agg(*[c for v in states for c in (F.coalesce(F.sum(F.when(F.col("__s") == v, F.col("__n"))), F.lit(0)).alias(f"{v}_times"), F.coalesce(F.max(F.when(F.col("__s") == v, F.col("__n"))), F.lit(0)).alias(f"{v}_persistence"))])
 
 
+def overlap_features(df: DataFrame, x: str, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
+    """avg_overlap, overlap_slopes (by place in the track), and times and persistences of contact (above 0) and noncontact (0)."""
+    s = df.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(time)).cast("double"))
+    shape = s.groupBy(*keys).agg(F.avg(x).alias("avg_overlap"), F.regr_slope(F.col(x), F.col("__i")).alias("overlap_slopes"))
+    runs = state_runs(df, F.when(F.col(x) > 0, "contact").when(F.col(x) == 0, "noncontact").otherwise("none"), ["contact", "noncontact"], keys, time)
+    names = {f"{k}_persistence": f"{k}_persistences" for k in ("contact", "noncontact")}
+    return same_keys(shape, runs.withColumnsRenamed(names), keys)
+
+
 def permutation_entropy(df: DataFrame, x: str, keys: list[str] = SEGMENT, time: str = "pt") -> DataFrame:
     """Shannon entropy (ln) of ordinal patterns of three values, earlier of ties first."""
     w = W.partitionBy(*keys).orderBy(time)

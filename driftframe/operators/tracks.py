@@ -22,8 +22,14 @@ def cut_segments(df: DataFrame, duration: int, keys: list[str] = TRACK, time: st
     return df.where(F.col("seg") < F.floor(F.col("Time_span") / duration)).withColumn("pseudo_Label", F.concat_ws("_", "Label", "seg")).drop("__rn")
 
 
-def keep_long(df: DataFrame, least: int, keys: list[str] = TRACK) -> DataFrame:
-    """Tracks with at least `least` frames, with Time_span."""
+def recut_segments(df: DataFrame, cut: int, keys: list[str] = TRACK, time: str = "Time", label: str = "Label") -> DataFrame:
+    """Tracks cut again into whole pieces of `cut` frames: pseudo_<label> with _1, _2, .. and pseudo_<time> from 1; leftovers go."""
+    out = cut_segments(df.drop("seg", "pt", "Time_span", "pseudo_Label"), cut, keys, time)
+    return out.withColumns({f"pseudo_{label}": F.concat(F.col(label).cast("string"), F.lit("_"), F.col("seg") + 1), f"pseudo_{time}": F.col("pt") + 1}).drop("seg", "pt", "Time_span")
+
+
+def keep_long(df: DataFrame, least: int | Column, keys: list[str] = TRACK) -> DataFrame:
+    """Tracks with at least `least` frames (a number, or a column that is the same all along a track), with Time_span."""
     return df.withColumn("Time_span", F.count("*").over(W.partitionBy(*keys))).where(F.col("Time_span") >= least)
 
 
@@ -56,10 +62,12 @@ def turns(df: DataFrame, coords: list[str], keys: list[str] = SEGMENT, time: str
 
 
 def instant_movements(df: DataFrame, coords: list[str], time_unit: float = 0.5, keys: list[str] = SEGMENT, time: str = "pt", divide_angle: bool = True) -> DataFrame:
-    """instant_speed and instant_angle per frame; 0 where there is no step yet."""
+    """instant_speed and instant_angle per frame, 0 where there is no step yet; tracks of varying length take undivided angles and pseudo_frame, from 0."""
     out = turns(steps(df, coords, keys, time), coords, keys, time)
     out = out.withColumn("instant_speed", F.coalesce(F.col("step") / time_unit, F.lit(0.0)))
     out = out.withColumn("instant_angle", F.coalesce(F.col("angle") / (time_unit if divide_angle else 1.0), F.lit(0.0)))
+    if not divide_angle:
+        out = out.withColumn("pseudo_frame", F.row_number().over(in_order(keys, time)) - 1)
     return out.drop("step", "angle", *[f"d_{c}" for c in coords])
 
 

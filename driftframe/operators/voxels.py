@@ -34,12 +34,13 @@ def focus_plane(df: DataFrame, label: str, value: str) -> DataFrame:
     return p.where("v is not null").groupBy(label).agg(F.min(F.struct("v", "z"))["z"].alias("focus_z"))
 
 
-def paint(df: DataFrame, offsets: list[tuple[int, int, int]], value: str, shape: tuple[int, int, int]) -> DataFrame:
-    """Each row paints its value on the offsets around its (z, y, x): mean and hits per voxel inside shape."""
+def paint(df: DataFrame, offsets: list[tuple[int, int, int]], value: str, shape: tuple[int, int, int], once: bool = False) -> DataFrame:
+    """Each row paints its value on the offsets around its (z, y, x): mean and hits per voxel inside shape; with `once` only voxels hit once."""
     o = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in offsets])
     p = df.select("z", "y", "x", value, F.explode(o).alias("o")).select((F.bround("z") + F.col("o.dz")).cast("int").alias("z"), (F.bround("y") + F.col("o.dy")).cast("int").alias("y"), (F.bround("x") + F.col("o.dx")).cast("int").alias("x"), value)
     inside = [F.col(c).between(0, n - 1) for c, n in zip("zyx", shape)]
-    return p.where(inside[0] & inside[1] & inside[2]).groupBy("z", "y", "x").agg(F.avg(value).alias("mean"), F.count("*").alias("hits"))
+    out = p.where(inside[0] & inside[1] & inside[2]).groupBy("z", "y", "x").agg(F.avg(value).alias("mean"), F.count("*").alias("hits"))
+    return out.where("hits = 1") if once else out
 
 
 def vote(df: DataFrame, label: str, track: str) -> DataFrame:

@@ -31,6 +31,15 @@ def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parts[0].alias("set_name"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.lit(0), F.size(parts) - 2))).alias("gene")).where("gene <> ''")
 
 
-def write(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Parquet, partitioned by the given columns."""
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+def read_gene_list(spark: SparkSession, path: str, known: DataFrame | None = None, column: str = "Gene") -> DataFrame:
+    """(gene) of a CSV file with a header, once each, without empty ones; with `known` (gene) only those it holds."""
+    genes = spark.read.option("header", True).csv(path).select(F.trim(column).alias("gene")).where("gene <> ''").distinct()
+    return genes if known is None else genes.join(known.select("gene").distinct(), "gene", "left_semi")
+
+
+def write(df: DataFrame, path: str, by: list[str] | None = None, form: str = "parquet") -> None:
+    """Parquet or CSV (with a header; arrays as JSON text), partitioned by the given columns."""
+    if form == "csv":
+        df = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
+    out = df.write.partitionBy(*by) if by else df.write
+    out.option("header", True).csv(path) if form == "csv" else out.parquet(path)

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from driftframe.plans import features, preparation, spaces, tables, wide_features  # noqa: F401
+from driftframe.plans import features, preparation, small, spaces, tables, wide_features  # noqa: F401
 from driftframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
