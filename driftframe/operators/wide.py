@@ -48,7 +48,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def _slope(points: Column) -> Column:
     """Of the line through an array of structs (x, y); null without two different x."""
-    n = F.size(points)
+    n = F.nullif(F.size(points), F.lit(0))
     total = lambda f: _sum(points, f)
     x, y = total(lambda p: p["x"]) / n, total(lambda p: p["y"]) / n
     return _ratio(total(lambda p: p["x"] * p["y"]) / n - x * y, total(lambda p: p["x"] * p["x"]) / n - x * x)
@@ -75,11 +75,11 @@ class _Stages:
 def _series(t: _Stages, a: str, names: list[str], lags: int) -> dict[str, Column]:
     """The properties of the array column `a`; null where it is constant or has no entries."""
     x, out = F.col(a), {}
-    t.add(**{f"{a}_n": F.size(x), f"{a}_s": _sum(x), f"{a}_varies": F.coalesce(F.array_max(x) > F.array_min(x), F.lit(False))})
-    n, mean = F.col(f"{a}_n"), F.col(f"{a}_s") / F.nullif(F.col(f"{a}_n"), F.lit(0))
+    t.add(**{f"{a}_n": F.nullif(F.size(x), F.lit(0)), f"{a}_s": _sum(x), f"{a}_varies": F.coalesce(F.array_max(x) > F.array_min(x), F.lit(False))})
+    n, mean = F.col(f"{a}_n"), F.col(f"{a}_s") / F.col(f"{a}_n")
     t.add(**{f"{a}_c": F.transform(x, lambda v: v - mean)})
     c = F.col(f"{a}_c")
-    t.add(**{f"{a}_v": _sum(c, lambda v: v * v) / F.nullif(n, F.lit(0))})
+    t.add(**{f"{a}_v": _sum(c, lambda v: v * v) / n})
     var = F.col(f"{a}_v")
     power = lambda q: _sum(x, lambda v: v**q) / n
     own = {
