@@ -25,27 +25,28 @@ def _folder(spark: SparkSession) -> str:
 class Rounds:
     """Tables of one run. `keep` writes one and reads it back; a name that is kept again replaces the one before.
 
-    The last ones hold results that are read later, so they are deleted when the Python process ends.
+    The last ones hold results that are read later; they are deleted when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.at = spark, f"{_folder(spark)}/rounds-{uuid.uuid4().hex}", {}
-        atexit.register(self.end)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
+        if not self.at:
+            self._files(self.top).deleteOnExit(self._path(self.top))
         before, self.at[name] = self.at.get(name), path
         out = self.spark.read.schema(df.schema).parquet(path)
         if before:
             self._delete(before)
         return out
 
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def end(self) -> None:
-        """Delete all tables; nothing happens where the session is gone."""
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.top)
+    def _delete(self, path: str) -> None:
+        self._files(path).delete(self._path(path), True)
