@@ -38,15 +38,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut the lineage; `drop` deletes the ones no later step reads."""
+    """Written tables that cut the lineage; `drop` deletes the ones no later step reads, the end of the driver's JVM the others."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.top = spark, f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.spark, self.top, self.marked = spark, f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}", False
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back."""
         path = f"{self.top}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.marked:
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+            self.marked = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
