@@ -129,10 +129,10 @@ def _(s, d):
     return segments(s, d).groupBy(*tracks.SEGMENT).agg(*[c for c in motility.moments("dist", "dist")[2:]])
 
 
-@query("a7_axis_moments", FRAMES + f"SELECT {KEY}, {', '.join(_shape(c, c) for c in ('dx', 'dy', 'dz'))} FROM (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY {BY}) AS m_{c}' for c in ('dx', 'dy', 'dz'))} FROM d) GROUP BY {BY}")
+@query("a7_axis_moments", FRAMES + f"SELECT {KEY}, {', '.join(_shape(c, c) for c in ('dx', 'dy', 'dz'))} FROM (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY {BY}) AS m_{c}' for c in ('dx', 'dy', 'dz'))} FROM (SELECT * REPLACE (abs(dx) AS dx, abs(dy) AS dy, abs(dz) AS dz) FROM d)) GROUP BY {BY}")
 def _(s, d):
     w = tracks.in_order(tracks.SEGMENT, "pt")
-    steps = segments(s, d).withColumns({f"d{c}": F.col(c) - F.lag(c).over(w) for c in XYZ})
+    steps = segments(s, d).withColumns({f"d{c}": F.abs(F.col(c) - F.lag(c).over(w)) for c in XYZ})
     return steps.groupBy(*tracks.SEGMENT).agg(*[m for c in ("dx", "dy", "dz") for m in motility.moments(c, c)[2:]])
 
 
