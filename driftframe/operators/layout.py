@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from .rounds import Rounds
 
 #: Points of a cell on average, points and queries of one task's part of it, cells at most and sampled points a cell.
-PER_CELL, BLOCK, CELLS, SAMPLED = 1024, 4096, 4096, 16
+PER_CELL, BLOCK, CELLS, SAMPLED = 512, 1024, 4096, 16
 #: Points that one task lays out, points that repel, epochs between two synchronisations.
-TOGETHER, REPEL, EPOCHS = 8192, 4096, 25
+TOGETHER, REPEL, EPOCHS = 2048, 4096, 25
 
 
 def points(df: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest_of(queries: np.ndarray, ids: np.ndarray, found: np.ndarray, names: np.ndarray, k: int):
     """(query, point, distance) of the k nearest points of each query but itself, ties by id; exact, a block of queries at a time."""
-    for lo in range(0, len(queries), 512):
-        q, own = queries[lo : lo + 512], ids[lo : lo + 512]
+    for lo in range(0, len(queries), 256):
+        q, own = queries[lo : lo + 256], ids[lo : lo + 256]
         d = _square(q, found)
         d[own[:, None] == names[None]] = np.inf
         kth = np.partition(d, min(k, len(found)) - 1, axis=1)[:, min(k, len(found)) - 1]
@@ -124,11 +124,10 @@ def neighbours(pts: DataFrame, k: int, rounds: Rounds, per_cell: int = PER_CELL,
                 parts = ask_parts[home]
                 rows = np.repeat(np.arange(len(df)), parts)
                 yield pd.DataFrame({"cell": home[rows], "own": (salt % own_parts[home].astype(np.uint64))[rows].astype(np.int32), "ask": (np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32), "query": False, "id": df["id"].to_numpy()[rows], "v": df["v"].to_numpy()[rows]})
-                rows, col = np.nonzero(np.ones((len(df), p), bool))
-                cell = reached(v, p)[rows, col]
-                parts = own_parts[cell]
-                pick = np.repeat(np.arange(len(cell)), parts)
-                yield pd.DataFrame({"cell": cell[pick], "own": (np.arange(len(pick)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32), "ask": (salt[rows] % ask_parts[cell].astype(np.uint64))[pick].astype(np.int32), "query": True, "id": df["id"].to_numpy()[rows[pick]], "v": df["v"].to_numpy()[rows[pick]]})
+                for cell in reached(v, p).T:  # one probe after the other: a task holds a batch's rows once
+                    parts = own_parts[cell]
+                    pick = np.repeat(np.arange(len(cell)), parts)
+                    yield pd.DataFrame({"cell": cell[pick], "own": (np.arange(len(pick)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32), "ask": (salt % ask_parts[cell].astype(np.uint64))[pick].astype(np.int32), "query": True, "id": df["id"].to_numpy()[pick], "v": df["v"].to_numpy()[pick]})
 
         def search(group: pd.DataFrame) -> pd.DataFrame:
             query = group["query"].to_numpy(bool)
@@ -233,11 +232,11 @@ def _move(at: np.ndarray, own: np.ndarray, other: np.ndarray, weight: np.ndarray
         out = np.zeros_like(at)
         np.add.at(out, i, move)
         np.add.at(out, j, -move)
-        i = np.repeat(i, negatives)
-        d = at[i] - at[rng.integers(0, len(at), len(i))]
-        square = (d * d).sum(1)
-        push = 2 * b / ((0.001 + square) * (1 + a * square**b))
-        np.add.at(out, i, np.where(square[:, None] > 0, np.clip(push[:, None] * d, -4, 4), 0))
+        for _ in range(negatives):
+            d = at[i] - at[rng.integers(0, len(at), len(i))]
+            square = (d * d).sum(1)
+            push = 2 * b / ((0.001 + square) * (1 + a * square**b))
+            np.add.at(out, i, np.where(square[:, None] > 0, np.clip(push[:, None] * d, -4, 4), 0))
         # a point moves by the mean of what its edges ask of it, so that no epoch overshoots
         at[:n] += step * out[:n] / np.maximum(1, degree[:, None] / 4)
     return at[:n]
