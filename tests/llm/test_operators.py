@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftframe.llm import decontaminate, hilbert, langid, linededup, mixing, neardup, pii, quality, repeats, shingles, simhash
+from driftframe.llm import common, decontaminate, hilbert, langid, linededup, mixing, neardup, pii, quality, repeats, shingles, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size int, shard string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -336,13 +336,17 @@ def test_mixing(spark, docs, none):
     seen = collections.Counter()
     for r in mixed:
         at, length, words = told[r.source]
+        many, blocks = 2 * r.source_size // length, -(-words // length)
         for p in r.pieces:
-            rank = permuted(p.block, at, 2 * r.source_size // length)
-            assert rank < -(-words // length) and p.shard == sum(q <= rank for q in upto[at])
-            seen[at, p.block, rank] += p.words
-    for (at, block, rank), n in seen.items():
+            rank, first = permuted(p.block, at, many), [0, *upto[at]]
+            begin = first[p.shard] * max(many, blocks) // blocks
+            assert 0 <= rank - begin < first[p.shard + 1] - first[p.shard]
+            seen[at, p.block, first[p.shard] + rank - begin] += p.words
+    for (at, block, draw), n in seen.items():
         _, length, words = next(t for t in told.values() if t[0] == at)
-        assert n == (words - rank * length if rank == -(-words // length) - 1 else length)
+        assert n == (words - draw * length if draw == -(-words // length) - 1 else length)
+    for at, length, words in told.values():
+        assert sorted(d for a, _, d in seen if a == at) == list(range(-(-words // length)))
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in mixing.mix(docs).collect())
@@ -366,6 +370,34 @@ def test_quotas(spark):
     assert abs(x.mean() - mean) < 4 * np.sqrt(var / len(x)) and 0.5 * var < x.var() < 1.7 * var
 
 
+def test_quotas_of_many_sources(spark):
+    sources = spark.range(3000).select(F.col("id").alias("at"), (F.col("id") % 7).alias("blocks"))
+    got = {r["at"]: r.upto for r in mixing.quotas(sources).collect()}
+    assert len(got) == 3000 and all(got[i][-1] == i % 7 for i in got)
+    each = np.diff(np.array([[0, *got[i]] for i in sorted(got)]), axis=1)
+    assert each.min() >= 0 and np.ptp(each.sum(axis=0)) <= mixing.SHARDS
+
+
+def test_quotas_decide_what_is_drawn(spark, docs, monkeypatch):
+    before = collections.Counter((r.doc_id, r.taken) for r in mixing.mix(docs, block=64).collect())
+    tree = mixing.quotas
+    monkeypatch.setattr(mixing, "quotas", lambda sources, shards, seed: tree(sources, shards, seed + 1))
+    assert before != collections.Counter((r.doc_id, r.taken) for r in mixing.mix(docs, block=64).collect())
+
+
+def test_targets(spark):
+    rows = [("a", 10), ("b", 1000), ("é", 500), (None, 3), ("c", 0), ("d", 70)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes, common.Scratch(spark)).collect()}
+    weights = dict(zip(["a", "b", "c", "d", "é", None], [5, 2, 1, 5, 2, 1]))
+    low, high = 0.0, 1e6
+    for _ in range(200):  # the common factor by bisection
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, weights[s] * mid) for s, n in rows) < 1.5 * 1583 else (low, mid)
+    assert got == {s: pytest.approx(min(2 * n, weights[s] * low)) for s, n in rows}
+    assert mixing.targets(sizes.limit(0), common.Scratch(spark)).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
