@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,6 +162,65 @@ def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _by_test(lambda t, d: beta_share(d / 2, 0.5, d / (d + t * t)), t, dof)
 
 
+def _normal_share(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.vectorize(math.erfc, otypes=[float])(-x / math.sqrt(2))
+
+
+def _over_deviation(share: Callable[[float], float], dof: float, steps: int = 96) -> float:
+    """Mean of share(s) over s, the ratio of an estimated deviation with `dof` degrees of freedom to the true one.
+
+    By the trapezoid rule in ln s, where the density vanishes at both ends.
+    """
+    width = 1 / math.sqrt(2 * dof)
+    at = np.linspace(-40 / dof - 8 * width, math.log1p(8 * width), max(2, steps if dof > 20 else 4 * steps))
+    log = dof * at - dof * np.expm1(2 * at) / 2
+    weight = np.exp(log - log.max())
+    used = weight > 1e-17
+    return float(np.dot(weight[used], [share(s) for s in np.exp(at[used])]) / weight[used].sum())
+
+
+#: Places and weights of the trapezoid rule over a standard normal variable.
+_AT = np.linspace(-8.5, 8.5, 137)
+_MASS = np.exp(-_AT * _AT / 2) / np.exp(-_AT * _AT / 2).sum()
+_BELOW = _normal_share(_AT)
+
+
+def range_tail(q: float, groups: float, dof: float) -> float:
+    """P(Q >= q) of the studentised range of `groups` means with `dof` degrees of freedom."""
+    if q <= 0:
+        return 1.0
+    share = lambda s: groups * float(np.dot(_MASS, (_BELOW - _normal_share(_AT - q * s)) ** (groups - 1)))
+    return min(1.0, max(0.0, 1 - _over_deviation(share, dof)))
+
+
+def many_to_one_tail(t: float, sizes: list[float], control: float, dof: float) -> float:
+    """P(max |T| >= |t|) of the differences of groups of the given sizes from one control of size `control`."""
+    shared = np.sqrt(np.array(sizes) / (np.array(sizes) + control))  # the control's part of each difference
+    own = np.sqrt(1 - shared**2)
+    sizes_, times = np.unique(np.stack([shared, own], 1), axis=0, return_counts=True)
+
+    def share(s: float) -> float:
+        within = np.ones_like(_AT)
+        for (lam, rest), n in zip(sizes_, times):
+            within *= (_normal_share((lam * _AT + abs(t) * s) / rest) - _normal_share((lam * _AT - abs(t) * s) / rest)) ** n
+        return float(np.dot(_MASS, within))
+
+    return min(1.0, max(0.0, 1 - _over_deviation(share, dof)))
+
+
+@F.pandas_udf(T.DoubleType())
+def range_p(q: pd.Series, groups: pd.Series, dof: pd.Series) -> pd.Series:
+    """P(Q >= q) of the studentised range; a row per test, null where an argument is."""
+    return _by_test(range_tail, q, groups, dof)
+
+
+@F.pandas_udf(T.DoubleType())
+def many_to_one_p(t: pd.Series, sizes: pd.Series, control: pd.Series, dof: pd.Series) -> pd.Series:
+    """The adjusted p of comparisons with one control, sizes being those of all groups but it; as above."""
+    rows = zip(t, sizes, control, dof)
+    return pd.Series([None if a is None or a != a or not d > 0 else many_to_one_tail(a, list(n), c, d) for a, n, c, d in rows], dtype="float64")
+
+
 def welch_tests(df: DataFrame, group: str, x: str) -> DataFrame:
     """Per pair of groups: Welch's t (first less second) and its degrees of freedom, from one pass of moments; null where both deviate by 0."""
     m = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(x).alias("m"), (F.var_samp(x) / F.count(x)).alias("v"), F.count(x).alias("n"))
@@ -208,12 +268,51 @@ def post_hoc(df: DataFrame, group: str, x: str, level: float = 0.05) -> DataFram
 
 
 def anova(df: DataFrame, group: str, x: str) -> DataFrame:
-    """F of the one-way analysis of variance and its degrees of freedom, between (d1) and within groups (d2)."""
+    """F of the one-way analysis of variance and its degrees of freedom, between (d1) and within groups (d2); F is null for one group or where none deviates."""
     by = df.where(F.col(x).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     mean = by.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__mean"))
     by = by.join(F.broadcast(mean)).withColumn("off", F.col("m") - F.col("__mean"))  # one row
     between = F.sum(F.col("n") * F.col("off") * F.col("off"))
-    return by.agg(((between / (F.count("*") - 1)) / (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*")))).alias("f"), (F.count("*") - 1).alias("d1"), (F.sum("n") - F.count("*")).alias("d2"))
+    f = F.try_divide(F.try_divide(between, F.count("*") - 1), F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n") - F.count("*")))
+    return by.agg(f.alias("f"), (F.count("*") - 1).alias("d1"), (F.sum("n") - F.count("*")).alias("d2"))
+
+
+def _against_within(df: DataFrame, group: str, x: str, level: float) -> tuple[DataFrame, DataFrame]:
+    """(g, m, n) of the groups, and one row (within, dof, groups) with the mean square within groups; none where the analysis of variance has p over `level`."""
+    s = df.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x")).where("g is not null and x is not null")
+    m = s.groupBy("g").agg(F.avg("x").alias("m"), F.count("*").cast("double").alias("n"), F.var_pop("x").alias("v"))
+    whole = m.agg((F.sum(F.col("n") * F.col("v")) / F.nullif(F.sum("n") - F.count("*"), F.lit(0.0))).alias("within"), (F.sum("n") - F.count("*")).alias("dof"), F.count("*").cast("double").alias("groups"))
+    omnibus = anova(s, "g", "x").select(f_p(F.col("f"), F.col("d1").cast("double"), F.col("d2").cast("double")).alias("p"))
+    return m.drop("v"), whole.join(F.broadcast(omnibus)).where(F.col("p") <= level).drop("p")  # one row
+
+
+def tukey(df: DataFrame, group: str, x: str, level: float = 0.05) -> DataFrame:
+    """Tukey's and Kramer's test behind the analysis of variance: per pair of groups the difference of means (first less second), q and p.
+
+    p is that of the studentised range over all groups. No rows where the analysis of variance has p
+    over `level`, for fewer than two groups, or where no group deviates. Null groups and values are left out.
+    """
+    m, whole = _against_within(df, group, x, level)
+    side = lambda k, name: m.select(F.col("g").alias(name), F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}"))
+    pairs = side(1, "one").join(side(2, "two"), F.col("one") < F.col("two")).join(F.broadcast(whole))  # groups, not rows; one row
+    off = F.col("m1") - F.col("m2")
+    q = F.abs(off) / F.nullif(F.sqrt(F.col("within") / 2 * (1 / F.col("n1") + 1 / F.col("n2"))), F.lit(0.0))
+    return pairs.select("one", "two", off.alias("difference"), q.alias("q"), "groups", "dof").withColumn("p", range_p("q", "groups", "dof")).drop("groups", "dof")
+
+
+def dunnett(df: DataFrame, group: str, x: str, control, level: float = 0.05) -> DataFrame:
+    """Dunnett's test behind the analysis of variance: per group but the control the difference of its mean from the control's, t and the adjusted p.
+
+    Two-sided, over all groups together. Rows are left out as in `tukey`; a control without values gives none.
+    """
+    m, whole = _against_within(df, group, x, level)
+    base = m.where(F.col("g") == control).select(F.col("m").alias("m0"), F.col("n").alias("n0"))
+    rest = m.where(F.col("g") != control)
+    sizes = rest.agg(F.collect_list("n").alias("sizes"))  # a number a group
+    s = rest.join(F.broadcast(base)).join(F.broadcast(whole)).join(F.broadcast(sizes))  # one row each
+    off = F.col("m") - F.col("m0")
+    t = off / F.nullif(F.sqrt(F.col("within") * (1 / F.col("n") + 1 / F.col("n0"))), F.lit(0.0))
+    return s.select("g", off.alias("difference"), t.alias("t"), "sizes", "n0", "dof").withColumn("p", many_to_one_p("t", "sizes", "n0", "dof")).drop("sizes", "n0", "dof")
 
 
 def adjust(df: DataFrame, p: str, order: list[str], method: str = "bh", within: list[str] | None = None) -> DataFrame:

@@ -167,3 +167,48 @@ def test_marker_table_and_enrichment(spark):
     up, down = (spark.createDataFrame([(f"x{i}",) for i in r] + [(None,), (f"x{r[0]}",)], "gene string") for r in (range(0, 8), range(92, 99)))
     found = {(r.direction, r.set_name): r for r in expression.enriched_sets(up, down, sets, 100).collect()}
     assert found.keys() == {("UP", "s"), ("DOWN", "t")} and found[("UP", "s")].hits == 8
+
+
+def test_tails_of_many_means():
+    # tabled 5 percent points of the studentised range, and of two-sided comparisons with one control
+    for q, groups, dof in ((3.877, 3, 10), (4.232, 5, 20), (26.98, 3, 1), (8.331, 3, 2), (3.314, 3, 1e6)):
+        assert stats.range_tail(q, groups, dof) == pytest.approx(0.05, abs=1e-4)
+    assert stats.many_to_one_tail(2.57, [5, 5], 5, 10) == pytest.approx(0.05, abs=3e-4)
+    assert stats.many_to_one_tail(-2.54, [5, 5, 5], 5, 20) == pytest.approx(0.05, abs=3e-4)
+    # with two groups both are Student's test
+    for q, dof in ((3.0, 1), (2.0, 3), (4.0, 30), (1.0, 5000)):
+        one = stats.beta_share(dof / 2, 0.5, dof / (dof + q * q / 2))
+        assert stats.range_tail(q, 2, dof) == pytest.approx(one, abs=1e-9) and stats.many_to_one_tail(q / 2**0.5, [7.0], 3.0, dof) == pytest.approx(one, abs=1e-9)
+    # unequal groups against draws
+    rng, n = np.random.default_rng(4), np.array([3, 8, 5, 12])
+    dof = n.sum() - 4
+    means = rng.standard_normal((400_000, 4)) / np.sqrt(n)
+    s = np.sqrt(rng.chisquare(dof, 400_000) / dof)
+    t = (np.abs(means[:, 1:] - means[:, :1]) / np.sqrt(1 / n[1:] + 1 / n[0])).max(axis=1) / s
+    assert stats.many_to_one_tail(2.3, list(n[1:]), n[0], dof) == pytest.approx((t >= 2.3).mean(), abs=0.004)
+    assert stats.range_tail(0.0, 3, 5) == 1.0 and stats.range_tail(200.0, 3, 50) == pytest.approx(0, abs=1e-12)
+
+
+def test_post_hoc_of_means(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1, 12), "b": rng.normal(2, 1, 7), "c": rng.normal(0.2, 1, 20)}
+    rows = [(g, float(v), 1) for g, x in groups.items() for v in x] + [("a", None, 1), (None, 3.0, 1), ("d", None, 1)]
+    df = spark.createDataFrame(rows, "k string, y double, m int")
+    dof = 39 - 3
+    within = sum(((x - x.mean()) ** 2).sum() for x in groups.values()) / dof
+    got = {(r.one, r.two): r for r in stats.tukey(df, "k", "y").collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (one, two), r in got.items():
+        x, y = groups[one], groups[two]
+        q = abs(x.mean() - y.mean()) / np.sqrt(within / 2 * (1 / len(x) + 1 / len(y)))
+        assert r.q == pytest.approx(q) and r.difference == pytest.approx(x.mean() - y.mean()) and r.p == pytest.approx(stats.range_tail(q, 3, dof), abs=1e-9)
+    got = {r.g: r for r in stats.dunnett(df, "k", "y", "a").collect()}
+    assert got.keys() == {"b", "c"}
+    for g, r in got.items():
+        t = (groups[g].mean() - groups["a"].mean()) / np.sqrt(within * (1 / len(groups[g]) + 1 / 12))
+        assert r.t == pytest.approx(t) and r.p == pytest.approx(stats.many_to_one_tail(t, [7, 20], 12, dof), abs=1e-9)
+    alike = df.withColumn("y", F.col("y") - F.when(F.col("k") == "b", F.lit(2.0)).otherwise(F.lit(0.0)))
+    assert stats.tukey(alike, "k", "y").count() == 0 and stats.dunnett(alike, "k", "y", "a").count() == 0 and stats.tukey(alike, "k", "y", 1.0).count() == 3
+    assert stats.dunnett(df, "k", "y", "none").count() == 0
+    for few in (df.limit(0), df.where("k = 'a'"), df.where("k = 'd'"), df.withColumn("y", F.lit(1.0))):
+        assert stats.tukey(few, "k", "y").count() == 0 and stats.dunnett(few, "k", "y", "a").count() == 0
