@@ -48,6 +48,12 @@ def nearest_of(queries: np.ndarray, ids: np.ndarray, found: np.ndarray, names: n
         yield pd.DataFrame({"id": own[a], "near": names[b], "distance": exact})
 
 
+def _dealt(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's number as often as it has parts, and the parts' numbers."""
+    rows = np.repeat(np.arange(len(parts)), parts)
+    return rows, (np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
+
+
 def _lists(pairs: DataFrame, k: int) -> DataFrame:
     """(id, near array of (distance, near)): the k first of each id, ties by id."""
     return pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "near"))), 1, k).alias("near"))
@@ -122,12 +128,17 @@ def neighbours(pts: DataFrame, k: int, rounds: Rounds, per_cell: int = PER_CELL,
                 salt = pd.util.hash_array(df["id"].to_numpy()) >> np.uint64(8)
                 home = reached(v, 1)[:, 0]
                 parts = ask_parts[home]
-                rows = np.repeat(np.arange(len(df)), parts)
-                yield pd.DataFrame({"cell": home[rows], "own": (salt % own_parts[home].astype(np.uint64))[rows].astype(np.int32), "ask": (np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32), "query": False, "id": df["id"].to_numpy()[rows], "v": df["v"].to_numpy()[rows]})
-                for cell in reached(v, p).T:  # one probe after the other: a task holds a batch's rows once
-                    parts = own_parts[cell]
-                    pick = np.repeat(np.arange(len(cell)), parts)
-                    yield pd.DataFrame({"cell": cell[pick], "own": (np.arange(len(pick)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32), "ask": (salt % ask_parts[cell].astype(np.uint64))[pick].astype(np.int32), "query": True, "id": df["id"].to_numpy()[pick], "v": df["v"].to_numpy()[pick]})
+                rows, part = _dealt(parts)
+                own = (salt % own_parts[home].astype(np.uint64)).astype(np.int32)
+                for i in range(0, len(rows), TOGETHER):  # a task holds so many copies at once
+                    r = rows[i : i + TOGETHER]
+                    yield pd.DataFrame({"cell": home[r], "own": own[r], "ask": part[i : i + TOGETHER], "query": False, "id": df["id"].to_numpy()[r], "v": df["v"].to_numpy()[r]})
+                for cell in reached(v, p).T:  # one probe after the other
+                    rows, part = _dealt(own_parts[cell])
+                    ask = (salt % ask_parts[cell].astype(np.uint64)).astype(np.int32)
+                    for i in range(0, len(rows), TOGETHER):
+                        r = rows[i : i + TOGETHER]
+                        yield pd.DataFrame({"cell": cell[r], "own": part[i : i + TOGETHER], "ask": ask[r], "query": True, "id": df["id"].to_numpy()[r], "v": df["v"].to_numpy()[r]})
 
         def search(group: pd.DataFrame) -> pd.DataFrame:
             query = group["query"].to_numpy(bool)
