@@ -34,3 +34,13 @@ def test_means_of_exactly_the_level(spark, tmp_path):
     got = compared(spark, tmp_path, "r6_distinctive", lineitem=table).set_index(["gene", "cluster"]).distinctive
     assert all(v == pytest.approx(0.026021, abs=1e-6) or gene == 99 for (gene, _), v in (-got).items())  # no mean of 0.05 is below 0.05
     assert got[99, "A"] == 0
+
+
+def test_folds_of_exactly_the_bound(spark, tmp_path):
+    """9 less ninths of 1, 2 and 6 is 8, not over it; summed in this order in doubles it ends above 8."""
+    rows = [(g, k, float(q)) for g in range(24) for k, q in ((3, 9), (1, 1), (2, 2), (4, 6))]
+    rows += [(g, 13, 40.0) for g in range(100, 140)]
+    table = pd.DataFrame(rows, columns=["l_partkey", "l_suppkey", "l_quantity"])
+    part = pd.DataFrame({"p_partkey": range(400)})
+    got = compared(spark, tmp_path, "r8_enriched_sets", lineitem=table, part=part)
+    assert got.set_name.tolist() == [13] and got.hits.tolist() == [40]
