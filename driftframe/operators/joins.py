@@ -10,19 +10,33 @@ from pyspark.sql.window import Window as W
 def close_objects(df: DataFrame, threshold: float, frame: list[str] | None = None) -> DataFrame:
     """Ids of objects (id, x, y, z) with another one of their frame nearer than the threshold.
 
-    Objects meet in tiles as wide as the threshold: each is copied to the 27 tiles around it, and
-    looks only into its own.
+    Objects lie in cells whose diagonal is under the threshold: those that share a cell are all close,
+    without a pair. Only objects that are alone in their cell look into the cells around, so a cell's
+    rows are met by at most the 124 lone objects beside it. Objects without a frame, an id or a finite
+    place are close to nothing.
     """
     frame = frame or []
-    around = F.sequence(F.lit(-1), F.lit(1))
-    own = df.select(*frame, "id", "x", "y", "z", *[F.floor(F.col(c) / threshold).alias(f"k{c}") for c in "xyz"])
-    spread = own.select(*frame, F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[f"k{c}" for c in "xyz"])
+    side = threshold * 0.505  # the diagonal is 0.875 of the threshold, two cells more than the threshold
+    finite = " and ".join([f"abs({c}) < double('infinity')" for c in "xyz"])
+    own = df.select(*frame, "id", "x", "y", "z", *[F.floor(F.col(c) / side).alias(f"k{c}") for c in "xyz"]).where(f"id is not null and {finite}")
+    for k in frame:
+        own = own.where(F.col(k).isNotNull())
+    cell = [*frame, "kx", "ky", "kz"]
+    held = own.groupBy(*cell).agg(F.min("id").alias("__low"), F.max("id").alias("__high"))
+    # rows of a cell by their number, not its rows in one place; a lone object may have several rows
+    shared = own.join(held.where("__low <> __high").select(*cell).hint("merge"), cell, "left_semi").select(*frame, "id")
+    lone = own.join(held.where("__low = __high").select(*cell).hint("merge"), cell, "left_semi")
+    looks = lone.select(*frame, F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[f"k{c}" for c in "xyz"])
+    around, other = F.sequence(F.lit(-2), F.lit(2)), F.lit(False)
     for c in "xyz":
         here = F.col(f"k{c}")
-        spread = spread.withColumn(f"k{c}", F.explode(F.transform(around, lambda o: here + o)))  # noqa: B023
+        looks = looks.withColumn(f"o{c}", F.explode(around)).withColumn(f"k{c}", here + F.col(f"o{c}"))
+        other = other | (F.col(f"o{c}") != 0)
+    looks = looks.where(other).drop("ox", "oy", "oz")
     d = [(F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"]
-    near = own.join(spread, [*frame, "kx", "ky", "kz"]).where((F.col("id") != F.col("id2")) & (F.sqrt(d[0] + d[1] + d[2]) < threshold))
-    return near.select(*frame, "id").distinct()
+    near = own.join(looks.hint("merge"), cell).where((F.col("id") != F.col("id2")) & (F.sqrt(d[0] + d[1] + d[2]) < threshold))
+    sides = near.select(*frame, F.explode(F.array("id", "id2")).alias("id"))
+    return shared.unionByName(sides).distinct()
 
 
 def drop_close(df: DataFrame, threshold: float, frame: list[str] | None = None) -> DataFrame:
