@@ -169,6 +169,24 @@ def smooth(df: DataFrame, value: str, axes: dict[str, tuple[float, int]], keys:
     return out
 
 
+def crop_totals(df: DataFrame, centres: DataFrame, value: str, size: tuple[int, int, int], shape: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """(keys, label, dz, dy, dx, n, total): how many rows each place of the box around a label's centres holds, and the sum of their values.
+
+    Rows are added up by voxel and centres by place before they meet, so a box costs its voxels, however many
+    rows they hold, and is cut once for all labels that share it. Only labels with several centres are grouped again.
+    """
+    held = df.groupBy(*keys, "z", "y", "x").agg(F.struct(F.count("*").alias("n"), F.sum(value).alias("total")).alias("held"))
+    at = [*keys, "z", "y", "x"]
+    own = centres.groupBy("label", *at).agg(F.count("*").alias("__times")).withColumn("__several", F.count("*").over(W.partitionBy("label")) > 1)
+    place = F.struct(*at)
+    boxes = crops(held, own.select(*at).distinct().withColumn("label", place), "held", size, shape, keys).withColumnRenamed("label", "__place").drop(*keys)
+    out = own.withColumn("__place", place).join(boxes, "__place")
+    cols = [*keys, "label", "dz", "dy", "dx"]
+    out = out.select(*cols, "__several", (F.col("held.n") * F.col("__times")).alias("n"), (F.col("held.total") * F.col("__times")).alias("total"))
+    several = out.where("__several").groupBy(*cols).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return out.where("not __several").drop("__several").unionByName(several)
+
+
 def crops(df: DataFrame, centres: DataFrame, value: str, size: tuple[int, int, int], shape: tuple[int, int, int], keys: list[str]) -> DataFrame:
     """(keys, label, dz, dy, dx, value): the voxels in the box around each centre (keys, label, z, y, x), places counted from its corner.
 
