@@ -2,7 +2,8 @@
 
 Each text gets independent fingerprints: 20 bands of 5 minima over its shingles. Two texts of
 similarity s agree in a band with chance s^5, so all but 1 in 2800 pairs at 0.8 (fewer above) meet
-in a bucket. Candidates are verified by the exact similarity of their shingle sets.
+in a bucket; `simhash.keep_first` adds the Golay buckets of their fingerprints. Candidates are
+verified by the exact similarity of their shingle sets.
 
 A bucket is not paired at once: all its members are compared with its smallest, the hub. One minus
 the similarity is a metric, so a member near the hub can only be linked to one that the hub is not
@@ -16,13 +17,13 @@ the largest component of a bucket are compared with the others only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,18 +176,19 @@ def links(nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     return found[0].union(found[1]).distinct()
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: Callable[[Column], Column] | None = None) -> DataFrame:
     """docs without near-duplicates: of each component one row stays, the first by id (nulls last), hash of the text and key.
 
     Texts of equal shingle sets are one node, those without words too. Every row has its own key in
     a written table, so rows of equal or null id are compared like any other. All columns stay.
+    `keys` gives a text's buckets besides those of its bands, as an array of long.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"), sketch_udf(F.col(text_col)).alias("sketch")), "rows")
+    rows = scratch.keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"), sketch_udf(F.col(text_col)).alias("sketch"), (keys(F.col(text_col)) if keys else F.array().cast("array<long>")).alias("keys")), "rows")
     id_ = F.col("row").getField(id_col)
     text = F.xxhash64(F.col("row").getField(text_col)).alias("text")
     best = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), text, F.col("uid")))
-    nodes = rows.groupBy("sketch.same").agg(F.min("uid").alias("node"), best.alias("best"), F.first("sketch.size").alias("size"), F.first("sketch.bands").alias("bands"))
+    nodes = rows.groupBy("sketch.same").agg(F.min("uid").alias("node"), best.alias("best"), F.first("sketch.size").alias("size"), F.array_union(F.first("sketch.bands"), F.min_by("keys", "uid")).alias("bands"))
     nodes = scratch.keep(nodes.drop("same"), "nodes")
     texts = rows.select(F.col("uid").alias("node"), F.col("row").getField(text_col).alias("text"))
     comp = components(links(nodes.select("node", "size", "bands"), texts, scratch), scratch)

@@ -119,5 +119,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each group of texts linked by five-word shingles, one row stays (see shingles)."""
-    return shingles.keep_first(docs, id_col, text_col)
+    """docs without near-duplicates: of each group of texts linked by five-word shingles, one row stays.
+
+    Candidates meet in the Golay buckets of their fingerprints, as in `links`; as texts of similarity 0.8
+    lie beyond 2 bits, bands of minima add theirs. All are verified exactly (see shingles).
+    """
+    return shingles.keep_first(docs, id_col, text_col, keys=lambda text: buckets_udf(fingerprint_udf(text)))
