@@ -252,7 +252,19 @@ class Coder:
                 out += shared.value.decode(flat[ends[lo] : ends[hi]], size[lo:hi])
             return pa.array(out, pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+        def both(text: pa.Array) -> pa.Array:
+            texts, flat, sizes, out = text.to_pylist(), [], [], []
+            for lo, hi in _blocks([len(t or "") for t in texts]):
+                ids, size = shared.value.encode(texts[lo:hi])
+                out += shared.value.decode(ids, size)
+                flat.append(ids)
+                sizes.append(size)
+            ends = np.append(0, np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat or [np.zeros(0, np.int32)])))
+            return pa.StructArray.from_arrays([ids, pa.array(out, pa.string())], names=["ids", "decoded"])
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """array<int>: the ids of a text and the end id; a null text counts as empty."""
@@ -262,6 +274,10 @@ class Coder:
         """The text of an array of ids; null and empty arrays give an empty text. Ids out of the vocabulary are an error."""
         return self._decode(ids)
 
+    def both(self, text: Column) -> Column:
+        """(ids, decoded): `encode` and the `decode` of it, each run once; as columns of their own the encoding would run for each."""
+        return self._both(text)
+
 
 def digest(docs, path: str):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document's whole text.
@@ -270,7 +286,6 @@ def digest(docs, path: str):
     elsewhere, repeated rows and other columns make no difference. An empty table gives no rows.
     """
     coder = Coder(docs.sparkSession, path)
-    ids = docs.select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    text = ids.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    text = docs.select("doc_id", coder.both(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -220,6 +220,11 @@ def test_pieces_digest(docs, none, library):
     assert [r.t for r in back] == ["", "", library.decode([1, 5, 2])]
 
 
+def test_a_text_is_encoded_once(docs):
+    plan = pieces.digest(docs, P.path("piece_bpe_32k.model"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(set(re.findall(r"pythonUDF\d+#\d+", plan.split("ArrowEvalPython")[1].splitlines()[0]))) == 1, plan
+
+
 @pytest.mark.parametrize("run, sql", [(merkle.digest, merkle.ORACLE_SQL), (spelling.variants, spelling.ORACLE_SQL)])
 def test_given_documents(spark, run, sql):
     path = "/root/testdata/sf0.001/documents.parquet"
