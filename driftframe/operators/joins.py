@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .nearest import exact_pairs
+from .rounds import Rounds
+
 
 def close_objects(df: DataFrame, threshold: float, frame: list[str] | None = None) -> DataFrame:
     """Ids of objects (id, x, y, z) with another one of their frame nearer than the threshold.
@@ -62,10 +65,22 @@ def map_genes(sets: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (Euclid) of each query; both (id, v). Queries are few by contract and meet every vector once; tasks keep k per query before the shuffle."""
+    """The k nearest vectors (Euclid) of each query; both (id, v). Queries are few by contract and meet every vector once, block by block (`nearest.exact_pairs`).
+
+    Vectors that are null, of another length than the first, or hold null or non-finite components meet the others row by row.
+    """
+    first = vectors.where("size(v) > 0").select(F.size("v").alias("n")).first()
+    fine = F.col("id").isNotNull() & (F.size("v") == (first.n if first else 0)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = F.coalesce(fine, F.lit(False))
     d = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    q = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
-    pairs = vectors.crossJoin(q).where("id != query").select("query", F.col("id").alias("neighbour"), d.alias("distance"))
+
+    def by_rows(asked: DataFrame, met: DataFrame) -> DataFrame:
+        q = asked.select(F.col("id").alias("query"), F.col("v").alias("q"))
+        return met.crossJoin(q).where("id != query").select("query", F.col("id").alias("neighbour"), d.alias("distance"))
+
+    pairs = exact_pairs(queries.where(fine), vectors.where(fine), k, Rounds(vectors.sparkSession)).toDF("query", "neighbour", "distance")
+    if not (vectors.where(~fine).isEmpty() and queries.where(~fine).isEmpty()):
+        pairs = pairs.unionByName(by_rows(queries.where(~fine), vectors)).unionByName(by_rows(queries.where(fine), vectors.where(~fine)))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 
