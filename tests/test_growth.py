@@ -18,3 +18,19 @@ def test_moments_copy_no_rows(spark):
     assert "Expand" not in plan(out)
     got = {r.id: r for r in out.collect()}
     assert got[0].displ_variance is None and got[9].displ_variance is None and got[1].displ_variance > 0
+
+
+def test_post_hoc_ranks_once(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(12) + 2 * g)) for g in range(4) for _ in range(50)] + [(1, None)]
+    spark.createDataFrame(rows, "g long, x double").write.parquet(f"{tmp_path}/rows")
+    out = stats.post_hoc(spark.read.parquet(f"{tmp_path}/rows"), "g", "x")
+    assert str(tmp_path) + "/rows" not in plan(out)  # what ranks gave is kept, and the input read no more
+    x = sorted(v for _, v in rows if v is not None)
+    n, mid = len(x), {v: (2 * x.index(v) + x.count(v) + 1) / 2 for v in set(x)}
+    own = {g: [mid[v] for h, v in rows if h == g and v is not None] for g in range(4)}
+    spread = n * (n + 1) / 12 - sum(x.count(v) ** 3 - x.count(v) for v in set(x)) / (12 * (n - 1))
+    got = {(r.one, r.two): r.z for r in out.collect()}
+    assert len(got) == 6
+    for (a, b), z in got.items():
+        assert z == pytest.approx((sum(own[a]) / 50 - sum(own[b]) / 50) / math.sqrt(spread * (1 / len(own[a]) + 1 / len(own[b]))), abs=1e-9)
