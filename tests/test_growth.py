@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -34,3 +35,30 @@ def test_post_hoc_ranks_once(spark, tmp_path):
     assert len(got) == 6
     for (a, b), z in got.items():
         assert z == pytest.approx((sum(own[a]) / 50 - sum(own[b]) / 50) / math.sqrt(spread * (1 / len(own[a]) + 1 / len(own[b]))), abs=1e-9)
+
+
+def test_over_representation_without_pairs(spark):
+    rng = random.Random(6)
+    lists = [(rng.choice("abc"), g) for g in range(60) for _ in range(2)] + [("a", 3), ("a", 3), (None, 4)]
+    sets = [(rng.randrange(5), g) for g in range(80)] + [(7, 79), (1, 3), (1, 3)]
+    out = expression.over_representation(spark.createDataFrame(lists, "list_name string, gene long"), spark.createDataFrame(sets, "set_name long, gene long"), 100)
+    assert "sequence(" not in plan(out) and not re.search(r"hashpartitioning\((?:list_name|set_name)#\w+, (?:list_name|set_name)#", plan(out))
+    of = lambda rows, k: {g for n, g in rows if n == k}
+    want = {}
+    for a in "abc":
+        for s in {s for s, _ in sets}:
+            m, k, h = len(of(lists, a)), len(of(sets, s)), len(of(lists, a) & of(sets, s))
+            if h:
+                want[a, s] = (h, sum(math.comb(k, i) * math.comb(100 - k, m - i) for i in range(h, min(m, k) + 1)) / math.comb(100, m))
+    got = {(r.list_name, r.set_name): (r.hits, r.p) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for key, (h, p) in want.items():
+        assert got[key][0] == h and got[key][1] == pytest.approx(p, rel=1e-10)
+
+
+def test_tails_at_their_ends(spark):
+    rows = [(10, 4, 3, 0), (10, 4, 3, 3), (10, 0, 3, 0), (10, 10, 3, 3), (1_000_000_000, 400_000_000, 1_000_000, 400_500), (2, 4, 3, 1)]
+    got = stats.hypergeometric_tails(spark.createDataFrame(rows, "n long, k long, d long, h long"), "n", "k", "d", "h").collect()
+    assert [round(r.p_over, 12) for r in got[:4]] == [1, round(4 / 120, 12), 1, 1] and round(got[0].p_under, 12) == round(20 / 120, 12)
+    assert got[4].p_over + got[4].p_under == pytest.approx(1, abs=1e-3) and 0.1 < got[4].p_over < 0.2
+    assert got[5].p_over is None  # more are marked than there are
