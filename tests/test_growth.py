@@ -4,9 +4,10 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from driftframe.operators import expression, motility, stats
+from driftframe.operators import alignment, expression, motility, stats
 
 
 def plan(df):
@@ -62,3 +63,23 @@ def test_tails_at_their_ends(spark):
     assert [round(r.p_over, 12) for r in got[:4]] == [1, round(4 / 120, 12), 1, 1] and round(got[0].p_under, 12) == round(20 / 120, 12)
     assert got[4].p_over + got[4].p_under == pytest.approx(1, abs=1e-3) and 0.1 < got[4].p_over < 0.2
     assert got[5].p_over is None  # more are marked than there are
+
+
+def test_turned_in_pieces():
+    """A task holds a bounded number of tracks at once, and null or short tracks keep their places in it."""
+    rows = [[[float(i + t), 2.0 * t] for t in range(2 + i % 2)] for i in range(2 * alignment.TRACKS + 5)]
+    rows[3] = [[None, 1.0], [2.0, 3.0], [4.0, 5.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["__p"])
+    pieces = list(alignment._pieces([batch]))
+    assert [b.num_rows for b in pieces] == [alignment.TRACKS, alignment.TRACKS, 5]
+    seen, before = 0, 0
+    for b in pieces:
+        first = [0]
+        for r in b.column("__p").to_pylist():
+            first.append(first[-1] + len(r))
+        for own, frames, at in alignment._together(b, 2):
+            for r, f, a in zip(own.tolist(), frames.tolist(), at.tolist()):
+                assert a == rows[before + r] and f == list(range(first[r], first[r + 1]))
+                seen += 1
+        before += b.num_rows
+    assert seen == len(rows) - 1
