@@ -83,3 +83,24 @@ def test_turned_in_pieces():
                 seen += 1
         before += b.num_rows
     assert seen == len(rows) - 1
+
+
+def test_markers_exchange_values_by_gene_once(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(c, f"g{g}", rng.choice([0.5, 1.0, 1.5, 2.0 + c / 100])) for c in range(12) for g in range(6) if (c + g) % 3]
+    rows += [(3, "lone", 1.0)]
+    spark.createDataFrame(rows, "cell_id long, gene string, value double").write.parquet(f"{tmp_path}/values")
+    cells = spark.createDataFrame([(c, c % 3) for c in range(12)], "cell_id long, cluster long")
+    values = spark.read.parquet(f"{tmp_path}/values")
+    out = expression.markers(values, cells)
+    assert plan(out).count("Exchange hashpartitioning(gene#") == 1 and "hashpartitioning(gene#" in plan(out)
+    assert str(tmp_path) + "/values" not in plan(expression.marker_scores(values, cells))
+    full = {g: [next((v for c_, h, v in rows if c_ == c and h == g), 0.0) for c in range(12)] for g in {g for _, g, _ in rows}}
+    got = {(r.gene, r.cluster): r for r in out.collect()}
+    assert len(got) == 3 * len(full)
+    for (g, k), r in got.items():
+        x = sorted(full[g])
+        w = sum((2 * x.index(v) + x.count(v) + 1) / 2 for c, v in enumerate(full[g]) if c % 3 == k)
+        assert r.z == pytest.approx((w - 4 * 13 / 2) / math.sqrt(4 * 8 * 13 / 12), abs=1e-9)
+        own, rest = sum(v for c, v in enumerate(full[g]) if c % 3 == k) / 4, sum(v for c, v in enumerate(full[g]) if c % 3 != k) / 8
+        assert r.logfc == pytest.approx(math.log2((math.expm1(own) + 1e-9) / (math.expm1(rest) + 1e-9)), abs=1e-9)
