@@ -46,14 +46,6 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def _slope(points: Column) -> Column:
-    """Of the line through an array of structs (x, y); null without two different x."""
-    n = F.nullif(F.size(points), F.lit(0))
-    total = lambda f: _sum(points, f)
-    x, y = total(lambda p: p["x"]) / n, total(lambda p: p["y"]) / n
-    return _ratio(total(lambda p: p["x"] * p["y"]) / n - x * y, total(lambda p: p["x"] * p["x"]) / n - x * x)
-
-
 def _ahead(a: Column, k: Column | int, f) -> Column:
     """f(earlier, later) of all entries k apart."""
     rest = F.greatest(F.size(a) - k, F.lit(0))
@@ -72,6 +64,17 @@ class _Stages:
             self.df, self.made = self.df.withColumns(fresh), self.made | fresh.keys()
 
 
+def _slope(t: _Stages, name: str, points: Column) -> Column:
+    """Of the line through an array of structs (x, y); null without two different x. The points and their means are made once, as columns."""
+    t.add(**{f"__line{name}_xy": points})
+    points = F.col(f"__line{name}_xy")
+    n = F.nullif(F.size(points), F.lit(0))
+    total = lambda f: _sum(points, f)
+    t.add(**{f"__line{name}_{k}": total(lambda p: p[k]) / n for k in ("x", "y")})  # noqa: B023
+    x, y = F.col(f"__line{name}_x"), F.col(f"__line{name}_y")
+    return _ratio(total(lambda p: p["x"] * p["y"]) / n - x * y, total(lambda p: p["x"] * p["x"]) / n - x * x)
+
+
 def _series(t: _Stages, a: str, names: list[str], lags: int) -> dict[str, Column]:
     """The properties of the array column `a`; null where it is constant or has no entries."""
     x, out = F.col(a), {}
@@ -115,31 +118,35 @@ def _series(t: _Stages, a: str, names: list[str], lags: int) -> dict[str, Column
             rms = F.sqrt(power(2))
             out[p] = {
                 "total": lambda: F.when(n > 0, F.col(f"{a}_s")), "average": lambda: mean, "maximum": lambda: F.array_max(x), "peak_to_peak": lambda: F.array_max(x) - F.array_min(x),
-                "slope": lambda: _slope(F.transform(x, lambda v, i: F.struct(i.cast("double").alias("x"), v.alias("y")))), "rms": lambda: rms,
+                "slope": lambda: _slope(t, f"_slope{a}", F.transform(x, lambda v, i: F.struct(i.cast("double").alias("x"), v.alias("y")))), "rms": lambda: rms,
                 "crestfactor": lambda: _ratio(F.array_max(x), rms), "formfactor": lambda: _ratio(rms, mean), "pulseindicator": lambda: _ratio(F.array_max(F.transform(x, lambda v: F.abs(v))), mean),
             }[p]()
     return out
 
 
 def _hurst(t: _Stages, a: str) -> Column:
-    """Slope of ln(mean R/S) on ln(size) for blocks of floor(n / 2^i) entries, i + 1 < floor(log2 n); blocks without deviation do not count."""
+    """Slope of ln(mean R/S) on ln(size) for blocks of floor(n / 2^i) entries, i + 1 < floor(log2 n); blocks without deviation do not count.
+
+    A lambda works out anew, for every entry, whatever it does not get as an argument; so blocks are
+    handed on with their mean, and then as deviations, and an entry costs the same in blocks of any size.
+    """
     x, n = F.col(a), F.col(f"{a}_n")
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(float("-inf")).alias("top"), F.lit(float("inf")).alias("low"))
+    step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.greatest(s["top"], s["at"] + v).alias("top"), F.least(s["low"], s["at"] + v).alias("low"))
 
-    def rescaled(block: Column) -> Column:
-        size = F.size(block)
-        mean = _sum(block) / size
-        start = F.struct(F.lit(0.0).alias("at"), F.lit(float("-inf")).alias("top"), F.lit(float("inf")).alias("low"))
-        step = lambda s, v: F.struct((s["at"] + v - mean).alias("at"), F.greatest(s["top"], s["at"] + v - mean).alias("top"), F.least(s["low"], s["at"] + v - mean).alias("low"))
-        dev = F.sqrt(_sum(block, lambda v: (v - mean) * (v - mean)) / size)
-        return F.when(dev > 1e-12, F.aggregate(block, start, step, lambda s: s["top"] - s["low"]) / dev)
+    def rescaled(w: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(n / w).cast("int") - 1), lambda b: F.slice(x, b * w + 1, w))
+        meant = F.transform(blocks, lambda v: F.struct(v.alias("v"), (_sum(v) / w).alias("mean")))
+        centred = F.transform(meant, lambda b: F.transform(b["v"], lambda v: v - b["mean"]))
+        parts = F.transform(centred, lambda c: F.struct(F.sqrt(_sum(c, lambda v: v * v) / w).alias("dev"), F.aggregate(c, start, step, lambda s: s["top"] - s["low"]).alias("range")))
+        return F.transform(F.filter(parts, lambda p: p["dev"] > 1e-12), lambda p: p["range"] / p["dev"])
 
     count = F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int") - 1
     halves = F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    width = lambda i: F.floor(n / F.pow(F.lit(2.0), i)).cast("int")
-    blocks = lambda i: F.transform(F.sequence(F.lit(0), F.floor(n / width(i)).cast("int") - 1), lambda b: rescaled(F.slice(x, b * width(i) + 1, width(i))))
-    t.add(**{f"{a}_rs": F.transform(halves, lambda i: F.struct(width(i).alias("w"), F.filter(blocks(i), lambda v: v.isNotNull()).alias("rs")))})
-    points = F.transform(F.filter(f"{a}_rs", lambda s: _sum(s["rs"]) > 0), lambda s: F.struct(F.ln(s["w"]).alias("x"), F.ln(_sum(s["rs"]) / F.size(s["rs"])).alias("y")))
-    return _slope(points)
+    widths = F.transform(halves, lambda i: F.floor(n / F.pow(F.lit(2.0), i)).cast("int"))
+    both = F.transform(widths, lambda w: F.struct(w.alias("w"), rescaled(w).alias("rs")))
+    means = F.transform(both, lambda s: F.struct(s["w"].alias("w"), (_sum(s["rs"]) / F.nullif(F.size(s["rs"]), F.lit(0))).alias("rs")))
+    return _slope(t, f"_hurst{a}", F.transform(F.filter(means, lambda s: s["rs"] > 0), lambda s: F.struct(F.ln(s["w"]).alias("x"), F.ln(s["rs"]).alias("y"))))
 
 
 def features(df: DataFrame, key: list[str], order: str, coords: list[str], names: list[str], time_unit: float = 0.5, tau_limit: int = 3, signals: list[str] = ()) -> DataFrame:
@@ -176,7 +183,7 @@ def features(df: DataFrame, key: list[str], order: str, coords: list[str], names
         """Columns of the mean squared displacements; lags without any are left out of the slope."""
         out = {f"{name}_{k}": F.get(msd, k - 1) for k in range(1, tau_limit + 1)}
         points = F.filter(F.transform(msd, lambda v, i: F.struct(F.ln(i + 1).alias("x"), F.when(v > 0, F.ln(v)).alias("y"))), lambda p: p["y"].isNotNull())
-        return out | {slope: _slope(points)}
+        return out | {slope: _slope(t, msd, points)}
 
     def distances(step: str, net: Column, end: str) -> dict[str, Column]:
         s, some = F.col(step), F.size(step) > 0

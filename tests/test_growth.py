@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input: what is exchanged and how often the input is read."""
 
+import itertools
 import math
 import random
 import re
@@ -7,7 +8,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from driftframe.operators import alignment, expression, motility, stats
+from driftframe.operators import alignment, expression, motility, stats, wide
 
 
 def plan(df):
@@ -104,3 +105,26 @@ def test_markers_exchange_values_by_gene_once(spark, tmp_path):
         assert r.z == pytest.approx((w - 4 * 13 / 2) / math.sqrt(4 * 8 * 13 / 12), abs=1e-9)
         own, rest = sum(v for c, v in enumerate(full[g]) if c % 3 == k) / 4, sum(v for c, v in enumerate(full[g]) if c % 3 != k) / 8
         assert r.logfc == pytest.approx(math.log2((math.expm1(own) + 1e-9) / (math.expm1(rest) + 1e-9)), abs=1e-9)
+
+
+def test_blocks_are_cut_once(spark):
+    """An entry costs the same in blocks of any size: a block is cut once and handed on with its mean, and points of a line are made once."""
+    rng = random.Random(8)
+    at = [0.0]
+    for k in range(700):
+        at.append(at[-1] + rng.gauss(0, 1 + k % 5))
+    out = wide.features(spark.createDataFrame(list(enumerate(at)), "t long, x double").selectExpr("1L as id", "t", "x"), ["id"], "t", ["x"], ["displ_hurst_RS_x", "alpha_x"])
+    assert len(re.findall(r"slice\(__a_x#", plan(out))) == 1
+    assert plan(out).count("isnotnull(lambda") == 1
+    slope = lambda p: (sum(x * y for x, y in p) / len(p) - (mx := sum(x for x, _ in p) / len(p)) * (sum(y for _, y in p) / len(p))) / (sum(x * x for x, _ in p) / len(p) - mx * mx)
+    v, points = [abs(b - a) for a, b in zip(at, at[1:])], []
+    for i in range(int(math.log2(len(v))) - 1):
+        w, rs = len(v) // 2**i, []
+        for block in (v[b * w : b * w + w] for b in range(len(v) // w)):
+            y = list(itertools.accumulate(u - sum(block) / w for u in block))
+            rs.append((max(y) - min(y)) / math.sqrt(sum((u - sum(block) / w) ** 2 for u in block) / w))
+        points.append((math.log(w), math.log(sum(rs) / len(rs))))
+    msd = [sum((b - a) ** 2 for a, b in zip(at, at[k:])) / (len(at) - k) for k in range(1, len(at))]
+    got = out.first()
+    assert got.displ_hurst_RS_x == pytest.approx(slope(points), abs=1e-9)
+    assert got.alpha_x == pytest.approx(slope([(math.log(k + 1), math.log(m)) for k, m in enumerate(msd)]), abs=1e-9)
